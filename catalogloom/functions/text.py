@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Whitespace as a general-purpose language strips it: ASCII blanks, the information
+# What counts as whitespace at the ends of a text. ASCII blanks, the information
 # separators, NEL, and every Unicode space or line separator.
-_WS = r"[\s\x1c-\x1f\x85\p{Z}]"
+WHITESPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
-_FENCE = rf"(?s)```(?:json)?{_WS}*(.*?){_WS}*```"
+FENCE = "```"
 
 
 def strip_ws(c: Column) -> Column:
     """Remove leading and trailing whitespace of any kind (SQL ``trim`` removes blanks only)."""
-    return F.regexp_replace(c, rf"\A{_WS}+|{_WS}+\z", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def slugify(c: Column, keep_hyphen: bool = False, fallback: str | None = "product") -> Column:
@@ -35,10 +39,12 @@ def split_list(c: Column, separator: str = ",") -> Column:
 def strip_json_fence(c: Column) -> Column:
     """Body of the first code fence (optionally tagged json), else the trimmed text.
 
-    Whether a fence exists is asked separately: an empty body and no match extract the same text.
+    The body is what lies between the first two fence marks, so cutting at the marks is enough and
+    a text with fewer than two is returned as it is.
     """
-    text = strip_ws(c)
-    return F.when(text.rlike(_FENCE), strip_ws(F.regexp_extract(text, _FENCE, 1))).otherwise(text)
+    parts = F.split(c, FENCE, 3)
+    body = F.regexp_replace(F.get(parts, F.lit(1)), r"\Ajson", "")
+    return strip_ws(F.when(F.size(parts) == 3, body).otherwise(c))
 
 
 # Lower-case letters that share their capital with another letter, and that letter.

@@ -218,7 +218,8 @@ def estimate_cost(raw: Column) -> Column:
 
 def _parse(df: DataFrame, content: str, keys: Sequence[str], typed: Callable[[dict[str, Column]], dict[str, C.Field]]) -> DataFrame:
     """Strict parse, one look at each key, then values and the first thing wrong; each step once per row."""
-    doc = C.once(df, _doc=C.strict_json(strip_json_fence(F.col(content))))
+    text = C.once(df, _text=strip_json_fence(F.col(content)))
+    doc = C.once(text, _doc=C.strict_json(F.col("_text")))
     members = C.once(doc, **{f"_{k}": C.member(F.col("_doc"), k) for k in keys}, _shape=C.is_object(F.col("_doc")))
     fields = typed({k: F.col(f"_{k}") for k in keys})
     problem = F.coalesce(
@@ -228,7 +229,7 @@ def _parse(df: DataFrame, content: str, keys: Sequence[str], typed: Callable[[di
         *[F.when(~F.coalesce(f.ok, F.lit(False)), F.lit(f"ValidationError: {n}")) for n, f in fields.items()],
     )
     made = C.once(members, **{n: f.value for n, f in fields.items()}, parse_error=problem)
-    return made.drop("_doc", "_shape", *[f"_{k}" for k in keys])
+    return made.drop("_text", "_doc", "_shape", *[f"_{k}" for k in keys])
 
 
 def parse_concept(df: DataFrame, content: str = "content") -> DataFrame:

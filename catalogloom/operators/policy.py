@@ -82,20 +82,25 @@ def scan_banned_terms(
     return folded.select(*keys, F.explode(found).alias("term"))
 
 
-def words(text: Column) -> Column:
-    """Words of a text in order, in one case."""
-    return F.regexp_extract_all(fold_case(text), F.lit(rf"({_WORD}+)"), 1)
+# A word, or one character that is neither part of a word nor a blank.
+_PIECE = rf"({_WORD}+|[^\p{{L}}\p{{N}}_\s])"
 
 
 def word_tokens(text: Column) -> Column:
     """Distinct words of a text, in one case."""
-    return F.array_distinct(words(text))
+    return F.array_distinct(F.regexp_extract_all(fold_case(text), F.lit(rf"({_WORD}+)"), 1))
 
 
-def _join_keys(in_order: Column) -> Column:
-    """Distinct words and pairs of neighbouring words, and the empty key."""
-    pairs = F.zip_with(in_order, F.slice(in_order, 2, F.greatest(F.size(in_order), F.lit(1))), _pair)
-    return F.array_distinct(F.array_compact(F.concat(in_order, pairs, F.array(F.lit("")))))
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(fold_case(text), F.lit(_PIECE), 1)
+
+
+def _openings(text: Column) -> Column:
+    """Every way a term of several pieces, or of one sign, can begin in the text."""
+    pieces = _pieces(text)
+    pairs = F.zip_with(pieces, F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), _pair)
+    signs = F.filter(pieces, lambda p: ~p.rlike(_WORD))
+    return F.array_distinct(F.array_compact(F.concat(pairs, signs)))
 
 
 def _pair(first: Column, second: Column) -> Column:
@@ -103,33 +108,32 @@ def _pair(first: Column, second: Column) -> Column:
 
 
 def scan_term_table(
-    df: DataFrame, terms: DataFrame, text: str, key: str, term: str = "term", salts: int = 8
+    df: DataFrame, terms: DataFrame, text: str, key: str, term: str = "term", phrases: bool = True, salts: int = 8
 ) -> DataFrame:
     """One row per (text, term) for a table of terms of any size, as whole words, case ignored.
 
-    An equi join instead of every text against every term: a text offers its distinct words and
-    pairs of neighbouring words, a term its only word or its first pair. A one-word term is then
-    settled; a longer one is looked up in the few texts that have its pair. (A term without any
-    letter or digit has the empty key, which every text offers.) A common word recurs in a large
-    share of the texts, so the join key carries a salt derived from the text key.
+    Equi joins instead of every text against every term. One-word terms meet the distinct words of
+    each text and are settled by that. All others meet the distinct pairs of neighbouring pieces by
+    their first pair; only the texts that have the pair are read again and searched. A common word
+    recurs in a large share of the texts, so both join keys carry a salt derived from the text key.
+    ``phrases=False`` skips the second half for tables known to hold single words only.
     """
-    listed = terms.select(F.col(term).alias("term")).distinct()
-    own = words(F.col("term"))
-    by_key = listed.select(
-        "term",
-        F.array_join(F.slice(own, 1, 2), " ").alias("_k"),
-        F.col("term").rlike(rf"\A{_WORD}+\z").alias("_single"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
-    )
-    offered = df.select(
-        F.col(key),
-        F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("_salt"),
-        F.explode(_join_keys(words(F.col(text)))).alias("_k"),
-    )
-    candidates = offered.join(by_key, ["_salt", "_k"], "inner").select(key, "term", "_single")
-    settled = candidates.filter("_single").select(key, "term")
+    listed = terms.select(F.col(term).alias("term")).filter(F.col("term") != "").distinct()
+    single = F.col("term").rlike(rf"\A{_WORD}+\z")
+    salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("_salt")
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+
+    by_word = listed.filter(single).select("term", fold_case(F.col("term")).alias("_k"), every_salt)
+    offered = df.select(F.col(key), salt, F.explode(word_tokens(F.col(text))).alias("_k"))
+    settled = offered.join(by_word, ["_salt", "_k"], "inner").select(key, "term")
+    if not phrases:
+        return settled
+
+    opening = F.array_join(F.slice(_pieces(F.col("term")), 1, 2), " ")
+    by_opening = listed.filter(~single).select("term", opening.alias("_k"), every_salt)
+    begun = df.select(F.col(key), salt, F.explode(_openings(F.col(text))).alias("_k"))
     quoted = F.concat(F.lit(r"\Q"), F.col("term"), F.lit(r"\E"))
     pattern = F.concat(F.lit("(?iu)"), quoted, F.lit(f"(?<!{_WORD}"), quoted, F.lit(f")(?!{_WORD})"))
-    longer = candidates.filter(~F.col("_single")).withColumn("_pattern", pattern)
+    longer = begun.join(by_opening, ["_salt", "_k"], "inner").select(key, "term", pattern.alias("_pattern"))
     found = df.select(key, text).join(longer, key, "inner").filter(F.regexp_like(F.col(text), F.col("_pattern")))
     return settled.unionByName(found.select(key, "term"))

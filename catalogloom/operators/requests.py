@@ -109,7 +109,12 @@ def check_packs(files: DataFrame) -> DataFrame:
     stems = ["pack", *schemas.PACK_AUX_FILES]
     one = F.struct("path", "doc", "error")
     wide = files.groupBy("pack_dir").agg(*[F.max(F.when(F.col("stem") == s, one)).alias(s) for s in stems])
-    doc = C.once(wide, _doc=F.try_parse_json(F.col("pack.doc")))
+    flat = wide.select(
+        "pack_dir",
+        F.col("pack").isNotNull().alias("there"),
+        *[F.col(f"{s}.{part}").alias(f"{s}_{part}") for s in stems for part in ("doc", "error")],
+    )
+    doc = C.once(flat, _doc=F.try_parse_json(F.col("pack_doc")))
     opened = C.once(doc, **{f"_{k}": C.member(F.col("_doc"), k) for k in PROFILE_KEYS})
 
     lit = F.lit
@@ -134,13 +139,13 @@ def check_packs(files: DataFrame) -> DataFrame:
         return lit(f"invalid pack profile: {field}")
 
     reason = C.first_reason(
-        (F.col("pack").isNotNull(), lit("missing pack.yaml")),
-        (F.col("pack.error").isNull(), F.col("pack.error")),
+        (F.col("there"), lit("missing pack.yaml")),
+        (F.col("pack_error").isNull(), F.col("pack_error")),
         (v["id"].isNotNull(), bad("id")),
         *[(f.ok, bad(name)) for name, f in fields.items()],
         (formats_ok, bad("formats")),
         *[(f.ok, bad(name)) for name, f in late.items()],
-        *[(F.col(f"{s}.error").isNull(), F.col(f"{s}.error")) for s in schemas.PACK_AUX_FILES],
+        *[(F.col(f"{s}_error").isNull(), F.col(f"{s}_error")) for s in schemas.PACK_AUX_FILES],
     )
     shops = F.struct(
         F.struct(digital.value.alias("marketplaces")).alias("digital"),
@@ -155,7 +160,7 @@ def check_packs(files: DataFrame) -> DataFrame:
                     *[f.value.alias(name) for name, f in fields.items()],
                     shops.alias("formats"),
                     *[f.value.alias(name) for name, f in late.items()],
-                    *[F.try_parse_json(F.col(f"{s}.doc")).alias(s) for s in schemas.PACK_AUX_FILES],
+                    *[F.try_parse_json(F.col(f"{s}_doc")).alias(s) for s in schemas.PACK_AUX_FILES],
                 )
             )
         ),
