@@ -11,7 +11,7 @@ from ..operators import deliverables as D
 from ..operators import listings as K
 from ..operators import products as P
 from ..operators import requests as R
-from .base import Query, sql_fill, table
+from .base import Query, heavy, sql_fill, table
 
 
 def slugify_products(spark, d):
@@ -29,7 +29,7 @@ from part"""
 
 
 def slugify_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", slugify(F.col("text")).alias("slug"))
+    return heavy(spark, d, "documents").select("doc_id", slugify(F.col("text")).alias("slug"))
 
 
 SLUGIFY_DOCUMENTS = """
@@ -97,7 +97,7 @@ def validate_configs(spark, d):
         .when(kind == "signup", F.concat(F.lit('{"id":'), k, F.lit("}")))
         .otherwise(F.col("props"))
     )
-    files = table(spark, d, "events").select(
+    files = heavy(spark, d, "events").select(
         F.col("event_id").cast("string").alias("pack_dir"),
         F.when(kind == "error", "style").otherwise("pack").alias("stem"),
         F.lit("f").alias("path"),
@@ -160,7 +160,7 @@ def concept_pages(spark, d):
         F.lit('```json\n{"pages":[{"id":"'), "p_brand", F.lit('","index":'), "p_size", F.lit("},"), second,
         F.lit(',{"index":"7","title":""}],"titles":{"en":"t"}}'), tail, F.lit("\n```"),
     )
-    part = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("theme"), reply.alias("content"))
+    part = heavy(spark, d, "part").select("p_partkey", F.col("p_type").alias("theme"), reply.alias("content"))
     typed = P.type_pages(L.parse_concept(part)).withColumn("error", F.coalesce("parse_error", "page_error"))
     sound = typed.withColumn("pages", F.when(F.col("error").isNull(), F.col("pages")))
     pages = P.explode_pages(sound, keep=("p_partkey", "error"), outer=True)
@@ -403,7 +403,7 @@ def normalize_listings(spark, d):
             ).alias("listings")
         )
     )
-    docs = table(spark, d, "documents").select("doc_id", doc.alias("content"))
+    docs = heavy(spark, d, "documents").select("doc_id", doc.alias("content"))
     rows = K.normalize_listings(L.parse_listings(docs), keep=("doc_id",))
     return rows.select(
         "doc_id", "pos", "marketplace", "language", "title", "description",

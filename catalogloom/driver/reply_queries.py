@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash
-from ..functions.text import strip_json_fence as strip_fence
+from ..functions.text import fold_case, strip_json_fence as strip_fence
 from ..operators import completions as L
 from ..operators import images as G
 from ..operators import policy as S
-from .base import Query, table
+from .base import Query, heavy, table
 
 
 def strip_json_fence(spark, d):
@@ -43,7 +43,7 @@ def parse_structured(spark, d):
     reply = F.concat(
         F.lit('```json\n{"subtitle":'), subtitle, F.lit(',"titles":{"en":"'), kind, F.lit('"},"pages":'), pages, tail, F.lit("\n```")
     )
-    events = table(spark, d, "events").select("event_id", reply.alias("content"))
+    events = heavy(spark, d, "events").select("event_id", reply.alias("content"))
     parsed = L.parse_concept(events)
     good = F.col("parse_error").isNull()
     return parsed.select(
@@ -90,7 +90,7 @@ select conv_id, turn, sha256(cast(to_json({'model': 'm1', 'messages': [{'role':
 
 
 def placeholder_completion(spark, d):
-    talk = table(spark, d, "conversations").select(
+    talk = heavy(spark, d, "conversations").select(
         "conv_id", "turn", F.concat("text", F.when(F.col("role") == "assistant", " Write Listings").otherwise("")).alias("user")
     )
     replies = L.parse_listings(L.parse_concept(L.placeholder_completion(talk)).withColumnRenamed("parse_error", "concept_error"))
@@ -120,7 +120,7 @@ class LengthProvider:
 
 
 def complete_batch(spark, d):
-    talk = table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("system"), F.col("text").alias("user"))
+    talk = heavy(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("system"), F.col("text").alias("user"))
     replies = L.parse_concept(L.complete_batch(talk, LengthProvider))
     return replies.select(
         "conv_id",
@@ -155,7 +155,7 @@ def estimate_cost(spark, d):
         F.when(F.col("event_type") == "view", "").otherwise(F.concat(F.lit(',"eval_count":'), F.col("value").cast("decimal(18,2)"))),
         F.lit("}"),
     )
-    events = table(spark, d, "events").select("user_id", L.estimate_cost(raw).alias("cost"))
+    events = heavy(spark, d, "events").select("user_id", L.estimate_cost(raw).alias("cost"))
     return events.groupBy("user_id").agg(F.round(F.sum("cost"), 8).alias("cost"))
 
 
@@ -173,7 +173,7 @@ def _terms_sql(terms: list[str]) -> str:
 
 
 def scan_banned_terms(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = heavy(spark, d, "documents").select("doc_id", "text")
     return S.scan_banned_terms(docs, "text", ["doc_id"], [*S.BANNED_TERMS, *CORPUS_TERMS])
 
 
@@ -184,7 +184,7 @@ where regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])' || regexp_replace(term,
 
 
 def scan_banned_substrings(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = heavy(spark, d, "documents").select("doc_id", "text")
     return S.scan_banned_terms(docs, "text", ["doc_id"], [*S.BANNED_TERMS, *CORPUS_TERMS], mode="substring")
 
 
@@ -194,7 +194,7 @@ select doc_id, term from documents cross join t where contains(lower(text), lowe
 
 
 def scan_banned_pages(spark, d):
-    pages = table(spark, d, "pages").select("page_id", "html")
+    pages = heavy(spark, d, "pages").select("page_id", "html")
     return S.scan_banned_terms(pages, "html", ["page_id"], [*S.BANNED_TERMS, "script", "doctype html", "p{margin:0}"])
 
 
@@ -206,9 +206,9 @@ where regexp_matches(html, '(?i)(^|[^\p{{L}}\p{{N}}_])' || regexp_replace(term,
 
 def scan_term_table(spark, d):
     """Documents against every word, and the opening three words, of the benchmark texts."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = heavy(spark, d, "documents").select("doc_id", "text")
     bench = table(spark, d, "benchmark")
-    singles = bench.select(F.explode(S.word_tokens(F.col("text"))).alias("term"))
+    singles = bench.select(F.explode(S.words(fold_case(F.col("text")))).alias("term"))
     phrases = bench.select(F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("term"))
     return S.scan_term_table(docs, singles.unionByName(phrases), "text", "doc_id")
 

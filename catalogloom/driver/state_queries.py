@@ -18,6 +18,7 @@ from .base import (
     STAMP_SQL,
     Query,
     event_runs,
+    heavy,
     money,
     stamp,
     table,
@@ -139,7 +140,7 @@ LINE_NAMES = [f"line{i}" for i in range(1, 8)]
 
 def _line_artifacts(spark, d):
     """Order lines as artifacts: order = product, line number = artifact name."""
-    line = table(spark, d, "lineitem")
+    line = heavy(spark, d, "lineitem")
     text = F.concat_ws("|", "l_partkey", "l_suppkey", money("l_quantity"), money("l_extendedprice"), "l_returnflag")
     return line.select(
         F.col("l_orderkey").alias("product_id"),
@@ -198,7 +199,7 @@ from orders join customer on o_custkey = c_custkey"""
 
 
 def files_digest(spark, d):
-    docs = table(spark, d, "documents").select(
+    docs = heavy(spark, d, "documents").select(
         "source", F.concat_ws("/", "source", "doc_id").alias("path"), content_hash(F.col("text")).alias("sha")
     )
     return digest(docs, ["source"], "path", "sha")

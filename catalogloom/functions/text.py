@@ -47,15 +47,22 @@ def strip_json_fence(c: Column) -> Column:
     return strip_ws(F.when(F.size(parts) == 3, body).otherwise(c))
 
 
-# Lower-case letters that share their capital with another letter, and that letter.
-_TWINS = "ſıςµϐϑϕϖϰϱϵẛ"
-_MAIN = "siσμβθφπκρεṡ"
+# Letters that share their other case with a second letter, and that letter.
+TWINS = {
+    "ſ": "s", "ı": "i", "ς": "σ", "µ": "μ", "ϐ": "β", "ϑ": "θ",
+    "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε", "ẛ": "ṡ",
+}
 
 
 def fold_case(c: Column) -> Column:
-    """Text in which two letters are equal when they differ in case only, one letter for one letter."""
-    lowered = F.lower(F.replace(c, F.lit("İ"), F.lit("i")))
-    return F.when(lowered.rlike(f"[{_TWINS}]"), F.translate(lowered, _TWINS, _MAIN)).otherwise(lowered)
+    """Text in which two letters are equal when they differ in case only, one letter for one letter.
+
+    Plain replacements: each is one fast byte search, and a text seldom holds any of these letters.
+    """
+    folded = F.lower(F.replace(c, F.lit("İ"), F.lit("i")))
+    for twin, main in TWINS.items():
+        folded = F.replace(folded, F.lit(twin), F.lit(main))
+    return folded
 
 
 def truthy(c: Column) -> Column:

@@ -17,6 +17,38 @@ OUTPUTS = {
 }
 
 
+def deliverables_of(
+    marketplaces: dict[str, Column], formats: Column, languages: Column, pack: Column, theme: Column
+) -> Column:
+    """All outputs of a product as one array: format × marketplace of that format × language × kind.
+
+    ``marketplaces`` maps a format to its array column. Formats the request names but no one knows
+    yield nothing.
+    """
+
+    def outputs(kind: str, shop: Column, language: Column) -> Column:
+        return F.array(
+            *[
+                F.struct(
+                    F.lit(kind).alias("format"),
+                    shop.alias("marketplace"),
+                    language.alias("language"),
+                    F.lit(name).alias("kind"),
+                    deliverable_path(F.lit(kind), language, pack, theme, shop, F.lit(suffix)).alias("path"),
+                )
+                for name, suffix in OUTPUTS[kind]
+            ]
+        )
+
+    def of_format(kind: str, shops: Column) -> Column:
+        per_shop = F.transform(
+            shops, lambda shop: F.flatten(F.transform(languages, lambda language: outputs(kind, shop, language)))
+        )
+        return F.when(F.array_contains(formats, kind), F.flatten(per_shop))
+
+    return F.flatten(F.array_compact(F.array(*[of_format(k, shops) for k, shops in marketplaces.items()])))
+
+
 def expand_deliverables(
     df: DataFrame,
     marketplaces: dict[str, Column] | None = None,
@@ -26,45 +58,11 @@ def expand_deliverables(
     theme: str = "theme",
     keep: Sequence[str] = ("product_id",),
 ) -> DataFrame:
-    """Each requested format × marketplace of that format × language, two outputs each.
-
-    ``marketplaces`` maps a format to its array column. Formats the request names but no one knows
-    yield nothing. Only projections and explodes: rows multiply where they are, nothing moves.
-    """
+    """One row per output of each product. Rows multiply where they are, nothing moves."""
     if marketplaces is None:
         marketplaces = {kind: F.col(f"pack_formats.{kind}.marketplaces") for kind in OUTPUTS}
-    wanted = F.array(
-        *[
-            F.when(
-                F.array_contains(formats, kind),
-                F.struct(
-                    F.lit(kind).alias("format"),
-                    column.alias("marketplaces"),
-                    F.array(
-                        *[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("suffix")) for k, s in OUTPUTS[kind]]
-                    ).alias("outputs"),
-                ),
-            )
-            for kind, column in marketplaces.items()
-        ]
-    )
-    carried = [*keep, *[c for c in (pack, theme) if c not in keep]]
-    return (
-        df.select(*carried, F.col(languages).alias("_langs"), F.explode(F.array_compact(wanted)).alias("_f"))
-        .select("*", F.explode("_f.marketplaces").alias("marketplace"))
-        .select("*", F.explode("_langs").alias("language"))
-        .select("*", F.explode("_f.outputs").alias("_o"))
-        .select(
-            *carried,
-            F.col("_f.format").alias("format"),
-            "marketplace",
-            "language",
-            F.col("_o.kind").alias("kind"),
-            deliverable_path(
-                F.col("_f.format"), F.col("language"), F.col(pack), F.col(theme), F.col("marketplace"), F.col("_o.suffix")
-            ).alias("path"),
-        )
-    )
+    made = deliverables_of(marketplaces, F.col(formats), F.col(languages), F.col(pack), F.col(theme))
+    return df.select(*keep, F.inline(made))
 
 
 def deliverable_path(

@@ -83,30 +83,27 @@ def scan_banned_terms(
 
 
 # A word, or one character that is neither part of a word nor a blank.
-_PIECE = rf"({_WORD}+|[^\p{{L}}\p{{N}}_\s])"
+_PIECE = rf"{_WORD}+|[^\p{{L}}\p{{N}}_\s]"
 
 
-def word_tokens(text: Column) -> Column:
-    """Distinct words of a text, in one case."""
-    return F.array_distinct(F.regexp_extract_all(fold_case(text), F.lit(rf"({_WORD}+)"), 1))
+def words(folded: Column) -> Column:
+    """Distinct words of a text already folded to one case."""
+    return F.array_distinct(F.regexp_extract_all(folded, F.lit(f"{_WORD}+"), 0))
 
 
-def _pieces(text: Column) -> Column:
-    return F.regexp_extract_all(fold_case(text), F.lit(_PIECE), 1)
+def pieces(folded: Column) -> Column:
+    """Words and single signs of a folded text, in order."""
+    return F.regexp_extract_all(folded, F.lit(_PIECE), 0)
 
 
-def _openings(text: Column) -> Column:
-    """Every way a term of several pieces, or of one sign, can begin in the text."""
-    pieces = _pieces(text)
-    pairs = F.zip_with(pieces, F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), _pair)
-    signs = F.filter(pieces, lambda p: ~p.rlike(_WORD))
+def openings(parts: Column) -> Column:
+    """Every way a term of several pieces, or of one sign, can begin in a text with these pieces."""
+    following = F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
+    pairs = F.zip_with(parts, following, lambda first, second: F.concat(first, F.lit(" "), second))
+    signs = F.filter(parts, lambda p: ~p.rlike(_WORD))
     return F.array_distinct(F.array_compact(F.concat(pairs, signs)))
 
 
-def _pair(first: Column, second: Column) -> Column:
-    return F.concat(first, F.lit(" "), second)
-
-
 def scan_term_table(
     df: DataFrame, terms: DataFrame, text: str, key: str, term: str = "term", phrases: bool = True, salts: int = 8
 ) -> DataFrame:
@@ -118,20 +115,26 @@ def scan_term_table(
     recurs in a large share of the texts, so both join keys carry a salt derived from the text key.
     ``phrases=False`` skips the second half for tables known to hold single words only.
     """
-    listed = terms.select(F.col(term).alias("term")).filter(F.col("term") != "").distinct()
-    single = F.col("term").rlike(rf"\A{_WORD}+\z")
+    listed = (
+        terms.select(F.col(term).alias("term"))
+        .filter(F.col("term") != "")
+        .distinct()
+        .select("term", fold_case(F.col("term")).alias("_folded"), F.col("term").rlike(rf"\A{_WORD}+\z").alias("_single"))
+    )
     salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("_salt")
     every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    folded = df.select(F.col(key), salt, fold_case(F.col(text)).alias("_folded"))
 
-    by_word = listed.filter(single).select("term", fold_case(F.col("term")).alias("_k"), every_salt)
-    offered = df.select(F.col(key), salt, F.explode(word_tokens(F.col(text))).alias("_k"))
+    by_word = listed.filter("_single").select("term", F.col("_folded").alias("_k"), every_salt)
+    offered = folded.select(key, "_salt", F.explode(words(F.col("_folded"))).alias("_k"))
     settled = offered.join(by_word, ["_salt", "_k"], "inner").select(key, "term")
     if not phrases:
         return settled
 
-    opening = F.array_join(F.slice(_pieces(F.col("term")), 1, 2), " ")
-    by_opening = listed.filter(~single).select("term", opening.alias("_k"), every_salt)
-    begun = df.select(F.col(key), salt, F.explode(_openings(F.col(text))).alias("_k"))
+    opening = F.array_join(F.slice(pieces(F.col("_folded")), 1, 2), " ")
+    by_opening = listed.filter(~F.col("_single")).select("term", opening.alias("_k"), every_salt)
+    cut = folded.select(key, "_salt", pieces(F.col("_folded")).alias("_pieces"))
+    begun = cut.select(key, "_salt", F.explode(openings(F.col("_pieces"))).alias("_k"))
     quoted = F.concat(F.lit(r"\Q"), F.col("term"), F.lit(r"\E"))
     pattern = F.concat(F.lit("(?iu)"), quoted, F.lit(f"(?<!{_WORD}"), quoted, F.lit(f")(?!{_WORD})"))
     longer = begun.join(by_opening, ["_salt", "_k"], "inner").select(key, "term", pattern.alias("_pattern"))

@@ -72,23 +72,28 @@ def explode_text_pages(df: DataFrame, text: str, keep: tuple[str, ...]) -> DataF
     )
 
 
+def asset_of(page_id: Column, prompt: Column, size: Column) -> Column:
+    """The image asset of a page; the size comes from the pack, the rest is fixed."""
+    return F.struct(
+        page_id.alias("id"),
+        page_id.alias("page_id"),
+        prompt.alias("prompt"),
+        F.lit("1:1").alias("aspect_ratio"),
+        size.alias("size"),
+        F.lit("high").alias("quality"),
+    )
+
+
 def plan_assets(pages: DataFrame, packs: DataFrame | None = None, on: str = "pack", size: str = "image_size") -> DataFrame:
-    """One image asset per page; the size comes from the pack, the rest is fixed.
+    """One image asset per page.
 
     Give ``packs`` only when the pages do not carry the size yet: carrying it through the explode is
     free, joining after it moves every page.
     """
     joined = pages if packs is None else pages.join(packs.select(on, size), on, "inner")
     keys = [c for c in ("product_id", "pos") if c in joined.columns]
-    return joined.select(
-        *keys,
-        "id",
-        F.col("id").alias("page_id"),
-        "prompt",
-        F.lit("1:1").alias("aspect_ratio"),
-        F.col(size).alias("size"),
-        F.lit("high").alias("quality"),
-    )
+    made = joined.select(*keys, asset_of(F.col("id"), F.col("prompt"), F.col(size)).alias("asset"))
+    return made.select(*keys, "asset.*")
 
 
 def localized_title(titles: Column, language: Column, theme: Column) -> Column:

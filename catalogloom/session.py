@@ -51,3 +51,14 @@ def settle(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Even out a scan that is coarser than the cluster, ahead of costly per-row work.
+
+    A table in few files or few row groups would run regexes and parsers on few cores. A scan that
+    already has a split per core, as any large table does, is returned as it is: no shuffle. Give a
+    bare scan; the split count is read from the plan without running a job.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -5,14 +5,14 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas
 from ..functions.text import file_stem, parent_name
 from ..operators.requests import validate_packs
 
 
-@F.pandas_udf("struct<doc:string,error:string>")
+@F.pandas_udf(T.StructType([T.StructField("doc", T.StringType()), T.StructField("error", T.StringType())]))
 def _yaml_to_json(content: pd.Series, path: pd.Series) -> pd.DataFrame:
     import yaml
 

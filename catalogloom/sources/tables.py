@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas
 from ..functions.text import file_stem
@@ -92,7 +95,37 @@ def read_file_stats(spark: SparkSession, path: str, pattern: str = "*") -> DataF
     return files.load(path).select("path", "length")
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def plain_path(c: Column) -> Column:
+    """A file location without its scheme, as the tables store it."""
+    return F.regexp_replace(c, r"\Afile:/+", "/")
+
+
+def write_files(df: DataFrame, root: str) -> DataFrame:
+    """Write ``content`` to ``root/<product_id>/<path>`` on the shared mount; returns product_id, path, length, uri.
+
+    Lazy: write or cache the result to run it. Each file appears under its final name in one step,
+    so a task that is repeated replaces its files with equal ones.
+    """
+
+    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for product, path, content in zip(batch["product_id"], batch["path"], batch["content"]):
+                target = os.path.join(root, product, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                draft = f"{target}.{os.getpid()}.part"
+                with open(draft, "wb") as handle:
+                    handle.write(content)
+                os.replace(draft, target)
+                rows.append((product, path, len(content), target))
+            yield pd.DataFrame(rows, columns=["product_id", "path", "length", "uri"])
+
+    return df.select("product_id", "path", "content").mapInPandas(
+        store, "product_id string, path string, length bigint, uri string"
+    )
+
+
+def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Decoded images: path, height, width, channels, data (blue-green-red rows)."""
     return spark.read.format("image").load(path).select(
         F.col("image.origin").alias("path"),
@@ -103,7 +136,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _orientation(content: pd.Series) -> pd.Series:
     return content.map(exif_orientation)
 
