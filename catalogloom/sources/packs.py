@@ -31,9 +31,8 @@ def _yaml_to_json(content: pd.Series, path: pd.Series) -> pd.DataFrame:
 
 def read_pack_files(spark: SparkSession, root: str) -> DataFrame:
     """One row per known YAML file under ``root/<pack>/``: pack_dir, stem, path, doc, error."""
-    texts = spark.read.text(f"{root}/*/*.yaml", wholetext=True).select(
-        "value", F.col("_metadata.file_path").alias("path")
-    )
+    # File sources skip empty files, but an empty YAML file counts as an empty mapping.
+    texts = spark.createDataFrame(spark.sparkContext.wholeTextFiles(f"{root}/*/*.yaml"), "path string, value string")
     known = texts.withColumn("stem", file_stem(F.col("path"))).filter(
         F.col("stem").isin("pack", *schemas.PACK_AUX_FILES)
     )
