@@ -172,15 +172,20 @@ def _terms_sql(terms: list[str]) -> str:
     return ", ".join("('" + t.replace("'", "''") + "')" for t in terms)
 
 
+def _whole_word_sql(text: str) -> str:
+    """Term occurs as a whole word; the substring test comes first because the pattern search is slow."""
+    return rf"""case when contains(lower({text}), lower(term)) then regexp_matches({text}, '(?i)(^|[^\p{{L}}\p{{N}}_])'
+  || regexp_replace(term, '([^\p{{L}}\p{{N}}_\s])', '\\\1', 'g') || '($|[^\p{{L}}\p{{N}}_])') else false end"""
+
+
 def scan_banned_terms(spark, d):
     docs = heavy(spark, d, "documents").select("doc_id", "text")
     return S.scan_banned_terms(docs, "text", ["doc_id"], [*S.BANNED_TERMS, *CORPUS_TERMS])
 
 
-SCAN_BANNED_TERMS = rf"""
+SCAN_BANNED_TERMS = f"""
 with t(term) as (values {_terms_sql([*S.BANNED_TERMS, *CORPUS_TERMS])})
-select doc_id, term from documents cross join t
-where regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])' || regexp_replace(term, '([^\p{{L}}\p{{N}}_\s])', '\\\1', 'g') || '($|[^\p{{L}}\p{{N}}_])')"""
+select doc_id, term from documents cross join t where {_whole_word_sql('text')}"""
 
 
 def scan_banned_substrings(spark, d):
@@ -198,10 +203,9 @@ def scan_banned_pages(spark, d):
     return S.scan_banned_terms(pages, "html", ["page_id"], [*S.BANNED_TERMS, "script", "doctype html", "p{margin:0}"])
 
 
-SCAN_BANNED_PAGES = rf"""
+SCAN_BANNED_PAGES = f"""
 with t(term) as (values {_terms_sql([*S.BANNED_TERMS, "script", "doctype html", "p{margin:0}"])})
-select page_id, term from pages cross join t
-where regexp_matches(html, '(?i)(^|[^\p{{L}}\p{{N}}_])' || regexp_replace(term, '([^\p{{L}}\p{{N}}_\s])', '\\\1', 'g') || '($|[^\p{{L}}\p{{N}}_])')"""
+select page_id, term from pages cross join t where {_whole_word_sql('html')}"""
 
 
 def scan_term_table(spark, d):
@@ -213,15 +217,14 @@ def scan_term_table(spark, d):
     return S.scan_term_table(docs, singles.unionByName(phrases), "text", "doc_id")
 
 
-SCAN_TERM_TABLE = r"""
-with words as (select distinct unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from benchmark),
-docs as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) as term from documents),
+SCAN_TERM_TABLE = rf"""
+with words as (select distinct unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) as term from benchmark),
+docs as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'))) as term from documents),
 phrases as (select distinct array_to_string(string_split(text, ' ')[1:3], ' ') as term from benchmark)
 select doc_id, term from docs join words using (term)
 union all
-select doc_id, term from documents cross join phrases where not regexp_matches(term, '^[\p{L}\p{N}_]+$')
-  and contains(lower(text), lower(term))
-  and regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])' || regexp_replace(term, '([^\p{L}\p{N}_\s])', '\\\1', 'g') || '($|[^\p{L}\p{N}_])')"""
+select doc_id, term from documents cross join phrases
+where not regexp_matches(term, '^[\p{{L}}\p{{N}}_]+$') and {_whole_word_sql('text')}"""
 
 
 def _scaled(e):

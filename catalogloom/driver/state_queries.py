@@ -39,7 +39,7 @@ from events group by rollup (user_id, event_type)"""
 
 
 def cumulative_cost(spark, d):
-    """Running cost in blocks of one hour of event time."""
+    """Running cost in blocks of one day of event time."""
     events = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value")
     out = I.cumulative_cost(
         events, ["user_id", "event_type"], ["ts", "event_id"], "value", F.date_trunc("day", "ts")
@@ -236,16 +236,12 @@ select product_id,
 from p"""
 
 
-def _expected_outputs(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("product_id"))
-    return orders.select("product_id", F.lit("package").alias("stage"), F.explode(F.array(*[F.lit(n) for n in DECLARED])).alias("name"))
-
-
 def outputs_complete(spark, d):
+    nodes = table(spark, d, "orders").select(F.col("o_orderkey").alias("product_id"), F.lit("package").alias("stage"))
     existing = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("product_id"), F.lit("package").alias("stage"), F.concat(F.lit("line"), "l_linenumber").alias("name")
+        F.col("l_orderkey").alias("product_id"), F.lit("package").alias("stage"), F.col("l_linenumber").alias("output")
     )
-    return I.outputs_complete(_expected_outputs(spark, d), existing, ["product_id", "stage"], "name")
+    return I.outputs_complete(nodes, existing, ["product_id", "stage"], "output", [1, 2])
 
 
 OUTPUTS_COMPLETE_SQL = """o as (

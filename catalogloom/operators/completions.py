@@ -258,15 +258,12 @@ def first_valid_attempt(
     valid: Column | None = None,
     max_attempts: int = MAX_ATTEMPTS,
 ) -> DataFrame:
-    """The first usable reply per key among the allowed attempts.
-
-    The winning attempt number is a hash aggregate over narrow rows with map-side reduction; reply
-    texts only pass the join that keeps the winners.
-    """
+    """The first usable reply per key among the allowed attempts, picked on the mappers first."""
     ok = F.col("parse_error").isNull() if valid is None else valid
+    rest = [c for c in attempts.columns if c not in keys]
     usable = attempts.filter(ok & (F.col(attempt) <= F.lit(max_attempts)))
-    first = usable.groupBy(*keys).agg(F.min(attempt).alias(attempt))
-    return usable.join(first, [*keys, attempt], "left_semi")
+    first = usable.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(attempt)).alias("_first"))
+    return first.select(*keys, "_first.*").select(*attempts.columns)
 
 
 def retry_parse(

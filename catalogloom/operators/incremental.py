@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .. import schemas
 from ..functions.hashing import by_name, node_key
 from .requests import distinct_keys
 
@@ -80,12 +81,19 @@ def combine_hashes(
 
 
 def outputs_complete(
-    expected: DataFrame, existing: DataFrame, keys: Sequence[str], output: str, out: str = "outputs_ok"
+    nodes: DataFrame, existing: DataFrame, keys: Sequence[str], output: str, outputs: Sequence, out: str = "outputs_ok"
 ) -> DataFrame:
-    """Per group: do all expected outputs exist?"""
-    there = distinct_keys(existing, *keys, output).withColumn("_there", F.lit(True))
-    joined = expected.join(there, [*keys, output], "left")
-    return joined.groupBy(*keys).agg(F.bool_and(F.coalesce("_there", F.lit(False))).alias(out))
+    """Per node: do all its outputs exist? ``outputs`` is the stage's declared list.
+
+    One flag per declared output, combined on the mappers: existing rows of any number and skew
+    become one row per node before they meet the nodes.
+    """
+    flags = [F.max(F.when(F.col(output) == name, 1).otherwise(0)).alias(f"_has{i}") for i, name in enumerate(outputs)]
+    held = existing.filter(F.col(output).isin(*outputs)).groupBy(*keys).agg(*flags)
+    whole = F.lit(True)
+    for i in range(len(outputs)):
+        whole = whole & (F.coalesce(F.col(f"_has{i}"), F.lit(0)) == 1)
+    return nodes.select(*keys).join(held, list(keys), "left").select(*keys, whole.alias(out))
 
 
 def decide(status: Column, prior_hash: Column, new_hash: Column, outputs_ok: Column) -> Column:
@@ -152,12 +160,17 @@ def fold_node_runs(runs: DataFrame, include_failed: bool = False) -> DataFrame:
 
     Status and error come from the last run, hash and output path from the last run that finished,
     the cost from all finished runs, the first timestamp from the first run that really started.
-    One aggregation with partial results per mapper.
+    One aggregation with partial results per mapper. Run number and status share one number, so
+    reports that need neither hash nor error fold numbers only, in a hash table.
     """
     done = F.col("status") == "done"
     counted = F.col("cost") if include_failed else F.when(done, F.col("cost"))
+    codes = F.array(*[F.lit(s) for s in schemas.NODE_STATUSES])
+    width = len(schemas.NODE_STATUSES) + 1
+    numbered = F.col("run").cast("bigint") * F.lit(width) + F.array_position(codes, F.col("status"))
     folded = runs.groupBy("product_id", "stage").agg(
-        F.max(F.struct("run", "status", "error")).alias("_last"),
+        F.max(numbered).alias("_status"),
+        F.max(F.struct("run", "error"))["error"].alias("error"),
         F.max(F.when(done, F.struct("run", "input_hash", "output_path"))).alias("_done"),
         F.coalesce(F.sum(counted), F.lit(0.0)).alias("cost"),
         F.min(F.when(F.coalesce("started", F.lit(True)), F.col("ts"))).alias("created_at"),
@@ -166,11 +179,11 @@ def fold_node_runs(runs: DataFrame, include_failed: bool = False) -> DataFrame:
     return folded.select(
         "product_id",
         "stage",
-        "_last.status",
+        F.get(codes, (F.pmod(F.col("_status"), F.lit(width)) - 1).cast("int")).alias("status"),
         F.coalesce("_done.input_hash", F.lit("")).alias("input_hash"),
         F.coalesce("_done.output_path", F.lit("")).alias("output_path"),
         "cost",
-        F.coalesce("_last.error", F.lit("")).alias("error"),
+        F.coalesce("error", F.lit("")).alias("error"),
         "created_at",
         "updated_at",
     )

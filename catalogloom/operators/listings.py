@@ -55,11 +55,12 @@ def dedupe_listings(
 ) -> DataFrame:
     """The last listing per key, for the exported copies only.
 
-    The winning position is found on the narrow key columns, which aggregate in a hash table with
-    map-side reduction; the wide text columns take part only in the join that keeps the winners.
+    Each mapper keeps its last listing per key before anything moves, so a shelf with a large share
+    of all listings sends one row per mapper, and texts travel once.
     """
-    last = df.groupBy(*keys).agg(F.max(pos).alias(pos))
-    return df.join(last, [*keys, pos], "left_semi")
+    rest = [c for c in df.columns if c not in keys]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(pos)).alias("_last"))
+    return last.select(*keys, "_last.*").select(*df.columns)
 
 
 def check_listings(

@@ -69,14 +69,15 @@ def stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFra
         return None if schema is None else spark.createDataFrame([], schema)
 
 
-def current(run: Run, name: str) -> DataFrame | None:
-    """The latest output of each product under a name."""
+def current(run: Run, name: str, *columns: str) -> DataFrame | None:
+    """The named columns of each product's latest output under a name; one shuffle of what is asked for."""
     rows = stored(run.spark, run.path("out", name))
     if rows is None:
         return None
-    rows = rows.filter(F.col("error").isNull())
-    last = rows.groupBy("product_id").agg(F.max("run").alias("run"))
-    return rows.join(last, ["product_id", "run"], "left_semi")
+    last = rows.filter(F.col("error").isNull()).groupBy("product_id").agg(
+        F.max_by(F.struct(F.col("run"), *columns), F.col("run")).alias("_last")
+    )
+    return last.select("product_id", *[F.col(f"_last.{c}").alias(c) for c in columns])
 
 
 def resolve(requests: DataFrame, packs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -287,7 +288,7 @@ def run_stage(run: Run, stage: str, alive: DataFrame, log_path: str) -> DataFram
     """Bind, compare, run and log one stage; returns its decisions."""
     spark, output = run.spark, schemas.STAGE_OUTPUT[stage]
     declared = [*schemas.STAGE_INPUTS[stage], *HIDDEN_INPUTS.get(stage, [])]
-    held = {name: df for name in declared if (df := current(run, name)) is not None}
+    held = {name: df for name in declared if (df := current(run, name, "content_hash")) is not None}
     hashes = None
     for name, df in held.items():
         part = df.select("product_id", F.lit(name).alias("name"), "content_hash")
@@ -325,7 +326,7 @@ def run_stage(run: Run, stage: str, alive: DataFrame, log_path: str) -> DataFram
     if todo.isEmpty():
         S.write_run_state(unbound, log_path)
         return decisions
-    inputs = {name: df.select("product_id", F.col("doc").alias(name)) for name, df in held.items()}
+    inputs = {name: current(run, name, "doc").withColumnRenamed("doc", name) for name in declared}
     made = STAGES[stage](run, todo, inputs).join(todo.select("product_id", "input_hash", "config_hash"), "product_id")
     using = run.runtime["image" if stage == "assets" else "llm"]
     enveloped = made.select(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,21 +22,6 @@ def local_session(cores: int | str = "*", app: str = "catalogloom", memory: str
     )
 
 
-def reliable_cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, never through executor-local blocks.
-
-    The folder named by ``spark.checkpoint.dir`` wins; only a session without one (tests) gets a
-    temporary folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        )
-    return df.checkpoint(eager=True)
-
-
 def settle(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet and return the stored table.
 

@@ -148,9 +148,8 @@ def test_plan_incremental_truth_table(spark):
         [("b", "package", "failed", "h"), ("c", "package", "done", "x"), ("d", "package", "done", "h"), ("e", "package", "done", "h")],
         "product_id string, stage string, status string, input_hash string",
     )
-    expected = spark.createDataFrame([(n, "package", o) for n in "abcde" for o in "12"], "product_id string, stage string, name string")
     existing = spark.createDataFrame([(n, "package", o) for n in "abce" for o in "12"] + [("d", "package", "1")], "product_id string, stage string, name string")
-    outputs = I.outputs_complete(expected, existing, ["product_id", "stage"], "name")
+    outputs = I.outputs_complete(nodes, existing, ["product_id", "stage"], "name", ["1", "2"])
     got = rows(I.plan_incremental(nodes, state, outputs).select("product_id", "decision"))
     assert got == [("a", "run"), ("b", "run"), ("c", "run"), ("d", "run"), ("e", "skip")]
 
