@@ -209,11 +209,16 @@ def cumulative_cost(
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = tagged.groupBy(*keys, "_block").agg(F.sum(cost).alias("_sum"))
-    starts = totals.select(*keys, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_start"))
+    starts = totals.select(
+        *[F.col(k).alias(f"_at_{k}") for k in [*keys, "_block"]],
+        F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_start"),
+    )
     running = F.sum(cost).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Null-safe, so that runs with an unknown key keep their rows too.
+    same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in [*keys, "_block"]]
     return (
         tagged.withColumn("_in", running)
-        .join(starts, [*keys, "_block"], "inner")
+        .join(starts, same, "inner")
         .withColumn(out, F.col("_start") + F.col("_in"))
-        .drop("_block", "_in", "_start")
+        .select(*runs.columns, out)
     )

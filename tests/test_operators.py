@@ -196,7 +196,7 @@ def test_fold_node_runs_and_reports(spark):
 
 def test_cumulative_cost_of_a_hot_node(spark):
     rng = random.Random(3)
-    data = [("hot" if i % 3 else f"p{i % 50}", "s", i, rng.randint(1, 9)) for i in range(3000)]
+    data = [("hot" if i % 3 else (f"p{i % 50}" if i % 50 else None), "s", i, rng.randint(1, 9)) for i in range(3000)]
     df = spark.createDataFrame(data, "product_id string, stage string, run int, cost int").withColumn("cost", F.col("cost").cast("double"))
     out = I.cumulative_cost(df, ["product_id", "stage"], ["run"], "cost", F.floor(F.col("run") / 100))
     total, want = {}, {}
