@@ -147,6 +147,40 @@ def assets(run: Run, rows: DataFrame, inputs: dict[str, DataFrame]) -> DataFrame
     return _result(planned.join(broken, "product_id", "left"), F.col("doc"), F.col("error"))
 
 
+RUN_FOLDER = r"^(.*/run=\d+)/"
+
+
+def _pixels(run: Run, folders: list[str]) -> DataFrame:
+    """Decoded images of whole run folders, with product and file path read off their location."""
+    inside = F.regexp_replace("uri", RUN_FOLDER, "")
+    found = S.read_images(run.spark, [f"{folder}/*/assets" for folder in folders]).withColumnRenamed("path", "uri")
+    return found.withColumns(
+        {
+            "product_id": F.substring_index(inside, "/", 1),
+            "path": F.concat(F.lit("processed/"), F.substring_index(inside, "/", -1)),
+        }
+    ).drop("uri")
+
+
+def _pending_pixels(run: Run, todo: DataFrame, files: DataFrame) -> DataFrame | None:
+    """Pixels of the pending images.
+
+    A folder whose images are all pending, the usual case, is read without any join, so pixels are
+    cleaned where they were decoded. Only folders that are partly done meet the pending list. What
+    comes to the driver is one row per earlier run.
+    """
+    folder = F.regexp_extract("uri", RUN_FOLDER, 1).alias("folder")
+    held = files.filter(F.col("path").startswith("assets/")).groupBy(folder).agg(F.count(F.lit(1)).alias("held"))
+    wanted = todo.groupBy(folder).agg(F.count(F.lit(1)).alias("wanted"))
+    counts = wanted.join(held, "folder").collect()
+    whole = [c.folder for c in counts if c.wanted == c.held]
+    partly = [c.folder for c in counts if c.wanted != c.held]
+    parts = [_pixels(run, whole)] if whole else []
+    if partly:
+        parts.append(_pixels(run, partly).join(todo.select("product_id", "path"), ["product_id", "path"], "left_semi"))
+    return W.union_issues(*parts) if parts else None
+
+
 def postprocess(run: Run, rows: DataFrame, inputs: dict[str, DataFrame]) -> DataFrame:
     planned = rows.select("product_id").join(inputs["assets"], "product_id").withColumnRenamed("assets", "doc")
     files = stored(run.spark, run.path("files"), FILES)
@@ -154,19 +188,13 @@ def postprocess(run: Run, rows: DataFrame, inputs: dict[str, DataFrame]) -> Data
     pending = I.pending_files(wanted, files, keys=("product_id",))
     located = files.select("product_id", F.col("path").alias("asset_path"), "uri")
     todo = settle(pending.join(located, ["product_id", "asset_path"], "left"), run.path("todo", f"run={run.number}"))
-    # As many folders as there were runs, not as many as there are images.
-    folders = [r[0] for r in todo.select(F.regexp_extract("uri", r"^(.*/run=\d+)/", 1)).distinct().collect() if r[0]]
-    if folders:
-        pixels = S.read_images(run.spark, [f"{folder}/*/*" for folder in folders])
-        keyed = pixels.withColumn("uri", S.plain_path(F.col("path"))).drop("path")
-        cleaned = settle(
-            G.binarize_images(keyed.join(todo.select("product_id", "path", "uri"), "uri")),
-            run.path("cleaned", f"run={run.number}"),
-        )
+    pixels = _pending_pixels(run, todo, files)
+    if pixels is None:
+        cleaned_paths = todo.select("product_id", "path").filter(F.lit(False))
+    else:
+        cleaned = settle(G.binarize_images(pixels), run.path("cleaned", f"run={run.number}"))
         settle(S.write_files(cleaned, run.path("images", f"run={run.number}")), run.path("files"), mode="append")
         cleaned_paths = cleaned.select("product_id", "path")
-    else:
-        cleaned_paths = todo.select("product_id", "path").filter(F.lit(False))
     lost = todo.join(cleaned_paths, ["product_id", "path"], "left_anti")
     error = lost.groupBy("product_id").agg(F.min(F.concat(F.lit("cannot clean image: "), "asset_path")).alias("error"))
     return _result(planned.join(error, "product_id", "left"), F.col("doc"), F.col("error"))

@@ -92,12 +92,13 @@ def read_node_state(spark: SparkSession, path: str) -> DataFrame:
 def read_file_stats(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Path and byte size of files; their content is not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-    return files.load(path).select("path", "length")
+    return files.load(path).select(plain_path(F.col("path")).alias("path"), "length")
 
 
-def plain_path(c: Column) -> Column:
-    """A file location without its scheme, as the tables store it."""
-    return F.regexp_replace(c, r"\Afile:/+", "/")
+def plain_path(c: Column, encoded: bool = False) -> Column:
+    """A file location without its scheme, as the tables store it; ``encoded`` undoes URL escapes."""
+    bare = F.regexp_replace(c, r"\Afile:/+", "/")
+    return F.url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))) if encoded else bare
 
 
 def write_files(df: DataFrame, root: str) -> DataFrame:
@@ -126,9 +127,12 @@ def write_files(df: DataFrame, root: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Decoded images: path, height, width, channels, data (blue-green-red rows)."""
-    return spark.read.format("image").load(path).select(
-        F.col("image.origin").alias("path"),
+    """Decoded images: path, height, width, channels, data (blue-green-red rows).
+
+    Files that are no image have no row; compare with ``read_file_stats`` to find them.
+    """
+    return spark.read.format("image").option("dropInvalid", True).load(path).select(
+        plain_path(F.col("image.origin"), encoded=True).alias("path"),
         F.col("image.height").alias("height"),
         F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("channels"),
@@ -148,7 +152,8 @@ def read_orientations(spark: SparkSession, path: str) -> DataFrame:
     photographs are to be expected.
     """
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", _orientation("content").alias("orientation")).filter(F.col("orientation") > 1)
+    turned = files.select(plain_path(F.col("path")).alias("path"), _orientation("content").alias("orientation"))
+    return turned.filter(F.col("orientation") > 1)
 
 
 def write_listings(df: DataFrame, path: str, keys: tuple[str, ...] = ("product_id", "marketplace", "language")) -> None:

@@ -126,3 +126,22 @@ def test_missing_input_is_logged(spark, packs, tmp_path):
     runs = S.read_node_runs(spark, f"{work}/node_runs").collect()
     assert [(r.stage, r.status, r.error) for r in runs] == [("assets", "failed", "missing input artifact: concept")]
     assert I.fold_node_runs(S.read_node_runs(spark, f"{work}/node_runs")).first().created_at is None
+
+
+def test_undecodable_image_fails_its_product_only(spark, packs, tmp_path):
+    work = str(tmp_path)
+    asked = requests(spark, "sea", "sky").withColumn(
+        "product_id", F.when(F.col("theme") == "sea", "x y+é%20").otherwise(F.col("product_id"))
+    )
+    products, _ = catalog.resolve(asked, packs)
+
+    def draw(df):
+        return L.placeholder_images(df).withColumn(
+            "content", F.when((F.col("product_id") == "sample-sky") & (F.col("id") == "page_002"), F.lit(b"no image")).otherwise(F.col("content"))
+        )
+
+    done = decisions(catalog.produce(spark, products, work, RUNTIME, draw=draw))
+    assert {p for p, s in done if s == "review"} == {"x y+é%20"}
+    state = {(r.product_id, r.stage): r for r in S.read_node_state(spark, f"{work}/node_runs").collect()}
+    assert state[("sample-sky", "postprocess")].error == "cannot clean image: assets/page_002.png"
+    assert state[("x y+é%20", "review")].status == "done"

@@ -286,9 +286,8 @@ def test_images_from_files(spark, tmp_path):
     (tmp_path / "color.png").write_bytes(png([[255, 0, 0, 0, 255, 0, 255, 255, 255]], 2))
     (tmp_path / "turned.png").write_bytes(png([[255, 0], [0, 0], [0, 0]], 0, extra=exif))
     images = T.read_images(spark, str(tmp_path))
-    turns = T.read_orientations(spark, str(tmp_path)).select(T.plain_path(F.col("path")).alias("p"), "orientation")
-    keyed = images.withColumn("p", T.plain_path(F.col("path"))).join(turns, "p", "left")
-    out = {r.p.rsplit("/", 1)[1]: r for r in G.binarize_images(keyed, orientation="orientation").collect()}
+    keyed = images.join(T.read_orientations(spark, str(tmp_path)), "path", "left")
+    out = {r.path.rsplit("/", 1)[1]: r for r in G.binarize_images(keyed, orientation="orientation").collect()}
     assert (out["gray.png"].white, out["gray.png"].black) == (1, 2)
     assert (out["color.png"].white, out["color.png"].black) == (1, 2)
     turned = out["turned.png"]
