@@ -236,12 +236,15 @@ select product_id,
 from p"""
 
 
-def outputs_complete(spark, d):
-    nodes = table(spark, d, "orders").select(F.col("o_orderkey").alias("product_id"), F.lit("package").alias("stage"))
-    existing = table(spark, d, "lineitem").select(
+def _line_outputs(spark, d):
+    return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("product_id"), F.lit("package").alias("stage"), F.col("l_linenumber").alias("output")
     )
-    return I.outputs_complete(nodes, existing, ["product_id", "stage"], "output", [1, 2])
+
+
+def outputs_complete(spark, d):
+    nodes = table(spark, d, "orders").select(F.col("o_orderkey").alias("product_id"), F.lit("package").alias("stage"))
+    return I.outputs_complete(nodes, _line_outputs(spark, d), ["product_id", "stage"], "output", [1, 2])
 
 
 OUTPUTS_COMPLETE_SQL = """o as (
@@ -264,7 +267,8 @@ def plan_incremental(spark, d):
         F.when(F.col("o_orderstatus") == "P", "failed").otherwise("done").alias("status"),
         F.when(F.col("o_totalprice") > 300000, F.lit("old")).otherwise(key).alias("input_hash"),
     )
-    return I.plan_incremental(candidates, state, outputs_complete(spark, d)).select("product_id", "stage", "decision")
+    outputs = I.outputs_held(_line_outputs(spark, d), ["product_id", "stage"], "output", [1, 2])
+    return I.plan_incremental(candidates, state, outputs).select("product_id", "stage", "decision")
 
 
 PLAN_INCREMENTAL = f"""

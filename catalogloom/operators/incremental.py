@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -80,20 +81,25 @@ def combine_hashes(
     )
 
 
-def outputs_complete(
-    nodes: DataFrame, existing: DataFrame, keys: Sequence[str], output: str, outputs: Sequence, out: str = "outputs_ok"
+def outputs_held(
+    existing: DataFrame, keys: Sequence[str], output: str, outputs: Sequence, out: str = "outputs_ok"
 ) -> DataFrame:
-    """Per node: do all its outputs exist? ``outputs`` is the stage's declared list.
+    """Per key that holds any output: are all of ``outputs``, the stage's declared list, there?
 
     One flag per declared output, combined on the mappers: existing rows of any number and skew
-    become one row per node before they meet the nodes.
+    become one row of numbers per node.
     """
     flags = [F.max(F.when(F.col(output) == name, 1).otherwise(0)).alias(f"_has{i}") for i, name in enumerate(outputs)]
     held = existing.filter(F.col(output).isin(*outputs)).groupBy(*keys).agg(*flags)
-    whole = F.lit(True)
-    for i in range(len(outputs)):
-        whole = whole & (F.coalesce(F.col(f"_has{i}"), F.lit(0)) == 1)
-    return nodes.select(*keys).join(held, list(keys), "left").select(*keys, whole.alias(out))
+    return held.select(*keys, reduce(lambda a, b: a & b, [F.col(f"_has{i}") == 1 for i in range(len(outputs))]).alias(out))
+
+
+def outputs_complete(
+    nodes: DataFrame, existing: DataFrame, keys: Sequence[str], output: str, outputs: Sequence, out: str = "outputs_ok"
+) -> DataFrame:
+    """``outputs_held`` for every node, those without any output included."""
+    held = outputs_held(existing, keys, output, outputs, out)
+    return nodes.select(*keys).join(held, list(keys), "left").select(*keys, F.coalesce(out, F.lit(False)).alias(out))
 
 
 def decide(status: Column, prior_hash: Column, new_hash: Column, outputs_ok: Column) -> Column:
@@ -109,7 +115,7 @@ def plan_incremental(
     keys: Sequence[str] = ("product_id", "stage"),
     input_hash: str = "input_hash",
 ) -> DataFrame:
-    """Skip-or-run decision for each candidate node.
+    """Skip-or-run decision for each candidate node. ``outputs`` comes from ``outputs_held``.
 
     Both lookups join on the full node key, which is unique on the right: no fan-out, no hot key.
     """
