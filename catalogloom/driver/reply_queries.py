@@ -9,6 +9,8 @@ from ..functions.text import fold_case, strip_json_fence as strip_fence
 from ..operators import completions as L
 from ..operators import images as G
 from ..operators import policy as S
+from ..operators import products as P
+from ..operators.incremental import pending_files
 from .base import Query, heavy, table
 
 
@@ -250,16 +252,25 @@ select vec_id, cast(len(list_filter(px, lambda p: p > 140)) as integer) as white
   cast(len(list_filter(px, lambda p: p <= 140)) as integer) as black from px"""
 
 
-def binarize_images(spark, d):
-    """Each vector as a gray image of eight rows, through the image cleaner."""
-    pixel = lambda e: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), _scaled(e)))), 2, "0")
-    images = table(spark, d, "embeddings").select(
+def _vector_images(spark, d):
+    """Each vector as a gray image of eight rows."""
+
+    def pixel(e):
+        return F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), _scaled(e)))), 2, "0")
+
+    return table(spark, d, "embeddings").select(
         "vec_id",
+        "label",
+        F.concat(F.lit("assets/"), "vec_id", F.lit(".png")).alias("asset_path"),
         F.lit(8).alias("height"),
         F.floor(F.size("embedding") / 8).cast("int").alias("width"),
         F.lit(1).alias("channels"),
         F.unhex(F.array_join(F.transform("embedding", pixel), "")).alias("data"),
     )
+
+
+def binarize_images(spark, d):
+    images = _vector_images(spark, d).drop("label", "asset_path")
     return G.binarize_images(images, 140).select("vec_id", "height", "width", "white", "black")
 
 
@@ -269,6 +280,55 @@ select vec_id, 8 as height, cast(len(px) // 8 as integer) as width, len(list_fil
   len(list_filter(px, lambda p: p <= 140)) as black from px"""
 
 
+def process_assets(spark, d):
+    """Vectors as image assets; those of the lower labels have been cleaned before."""
+    vectors = table(spark, d, "embeddings")
+    processed_path = F.concat(F.lit("processed/"), "vec_id", F.lit(".png")).alias("processed_path")
+    asset_path = F.concat(F.lit("assets/"), "vec_id", F.lit(".png")).alias("asset_path")
+    done = vectors.filter(F.col("label") < 4).select("label", processed_path)
+    images = _vector_images(spark, d).drop("vec_id")
+    cleaned = G.process_assets(vectors.select("label", asset_path, processed_path), done, images, 140, keys=("label",))
+    return cleaned.select("label", "processed_path", "white", "black")
+
+
+PROCESS_ASSETS = f"""
+with {PIXELS_SQL}
+select label, 'processed/' || vec_id || '.png' as processed_path, len(list_filter(px, lambda p: p > 140)) as white,
+  len(list_filter(px, lambda p: p <= 140)) as black from px join embeddings using (vec_id) where label >= 4"""
+
+
+class TextPainter:
+    """Deterministic stand-in for an image service: the size and the length of the prompt as bytes."""
+
+    def generate(self, prompt: str, aspect_ratio: str, size: str, quality: str) -> bytes:
+        if not prompt.strip():
+            raise ValueError("nothing to draw")
+        return f"{size} {quality} {len(prompt)}".encode()
+
+
+def generate_images(spark, d):
+    """Lines of the unlabelled documents as image assets, drawn where the file does not exist yet."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.concat("lang", F.lit("x"), "source").alias("image_size"))
+    done = table(spark, d, "labels").select("doc_id")
+    pages = P.explode_text_pages(pending_files(docs, done, "doc_id"), "text", ("doc_id", "image_size"))
+    assets = P.plan_assets(pages.withColumnRenamed("doc_id", "product_id"))
+    drawn = L.generate_images(assets, TextPainter)
+    return drawn.select(
+        "product_id", "id", F.sha2("content", 256).alias("content_hash"), F.coalesce("call_error", F.lit("")).alias("call_error")
+    )
+
+
+GENERATE_IMAGES = r"""
+with lines as (
+  select doc_id, lang || 'x' || source as size, unnest(string_split(text, chr(10))) as prompt, generate_subscripts(string_split(text, chr(10)), 1) as n
+  from documents where doc_id not in (select doc_id from labels)),
+p as (select *, regexp_matches(prompt, '\S') as visible from lines where prompt <> '')
+select doc_id as product_id, printf('page_%03d', n) as id,
+  case when visible then sha256(size || ' high ' || length(prompt)) end as content_hash,
+  case when visible then '' else 'ValueError(''nothing to draw'')' end as call_error
+from p"""
+
+
 QUERIES = {
     "strip_json_fence": Query(strip_json_fence, STRIP_JSON_FENCE),
     "parse_structured": Query(parse_structured, PARSE_STRUCTURED),
@@ -284,4 +344,6 @@ QUERIES = {
     "scan_term_table": Query(scan_term_table, SCAN_TERM_TABLE),
     "binarize_pixels": Query(binarize_pixels, BINARIZE_PIXELS),
     "binarize_images": Query(binarize_images, BINARIZE_IMAGES),
+    "process_assets": Query(process_assets, PROCESS_ASSETS),
+    "generate_images": Query(generate_images, GENERATE_IMAGES),
 }

@@ -108,9 +108,11 @@ def process_assets(
 ) -> DataFrame:
     """Cleaned images of the assets whose processed file does not exist yet.
 
-    The pending list is settled on paths alone; pixels join last and only for those assets.
+    ``assets`` and ``processed`` are lists of paths; the pending list is settled on those alone. The
+    images, with their ``asset_path`` and pixels, meet only that list.
     """
-    todo = pending_files(assets.select(*keys, "asset_path", "processed_path").distinct(), processed, "processed_path", keys=keys)
+    wanted = assets.select(*keys, "asset_path", "processed_path").distinct()
+    todo = pending_files(wanted, processed, "processed_path", keys=keys)
     return binarize_images(images.join(todo, [*keys, "asset_path"], "inner"), threshold, orientation)
 
 

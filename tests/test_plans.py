@@ -6,7 +6,7 @@ from catalogloom.driver.registry import ALL
 
 SF = "/root/testdata/sf0.001"
 
-PYTHON = {"complete_batch", "binarize_images"}
+PYTHON = {"complete_batch", "binarize_images", "process_assets", "generate_images"}
 
 
 def plan(spark, name):
