@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import LANES, content_hash, files_digest as digest, record_hash as hash_of
+from ..functions.hashing import DIGITS, LANES, content_hash, files_digest as digest, record_hash as hash_of
 from ..operators import incremental as I
 from ..operators import listings as K
 from ..operators import products as P
@@ -205,7 +205,7 @@ def files_digest(spark, d):
     return digest(docs, ["source"], "path", "sha")
 
 
-_LANE_SUMS = ", ".join(f"cast(sum(('0x' || substr(h, {1 + 4 * i}, 4))::bigint) as bigint) as l{i}" for i in range(LANES))
+_LANE_SUMS = ", ".join(f"cast(sum(('0x' || substr(h, {1 + DIGITS * i}, {DIGITS}))::bigint) as bigint) as l{i}" for i in range(LANES))
 _LANE_TEXT = " || '|' || ".join(f"l{i}" for i in range(LANES))
 
 FILES_DIGEST = f"""

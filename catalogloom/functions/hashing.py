@@ -64,21 +64,23 @@ def by_name(name: Column, value: Column, names: Sequence[str]) -> list[Column]:
     return [F.max(F.when(name == n, value)).alias(n) for n in names]
 
 
-LANES = 16
+# A hash is cut into this many numbers of this many hex digits: 24 bits each, 240 bits together.
+LANES = 10
+DIGITS = 6
 
 
 def digest_lanes(hash_hex: Column) -> list[Column]:
-    """Split a 256-bit hex hash into sixteen 16-bit numbers."""
-    return [F.conv(F.substring(hash_hex, 1 + 4 * i, 4), 16, 10).cast("bigint") for i in range(LANES)]
+    """The leading digits of a hex hash as a fixed list of small numbers."""
+    return [F.conv(F.substring(hash_hex, 1 + DIGITS * i, DIGITS), 16, 10).cast("bigint") for i in range(LANES)]
 
 
 def files_digest(df: DataFrame, keys: Sequence[str], path: str, content_sha: str, out: str = "digest") -> DataFrame:
     """One digest per group of files that depends on each path and its content, not on row order.
 
-    Each file contributes SHA-256(path, content hash); the sixteen 16-bit lanes of those hashes are
-    summed and the sums hashed. Sums merge, so a group with a third of all files is reduced on every
-    mapper to one row before the shuffle, and nothing is sorted or collected. 16-bit lanes in 64-bit
-    sums hold 10^14 files. A cache key against accidental change, not a signature.
+    Each file contributes SHA-256(path, content hash); the numbers cut from those hashes are summed
+    and the sums hashed. Sums merge, so a group with a third of all files is reduced on every mapper
+    to one row before the shuffle, and nothing is sorted or collected. 24-bit numbers in 64-bit sums
+    hold 5·10^11 files. A cache key against accidental change, not a signature.
     """
     lanes = [f"_lane{i}" for i in range(LANES)]
     each = df.select(*keys, content_hash(F.concat_ws("|", F.col(path), F.col(content_sha))).alias("_h"))

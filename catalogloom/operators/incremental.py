@@ -210,21 +210,19 @@ def cumulative_cost(
     starting value. No task ever sorts a whole node, and both steps are deterministic, so a lost
     executor recomputes the same values.
     """
-    keys, order = list(keys), list(order)
-    tagged = runs.withColumn("_block", block)
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = tagged.groupBy(*keys, "_block").agg(F.sum(cost).alias("_sum"))
-    starts = totals.select(
-        *[F.col(k).alias(f"_at_{k}") for k in [*keys, "_block"]],
-        F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_start"),
-    )
+    # One struct as the key: it is never NULL itself, so runs with an unknown product keep their rows,
+    # and the window and the join agree on the partitioning, so the runs are shuffled once.
+    node = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    tagged = runs.withColumn("_key", F.struct(*node, block.alias("block")))
+    totals = tagged.groupBy("_key").agg(F.sum(cost).alias("_sum"))
+    before = Window.partitionBy(*[f"_key.k{i}" for i in range(len(keys))]).orderBy("_key.block")
+    earlier = F.sum("_sum").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select("_key", F.coalesce(earlier, F.lit(0.0)).alias("_start"))
+    inside = Window.partitionBy("_key").orderBy(*order)
     running = F.sum(cost).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # Null-safe, so that runs with an unknown key keep their rows too.
-    same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in [*keys, "_block"]]
     return (
         tagged.withColumn("_in", running)
-        .join(starts, same, "inner")
+        .join(starts, "_key", "inner")
         .withColumn(out, F.col("_start") + F.col("_in"))
         .select(*runs.columns, out)
     )
