@@ -29,7 +29,7 @@ def rounded(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _tile(ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, candidates: np.ndarray, k: int, strip: int) -> list[tuple[int, int, float]]:
     units = unit(rows)
-    norms = np.sqrt((rows * rows).sum(axis=1))
+    norms = np.sqrt(np.cumsum(rows * rows, axis=1)[:, -1])
     whole, scale, error = rounded(units)
     heaps: list[list[tuple[float, int]]] = [[] for _ in queries]
     for at in range(0, len(candidates), strip):
@@ -43,7 +43,7 @@ def _tile(ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, candidates: np
         reach = high >= np.maximum(kth, held)[:, None]
         for q, j in zip(*np.nonzero(reach & ~own)):
             x, y = queries[q], c[j]
-            score = float(np.dot(rows[x], rows[y]) / (norms[x] * norms[y]))
+            score = float(np.cumsum(rows[x] * rows[y])[-1] / (norms[x] * norms[y]))  # summed in order
             entry = (score, -int(ids[y]))
             if len(heaps[q]) < k:
                 heapq.heappush(heaps[q], entry)

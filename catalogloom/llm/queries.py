@@ -99,8 +99,10 @@ from numbered group by conv_id"""
 
 _SUFFIX_SQL = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-windows as (select doc_id, h, unnest(range(1, greatest(1, length(h) // 2 - 98))) as p from d),
-named as (select doc_id, p, row_number() over (partition by substr(h, 2 * p - 1, 200) order by doc_id, p) as k from windows),
+windows as (
+  select doc_id, unnest(list_transform(range(1, greatest(1, length(h) // 2 - 98)),
+                                       lambda p: struct_pack(p := p, w := md5_number(substr(h, 2 * p - 1, 200))))) as s from d),
+named as (select doc_id, s.p as p, row_number() over (partition by s.w order by doc_id, s.p) as k from windows),
 spans as (select doc_id, p, max(p) over (partition by doc_id order by p rows between unbounded preceding and 1 preceding) as q
           from named where k > 1),
 grouped as (select doc_id, p, sum(case when q is null or p > q + 100 then 1 else 0 end) over (partition by doc_id order by p) as g from spans),
