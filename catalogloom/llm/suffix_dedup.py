@@ -76,22 +76,68 @@ def anchor_runs(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray,
     return text[first], place - begin[text[first]], low.astype(np.int32), high.astype(np.int32), grams[place].view(np.int64), run.view(np.int64)
 
 
+_ANCHOR = ["gram", "run", "id", "text_key", "place", "low", "high", "copy"]
+
+
+_SIFTED = ["gram", "runs", "id", "text_key", "place", "low", "high"]
+
+
 def _anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Anchors of all texts. Of equal runs in a batch all but the first are marked ``copy`` at once.
+
+    So a passage found everywhere sends one row per batch to its place; copies are spread out.
+    """
+
     def run(batches: Arrow) -> Arrow:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             ids, keys = batch.column("id").to_numpy(), batch.column("text_key").to_numpy()
+            parts = []
             for start, end in by_bytes(texts, 1 << 20):
                 of, place, low, high, name, whole = anchor_runs(texts[start:end], length, gram)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (ids[start + of], keys[start + of], place, low, high, name, whole)],
-                    ["id", "text_key", "place", "low", "high", "gram", "run"],
-                )
-
-    schema = "id long, text_key long, place long, low int, high int, gram long, run long"
+                parts.append((name, whole, ids[start + of], keys[start + of], place, low, high))
+            columns = [np.concatenate(c) for c in zip(*parts)]
+            if not columns:
+                continue
+            order = np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))
+            columns = [c[order] for c in columns]
+            copy = np.concatenate([[False], (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])])[: len(order)]
+            again = np.zeros(len(order), bool)  # the same text met twice is no copy
+            again[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in columns[:5]])
+            columns[0] = np.where(copy, mixed((columns[2] * 31 + columns[4]).view(np.uint64)).view(np.int64), columns[0])
+            yield pa.RecordBatch.from_arrays([pa.array(c[~again]) for c in (*columns, copy)], _ANCHOR)
+
+    schema = "gram long, run long, id long, text_key long, place long, low int, high int, copy boolean"
     return rows.select("id", "text_key", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
+def _sifted(anchors: DataFrame) -> DataFrame:
+    """(gram, runs, id, text_key, place, low, high) of the anchors that matter.
+
+    Copies of whole runs have ``runs`` 0; of an anchor with several different runs the first of each
+    stays, with their number. All other anchors go.
+    """
+
+    def run(batches: Arrow) -> Arrow:
+        for table, begins in whole_groups(batches, ["gram"]):
+            columns = {c: table.column(c).to_numpy() for c in _ANCHOR}
+            n, copy = table.num_rows, columns["copy"].astype(bool)
+            group = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+            same = np.zeros(n, bool)
+            same[1:] = ~copy[1:] & ~copy[:-1] & (group[1:] == group[:-1]) & (columns["run"][1:] == columns["run"][:-1])
+            again = same.copy()
+            for c in ("id", "text_key", "place"):
+                again[1:] &= columns[c][1:] == columns[c][:-1]
+            first = ~copy & ~same
+            runs = np.bincount(group[first], minlength=len(begins) - 1)[group]
+            found = copy | (same & ~again) | (first & (runs > 1))
+            columns["runs"] = np.where(first, runs, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[c][found]) for c in _SIFTED], _SIFTED)
+
+    dealt = anchors.repartition("gram").sortWithinPartitions("gram", "copy", "run", "id", "text_key", "place")
+    return dealt.mapInArrow(run, "gram long, runs long, id long, text_key long, place long, low int, high int")
+
+
 def repeated_windows(tails: list[bytes], high: np.ndarray, low: np.ndarray, group: np.ndarray, order: np.ndarray, length: int) -> list[np.ndarray]:
     """For each row the numbers o, from low to high, whose window repeats an earlier one.
 
@@ -131,13 +177,15 @@ def _induced(suffixes: DataFrame, length: int) -> DataFrame:
     def run(batches: Arrow) -> Arrow:
         for table, begins in whole_groups(batches, ["gram"]):
             ids, keys, place, low, high = (table.column(c).to_numpy() for c in ("id", "text_key", "place", "low", "high"))
+            twice = np.zeros(len(ids), bool)  # a text that is met twice stands next to itself
+            twice[1:] = (ids[1:] == ids[:-1]) & (keys[1:] == keys[:-1]) & (place[1:] == place[:-1])
             group = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
             order = np.empty(len(ids), np.int64)
             order[np.lexsort((place, keys, ids))] = np.arange(len(ids))
             marks = repeated_windows(table.column("bytes").to_pylist(), high.astype(np.int64), low.astype(np.int64), group, order, length)
             out = []
             for row, found in enumerate(marks):
-                if len(found):
+                if len(found) and not twice[row]:
                     cut = np.flatnonzero(np.diff(found) > 1)
                     for a, b in zip(np.concatenate([[0], cut + 1]).tolist(), np.concatenate([cut, [len(found) - 1]]).tolist()):
                         out.append((ids[row], keys[row], place[row] - found[b], place[row] - found[a] + length))
@@ -154,7 +202,7 @@ def _by_window(suffixes: DataFrame, length: int) -> DataFrame:
     window = F.substring(F.col("bytes"), F.col("high") - F.col("o") + 1, F.lit(length))
     start = (F.col("place") - F.col("o")).alias("start")
     each = each.select("gram", "o", F.xxhash64(window, F.lit(1)).alias("w"), F.xxhash64(window, F.lit(2)).alias("x"), "id", "text_key", start)
-    each = stored(each)
+    each = stored(each.distinct())
     firsts = stored(each.groupBy("gram", "o", "w", "x").agg(F.count("*").alias("n"), F.min(F.struct("id", "text_key", "start")).alias("first")).where("n > 1"))
     repeats = each.join(firsts, ["gram", "o", "w", "x"]).where(F.struct("id", "text_key", "start") != F.col("first"))
     return repeats.select("id", "text_key", "start", (F.col("start") + length).alias("end"))
@@ -162,11 +210,11 @@ def _by_window(suffixes: DataFrame, length: int) -> DataFrame:
 
 def _with_bytes(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Adds to each wanted anchor the bytes of its windows, read from the texts."""
-    places = wanted.groupBy("id", "text_key").agg(F.collect_list(F.struct("place", "low", "high", "gram")).alias("anchors"))
-    joined = rows.dropDuplicates(["id", "text_key"]).join(stored(places), ["id", "text_key"])
+    places = wanted.groupBy("id", "text_key").agg(F.collect_list(F.struct("place", "low", "high", "gram", "runs")).alias("anchors"))
+    joined = rows.join(stored(places), ["id", "text_key"])
     data = F.col("text").cast("binary")
     return joined.select("id", "text_key", F.explode("anchors").alias("a"), data.alias("data")).select(
-        "id", "text_key", "a.place", "a.low", "a.high", "a.gram",
+        "id", "text_key", "a.*",
         F.substring("data", F.col("a.place") - F.col("a.high") + 1, F.col("a.high") - F.col("a.low") + length).alias("bytes"),
         F.substring("data", F.col("a.place") + 1, length - F.col("a.low")).alias("right"),
     )
@@ -174,21 +222,13 @@ def _with_bytes(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(rows: DataFrame, length: int, gram: int, most_runs: int) -> DataFrame:
     """(id, text_key, start, end): spans of bytes to remove, overlapping or not, of (id, text_key, text)."""
-    anchors = stored(_anchors(rows, length, gram))
-    at = F.struct("id", "text_key", "place")
-    runs = stored(anchors.groupBy("gram", "run").agg(F.count("*").alias("n"), F.min(F.struct("id", "text_key", "place", "low", "high")).alias("first")))
-    # Of equal runs all but the first repeat as a whole.
-    many = stored(runs.where("n > 1").select("gram", "run", F.struct("first.id", "first.text_key", "first.place").alias("first")))
-    copies = anchors.join(many, ["gram", "run"]).where(at != F.col("first"))
-    copies = copies.select("id", "text_key", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + length).alias("end"))
-    # Different runs at one anchor may share some windows.
-    shared = stored(runs.groupBy("gram").agg(F.count("*").alias("runs")).where("runs > 1"))
-    suffixes = stored(_with_bytes(rows, runs.join(shared, "gram").select("gram", "first.*"), length))
-    large = stored(shared.where(F.col("runs") > most_runs).select("gram"))
-    few = suffixes.join(large, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "right")
-    induced = _induced(few, length)
-    single = _by_window(suffixes.join(large, "gram", "left_semi"), length)
-    return copies.unionByName(induced).unionByName(single)
+    sifted = stored(_sifted(_anchors(rows, length, gram)))
+    start, end = F.col("place") - F.col("high"), F.col("place") - F.col("low") + length
+    copies = sifted.where("runs = 0").select("id", "text_key", start.alias("start"), end.alias("end"))
+    suffixes = stored(_with_bytes(rows, sifted.where("runs > 1"), length))
+    few = suffixes.where(F.col("runs") <= most_runs).repartition("gram").sortWithinPartitions("gram", "right", "id", "text_key", "place")
+    single = _by_window(suffixes.where(F.col("runs") > most_runs), length)
+    return copies.unionByName(_induced(few, length)).unionByName(single)
 
 
 def remove_repeats(
@@ -218,11 +258,12 @@ def remove_repeats(
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text_of(text_col)).alias("text_key")]
     rows = docs.select(*key, text_of(text_col).alias("text"))
     spans = stored(repeated_spans(rows, length, gram, most_runs))
-    spans = spans.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = spans.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "spans")
-    keyed = docs.select(*columns, key[0].alias("_id"), key[1].alias("_key"))
-    joined = keyed.join(stored(spans), ["_id", "_key"], "left").select(*columns, text_of(text_col).cast("binary").alias("_data"), F.col("spans").alias("_spans"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_data", "_spans"))
+    spans = stored(spans.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    # The row travels as one column, so that no name of its own clashes with a helper's.
+    joined = docs.select(F.struct(*columns).alias("row"), *key).join(spans, ["id", "text_key"], "left")
+    data = F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary")
+    flat = joined.select(*[F.col("row")[c].alias(f"c{k}") for k, c in enumerate(columns)], data.alias("data"), "spans")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
 
     def run(batches: Arrow) -> Arrow:
         n = len(columns)
@@ -247,4 +288,4 @@ def remove_repeats(
             arrays = [pa.array(c, k) for c, k in zip(found, [pa.int64(), pa.int64(), pa.int64(), pa.binary()])]
             yield pa.RecordBatch.from_arrays([*list(batch.columns)[:n], *arrays], [*columns, *own])
 
-    return joined.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, kept_bytes binary")
+    return flat.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, kept_bytes binary")
