@@ -11,27 +11,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import Arrow, stored
 
 
-def dealt(members: DataFrame, key: str, weight: Column, block: float) -> DataFrame:
-    """``members`` with (lo, hi, side): every two rows of a key meet in one group (key, lo, hi).
+def dealt(members: DataFrame, payload: DataFrame, weight: Column, block: float) -> DataFrame:
+    """(key, side, lo, hi, id, ...): every two members (key, id) of a key meet in one group (key, lo, hi).
 
     A key whose weights sum to more than ``block`` is split by hash of ``id`` into blocks of about
     that weight, and each pair of blocks is a group of its own, so no task holds more than two blocks.
-    Keys of one row are left out.
+    Keys of one row are left out before the columns of ``payload``, one row per id, are joined.
     """
-    sizes = members.groupBy(key).agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("w") / F.lit(block))).cast("int")
+    light = members.select("key", "id", weight.alias("w"))
+    sizes = light.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w")).where("n > 1")
     # Stored, so that the join deals out both sides itself and can split a hot key.
-    sizes = stored(sizes.where("n > 1").select(key, parts.alias("parts")))
-    split = members.join(sizes, key).withColumn("side", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
+    sizes = stored(sizes.select("key", F.greatest(F.lit(1), F.ceil(F.col("w") / F.lit(block))).cast("int").alias("parts")))
+    split = light.drop("w").join(sizes.hint("merge"), "key")
+    split = split.withColumn("side", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return split.select(
-        *members.columns, "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi")
-    )
+    light = split.select("key", "id", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
+    return light.join(payload, "id")
 
 
-def together(groups: DataFrame, key: str) -> DataFrame:
+def together(groups: DataFrame) -> DataFrame:
     """``groups`` laid out so that the rows of each (key, lo, hi) follow one another."""
-    return groups.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", "id")
+    return groups.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
 
 
 def whole_groups(batches: Arrow, keys: list[str], least_rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -134,7 +134,7 @@ def link_embeddings(
     tables: int = 64,
     width: float = 2.0,
     seed: int = 11,
-    block: int = 1024,
+    block: int = 512,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -151,8 +151,8 @@ def link_embeddings(
     rows = stored(vectors_of(embeddings, id_col, vector_col))
     classes = rows.where(usable(F.col("v"))).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     classes = stored(_hashed(classes.select("id", "copies", "v"), functions, tables, width, seed))
-    groups = dealt(_keyed(classes, tables), "key", F.lit(1), block)
-    found = stored(_compared(together(groups, "key"), threshold))
+    groups = dealt(_keyed(classes, tables), classes, F.lit(1), block)
+    found = stored(_compared(together(groups), threshold))
     edges = found.select(F.col("leader").alias("a"), F.col("id").alias("b"))
     joined = classes.select("id", "copies", "v").join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left")
     joined = joined.join(components(edges).withColumnRenamed("node", "id"), "id", "left").select(

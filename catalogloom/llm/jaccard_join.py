@@ -276,17 +276,19 @@ def join_documents(
     part = F.conv(F.hex(F.substring("buckets", F.col("band") * 4 + 1, F.lit(4))), 16, 10).cast("long")
     keyed = (
         classes.where("n > 0")
-        .select("id", "bits", "buckets", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
+        .select("id", "buckets", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
         .withColumn("key", F.shiftleft(F.col("band").cast("long"), 32) + part)
         .drop("band")
     )
-    close = components(stored(_candidates(together(dealt(keyed, "key", F.lit(1), 2048), "key"), least, step)))
+    groups = dealt(keyed, classes.select("id", "bits", "buckets"), F.lit(1), 512)
+    close = components(stored(_candidates(together(groups), least, step)))
     narrow = classes.join(close.select(F.col("node").alias("id"), F.col("component").alias("key")), "id").select("id", "copies", "bits", "key", "first")
-    texts = rows.join(narrow.select(F.col("id").alias("set"), "copies", "bits", "key", F.col("first").alias("id")), "id")
+    narrow = narrow.select(F.col("id").alias("set"), "copies", "bits", "key", F.col("first").alias("id"))
+    texts = rows.join(narrow.hint("merge"), "id")
     texts = texts.select(F.col("set").alias("id"), "copies", "bits", "key", "text")
     members = stored(_members(texts, words).dropDuplicates(["id"]))
-    groups = dealt(members, "key", F.size("shingles"), 500_000)
-    found = stored(_verified(together(groups, "key"), threshold, least, step))
+    groups = dealt(members, members.drop("key"), F.size("shingles"), 100_000)
+    found = stored(_verified(together(groups), threshold, least, step))
     sets = components(found.select(F.col("leader").alias("a"), F.col("id").alias("b")))
     stats = (
         classes.select("id", "copies", "first")
