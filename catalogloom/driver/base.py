@@ -8,8 +8,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import spread
-
 
 @dataclass(frozen=True)
 class Query:
@@ -23,11 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def heavy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows are about to be parsed, hashed or searched."""
-    return spread(table(spark, sf_dir, name))
-
-
 def money(name: str) -> Column:
     """A two-decimal amount as text, the same in every engine."""
     return F.col(name).cast("decimal(18,2)").cast("string")

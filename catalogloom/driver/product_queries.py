@@ -11,7 +11,7 @@ from ..operators import deliverables as D
 from ..operators import listings as K
 from ..operators import products as P
 from ..operators import requests as R
-from .base import Query, heavy, sql_fill, table
+from .base import Query, sql_fill, table
 
 
 def slugify_products(spark, d):
@@ -29,7 +29,7 @@ from part"""
 
 
 def slugify_documents(spark, d):
-    return heavy(spark, d, "documents").select("doc_id", slugify(F.col("text")).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", slugify(F.col("text")).alias("slug"))
 
 
 SLUGIFY_DOCUMENTS = """
@@ -70,19 +70,14 @@ from raw"""
 
 def guard_new_products(spark, d):
     requests = table(spark, d, "customer").select("c_custkey", (F.col("c_mktsegment") == "BUILDING").alias("force"))
-    existing = table(spark, d, "orders").filter(
-        (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 250000)
-    )
-    accepted, rejected = R.guard_new_products(requests, existing.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
-    return accepted.withColumn("decision", F.lit("accepted")).unionByName(
-        rejected.withColumn("decision", F.lit("rejected"))
-    )
+    # Doubled customer keys leave gaps: half of the requests are new.
+    existing = table(spark, d, "orders").select((2 * F.col("o_custkey")).alias("c_custkey"))
+    return R.mark_guarded(requests, existing, "c_custkey")
 
 
 GUARD_NEW_PRODUCTS = """
 select c_custkey, c_mktsegment = 'BUILDING' as force,
-  case when c_mktsegment <> 'BUILDING' and exists (
-    select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT' and o_totalprice > 250000)
+  case when c_mktsegment <> 'BUILDING' and exists (select 1 from orders where 2 * o_custkey = c_custkey)
   then 'rejected' else 'accepted' end as decision
 from customer"""
 
@@ -97,7 +92,7 @@ def validate_configs(spark, d):
         .when(kind == "signup", F.concat(F.lit('{"id":'), k, F.lit("}")))
         .otherwise(F.col("props"))
     )
-    files = heavy(spark, d, "events").select(
+    files = table(spark, d, "events").select(
         F.col("event_id").cast("string").alias("pack_dir"),
         F.when(kind == "error", "style").otherwise("pack").alias("stem"),
         F.lit("f").alias("path"),
@@ -124,17 +119,16 @@ from events"""
 
 
 def join_requests_packs(spark, d):
-    requests = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("pack"))
-    packs = table(spark, d, "nation").filter(F.col("n_regionkey") != 2).select("n_nationkey", "n_name")
-    resolved, unknown = R.join_requests_packs(requests, packs, "pack", "n_nationkey")
-    return resolved.select("c_custkey", "pack", F.col("n_name").alias("outcome")).unionByName(
-        unknown.select("c_custkey", "pack", F.lit("unknown pack").alias("outcome"))
-    )
+    # More keys than nations: some packs are unknown.
+    requests = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 30).alias("pack"))
+    packs = table(spark, d, "nation").select("n_nationkey", "n_name")
+    marked = R.mark_packs(requests, packs, "pack", "n_nationkey")
+    return marked.select("c_custkey", "pack", F.when(F.col("known"), F.col("n_name")).otherwise("unknown pack").alias("outcome"))
 
 
 JOIN_REQUESTS_PACKS = """
-select c_custkey, c_nationkey as pack, coalesce(n_name, 'unknown pack') as outcome
-from customer left join (select * from nation where n_regionkey <> 2) on c_nationkey = n_nationkey"""
+select c_custkey, c_custkey % 30 as pack, coalesce(n_name, 'unknown pack') as outcome
+from customer left join nation on c_custkey % 30 = n_nationkey"""
 
 
 def explode_pages(spark, d):
@@ -160,7 +154,7 @@ def concept_pages(spark, d):
         F.lit('```json\n{"pages":[{"id":"'), "p_brand", F.lit('","index":'), "p_size", F.lit("},"), second,
         F.lit(',{"index":"7","title":""}],"titles":{"en":"t"}}'), tail, F.lit("\n```"),
     )
-    part = heavy(spark, d, "part").select("p_partkey", F.col("p_type").alias("theme"), reply.alias("content"))
+    part = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("theme"), reply.alias("content"))
     typed = P.type_pages(L.parse_concept(part)).withColumn("error", F.coalesce("parse_error", "page_error"))
     sound = typed.withColumn("pages", F.when(F.col("error").isNull(), F.col("pages")))
     pages = P.explode_pages(sound, keep=("p_partkey", "error"), outer=True)
@@ -310,7 +304,8 @@ LANGS = ["de", "en", "es", "fr"]
 
 
 def localized_title(spark, d):
-    docs = table(spark, d, "documents").filter(~((F.col("source") == "src3") & (F.col("lang") == "en")))
+    # Documents of one length in one source: few enough for languages to be missing.
+    docs = table(spark, d, "documents").withColumn("source", F.concat("source", F.lit("/"), "n_chars"))
     wide = docs.groupBy("source").agg(*[F.max(F.when(F.col("lang") == g, F.col("doc_id"))).alias(g) for g in LANGS])
     pairs = F.array_compact(F.array(*[F.when(F.col(g).isNotNull(), F.struct(F.lit(g), F.col(g).cast("string"))) for g in LANGS]))
     titled = wide.select("source", F.map_from_entries(pairs).alias("titles"), F.explode(F.array(F.lit("es"), F.lit("en"), F.lit("it"))).alias("language"))
@@ -318,7 +313,7 @@ def localized_title(spark, d):
 
 
 LOCALIZED_TITLE = """
-with docs as (select * from documents where not (source = 'src3' and lang = 'en')),
+with docs as (select doc_id, lang, source || '/' || n_chars as source from documents),
 l(language) as (values ('es'), ('en'), ('it'))
 select source, language, coalesce(cast(max(doc_id) filter (where lang = language) as varchar),
   cast(max(doc_id) filter (where lang = 'en') as varchar), source) as title
@@ -360,50 +355,57 @@ from documents"""
 
 
 def bundle_members(spark, d):
+    """Lines as pages, whose names recur in every order; sizes are by order and name, for two lines of each."""
     line = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("product_id"),
         F.col("l_linenumber").alias("pos"),
-        F.concat("l_partkey", F.lit(".png")).alias("name"),
-        F.col("l_quantity").cast("bigint").alias("length"),
+        F.concat(F.lit("page_"), "l_linenumber", F.lit(".png")).alias("name"),
+    )
+    orders = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("product_id"),
+        F.explode(F.array(F.lit("page_1.png"), F.lit("page_2.png"))).alias("name"),
+        F.col("o_totalprice").cast("bigint").alias("length"),
     )
-    return D.bundle_members(line)
+    return D.bundle_members(line, orders)
 
 
-BUNDLE_MEMBERS = """
-select l_orderkey as product_id, l_linenumber as pos, l_partkey || '.png' as name, cast(l_quantity as bigint) as length from lineitem"""
+BUNDLE_MEMBERS_SQL = """members as (
+  select l_orderkey as product_id, l_linenumber as pos, 'page_' || l_linenumber || '.png' as name,
+    case when l_linenumber < 3 then cast(trunc(o_totalprice) as bigint) end as length
+  from lineitem left join orders on o_orderkey = l_orderkey)"""
+
+BUNDLE_MEMBERS = f"with {BUNDLE_MEMBERS_SQL} select * from members"
 
 
 def bundle_manifest(spark, d):
     return D.bundle_manifest(bundle_members(spark, d))
 
 
-BUNDLE_MANIFEST = """
-select l_orderkey as product_id, count(*) as members, min(l_linenumber) as first_pos, max(l_linenumber) as last_pos,
-  cast(sum(l_quantity) as bigint) as total_bytes from lineitem group by l_orderkey"""
+BUNDLE_MANIFEST = f"""
+with {BUNDLE_MEMBERS_SQL}
+select product_id, count(*) as members, min(pos) as first_pos, max(pos) as last_pos,
+  cast(coalesce(sum(length), 0) as bigint) as total_bytes from members group by product_id"""
 
 
-def _first_line():
-    return F.substring_index("text", "\n", 1)
+def _lines():
+    return F.split("text", "\n")
 
 
 def normalize_listings(spark, d):
-    """Listing replies built from the documents, parsed strictly and typed field by field."""
-    words = F.slice(F.split(_first_line(), " "), 1, 6)
+    """Listing replies built from the documents, a listing per line, parsed strictly and typed field by field."""
     price = F.when(F.col("lang") == "fr", F.lit(None)).otherwise(F.concat("n_chars", F.lit(".25")))
-    doc = F.to_json(
-        F.struct(
-            F.array(
-                F.struct(
-                    F.col("source").alias("marketplace"),
-                    F.when(F.col("lang") != "en", F.col("lang")).alias("language"),
-                    _first_line().alias("title"),
-                    words.alias("tags"),
-                    price.alias("price"),
-                )
-            ).alias("listings")
+
+    def listing(line):
+        return F.struct(
+            F.col("source").alias("marketplace"),
+            F.when(F.col("lang") != "en", F.col("lang")).alias("language"),
+            line.alias("title"),
+            F.split(line, " ").alias("tags"),
+            price.alias("price"),
         )
-    )
-    docs = heavy(spark, d, "documents").select("doc_id", doc.alias("content"))
+
+    doc = F.to_json(F.struct(F.transform(_lines(), listing).alias("listings")))
+    docs = table(spark, d, "documents").select("doc_id", doc.alias("content"))
     rows = K.normalize_listings(L.parse_listings(docs), keep=("doc_id",))
     return rows.select(
         "doc_id", "pos", "marketplace", "language", "title", "description",
@@ -412,27 +414,28 @@ def normalize_listings(spark, d):
 
 
 NORMALIZE_LISTINGS = """
-with d as (select *, string_split(text, chr(10))[1] as line from documents)
-select doc_id, 0 as pos, source as marketplace, lang as language, line as title, '' as description,
-  array_to_string(list_slice(string_split(line, ' '), 1, 6), '|') as tags,
+with d as (select *, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos, unnest(string_split(text, chr(10))) as line from documents)
+select doc_id, cast(pos as integer) as pos, source as marketplace, lang as language, line as title, '' as description,
+  array_to_string(string_split(line, ' '), '|') as tags,
   case when lang = 'fr' then 0.0::double else n_chars + 0.25::double end as price, '' as category from d"""
 
 
 def _document_listings(spark, d):
-    words = F.filter(F.split(_first_line(), " "), lambda w: F.length(w) > 2)
-    return table(spark, d, "documents").select(
+    """A listing per line of each document."""
+    words = F.filter(F.split("line", " "), lambda w: F.length(w) > 2)
+    lines = table(spark, d, "documents").select("doc_id", "source", "lang", F.explode(_lines()).alias("line"))
+    return lines.select(
         "doc_id",
         "source",
         F.col("source").alias("marketplace"),
         F.col("lang").alias("language"),
-        F.when(F.size(words) < 2, "").otherwise(_first_line()).alias("title"),
+        F.when(F.size(words) < 2, "").otherwise(F.col("line")).alias("title"),
         words.alias("tags"),
     )
 
 
-LISTING_ISSUES_SQL = """l as (
-  select doc_id, source, lang, list_filter(string_split(string_split(text, chr(10))[1], ' '), lambda w: length(w) > 2) as tags,
-    string_split(text, chr(10))[1] as line from documents),
+LISTING_ISSUES_SQL = """lines as (select doc_id, source, lang, unnest(string_split(text, chr(10))) as line from documents),
+l as (select *, list_filter(string_split(line, ' '), lambda w: length(w) > 2) as tags from lines),
 listing_issues as (
   select doc_id, source, 'listing_title' as criterion, 'error' as severity, 'missing title for ' || source || '/' || lang as detail
   from l where len(tags) < 2 or line = ''

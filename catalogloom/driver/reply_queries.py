@@ -11,7 +11,7 @@ from ..operators import images as G
 from ..operators import policy as S
 from ..operators import products as P
 from ..operators.incremental import pending_files
-from .base import Query, heavy, table
+from .base import Query, table
 
 
 def strip_json_fence(spark, d):
@@ -45,7 +45,7 @@ def parse_structured(spark, d):
     reply = F.concat(
         F.lit('```json\n{"subtitle":'), subtitle, F.lit(',"titles":{"en":"'), kind, F.lit('"},"pages":'), pages, tail, F.lit("\n```")
     )
-    events = heavy(spark, d, "events").select("event_id", reply.alias("content"))
+    events = table(spark, d, "events").select("event_id", reply.alias("content"))
     parsed = L.parse_concept(events)
     good = F.col("parse_error").isNull()
     return parsed.select(
@@ -92,7 +92,7 @@ select conv_id, turn, sha256(cast(to_json({'model': 'm1', 'messages': [{'role':
 
 
 def placeholder_completion(spark, d):
-    talk = heavy(spark, d, "conversations").select(
+    talk = table(spark, d, "conversations").select(
         "conv_id", "turn", F.concat("text", F.when(F.col("role") == "assistant", " Write Listings").otherwise("")).alias("user")
     )
     replies = L.parse_listings(L.parse_concept(L.placeholder_completion(talk)).withColumnRenamed("parse_error", "concept_error"))
@@ -122,7 +122,7 @@ class LengthProvider:
 
 
 def complete_batch(spark, d):
-    talk = heavy(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("system"), F.col("text").alias("user"))
+    talk = table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("system"), F.col("text").alias("user"))
     replies = L.parse_concept(L.complete_batch(talk, LengthProvider))
     return replies.select(
         "conv_id",
@@ -157,7 +157,7 @@ def estimate_cost(spark, d):
         F.when(F.col("event_type") == "view", "").otherwise(F.concat(F.lit(',"eval_count":'), F.col("value").cast("decimal(18,2)"))),
         F.lit("}"),
     )
-    events = heavy(spark, d, "events").select("user_id", L.estimate_cost(raw).alias("cost"))
+    events = table(spark, d, "events").select("user_id", L.estimate_cost(raw).alias("cost"))
     return events.groupBy("user_id").agg(F.round(F.sum("cost"), 8).alias("cost"))
 
 
@@ -181,7 +181,7 @@ def _whole_word_sql(text: str) -> str:
 
 
 def scan_banned_terms(spark, d):
-    docs = heavy(spark, d, "documents").select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return S.scan_banned_terms(docs, "text", ["doc_id"], [*S.BANNED_TERMS, *CORPUS_TERMS])
 
 
@@ -191,7 +191,7 @@ select doc_id, term from documents cross join t where {_whole_word_sql('text')}"
 
 
 def scan_banned_substrings(spark, d):
-    docs = heavy(spark, d, "documents").select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return S.scan_banned_terms(docs, "text", ["doc_id"], [*S.BANNED_TERMS, *CORPUS_TERMS], mode="substring")
 
 
@@ -201,7 +201,7 @@ select doc_id, term from documents cross join t where contains(lower(text), lowe
 
 
 def scan_banned_pages(spark, d):
-    pages = heavy(spark, d, "pages").select("page_id", "html")
+    pages = table(spark, d, "pages").select("page_id", "html")
     return S.scan_banned_terms(pages, "html", ["page_id"], [*S.BANNED_TERMS, "script", "doctype html", "p{margin:0}"])
 
 
@@ -211,18 +211,26 @@ select page_id, term from pages cross join t where {_whole_word_sql('html')}"""
 
 
 def scan_term_table(spark, d):
-    """Documents against every word, and the opening three words, of the benchmark texts."""
-    docs = heavy(spark, d, "documents").select("doc_id", "text")
+    """Documents against every word, and every two and three words in a row, of the benchmark texts."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
     bench = table(spark, d, "benchmark")
     singles = bench.select(F.explode(S.words(fold_case(F.col("text")))).alias("term"))
-    phrases = bench.select(F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("term"))
+    parts = F.split("text", " ")
+
+    def runs(n):
+        places = F.when(F.size(parts) >= n, F.sequence(F.lit(1), F.size(parts) - n + 1))
+        return bench.select(F.explode(F.transform(places, lambda i: F.array_join(F.slice(parts, i, F.lit(n)), " "))).alias("term"))
+
+    phrases = runs(2).unionByName(runs(3))
     return S.scan_term_table(docs, singles.unionByName(phrases), "text", "doc_id")
 
 
 SCAN_TERM_TABLE = rf"""
 with words as (select distinct unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) as term from benchmark),
 docs as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'))) as term from documents),
-phrases as (select distinct array_to_string(string_split(text, ' ')[1:3], ' ') as term from benchmark)
+b as (select string_split(text, ' ') as w from benchmark),
+phrases as (select distinct array_to_string(w[i:i + n - 1], ' ') as term
+  from (select w, unnest(range(1, len(w) + 1)) as i from b) cross join (values (2), (3)) s(n) where i + n - 1 <= len(w))
 select doc_id, term from docs join words using (term)
 union all
 select doc_id, term from documents cross join phrases

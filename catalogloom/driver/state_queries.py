@@ -18,7 +18,6 @@ from .base import (
     STAMP_SQL,
     Query,
     event_runs,
-    heavy,
     money,
     stamp,
     table,
@@ -140,7 +139,7 @@ LINE_NAMES = [f"line{i}" for i in range(1, 8)]
 
 def _line_artifacts(spark, d):
     """Order lines as artifacts: order = product, line number = artifact name."""
-    line = heavy(spark, d, "lineitem")
+    line = table(spark, d, "lineitem")
     text = F.concat_ws("|", "l_partkey", "l_suppkey", money("l_quantity"), money("l_extendedprice"), "l_returnflag")
     return line.select(
         F.col("l_orderkey").alias("product_id"),
@@ -199,7 +198,7 @@ from orders join customer on o_custkey = c_custkey"""
 
 
 def files_digest(spark, d):
-    docs = heavy(spark, d, "documents").select(
+    docs = table(spark, d, "documents").select(
         "source", F.concat_ws("/", "source", "doc_id").alias("path"), content_hash(F.col("text")).alias("sha")
     )
     return digest(docs, ["source"], "path", "sha")
@@ -292,14 +291,14 @@ select doc_id, 'assets/' || doc_id || '.png' as path, sha256(text) as prompt_has
 from documents where not exists (select 1 from labels where labels.doc_id = documents.doc_id)"""
 
 
-def _asset_issues(spark, d):
+def _asset_issues(spark, d, keys=("source",)):
     assets = table(spark, d, "documents").select("doc_id", "source", F.concat(F.lit("processed/"), "doc_id", F.lit(".png")).alias("path"))
     stats = table(spark, d, "labels").select("doc_id", (F.col("quality") * 700 + F.col("toxic") * 900).alias("length"))
-    return W.check_assets(assets, stats, ("source",), on=["doc_id"])
+    return W.check_assets(assets, stats, keys, on=["doc_id"])
 
 
 ASSET_ISSUES_SQL = """asset_issues as (
-  select source, case when l.doc_id is null then 'asset_existence' else 'asset_size' end as criterion,
+  select d.doc_id, source, case when l.doc_id is null then 'asset_existence' else 'asset_size' end as criterion,
     case when l.doc_id is null then 'error' else 'warning' end as severity,
     case when l.doc_id is null then 'missing processed asset: ' else 'asset suspiciously small (<1KB): ' end
       || 'processed/' || d.doc_id || '.png' as detail
@@ -311,46 +310,62 @@ def check_assets(spark, d):
     return _asset_issues(spark, d)
 
 
-CHECK_ASSETS = f"with {ASSET_ISSUES_SQL} select * from asset_issues"
+CHECK_ASSETS = f"with {ASSET_ISSUES_SQL} select * exclude (doc_id) from asset_issues"
 
 
 def check_packages(spark, d):
-    packages = table(spark, d, "orders").filter(F.col("o_totalprice") > 350000).select(F.col("o_custkey").alias("product_id"))
+    packages = table(spark, d, "orders").select((2 * F.col("o_custkey")).alias("product_id"))  # doubled keys leave gaps
     return W.check_packages(_products(spark, d), packages)
 
 
 CHECK_PACKAGES = """
 select c_custkey as product_id, 'packages' as criterion, 'error' as severity, 'no packages produced' as detail
-from customer left join orders on o_custkey = c_custkey and o_totalprice > 350000
-group by c_custkey having count(o_orderkey) = 0"""
+from customer where not exists (select 1 from orders where 2 * o_custkey = c_custkey)"""
 
 
 def _review_parts(spark, d):
-    """Documents by source: lines = pages, documents = assets, labels = packages, documents = listings."""
+    """Each document as a product: its lines are pages and listings, its label a package, itself an asset."""
     docs = table(spark, d, "documents")
-    products = docs.select("source").distinct()
-    pages = P.explode_text_pages(docs, "text", ("source",)).select("source")
-    packages = docs.select("source", "doc_id").join(
-        table(spark, d, "labels").filter((F.col("toxic") == 1) & (F.col("quality") == 0)).select("doc_id"), "doc_id"
-    ).select("source")
+    products = docs.select("doc_id")
+    pages = P.explode_text_pages(docs, "text", ("doc_id",)).select("doc_id")
+    packages = table(spark, d, "labels").select("doc_id")
     listings = _document_listings(spark, d)
     issues = W.union_issues(
-        _asset_issues(spark, d).filter(F.col("severity") == "warning"),
-        W.check_packages(products, packages, "source"),
-        K.check_listings(listings, ("source",)).filter(F.col("severity") == "warning"),
+        _asset_issues(spark, d, ("doc_id",)),
+        W.check_packages(products, packages, "doc_id"),
+        K.check_listings(listings, ("doc_id",)),
     )
-    return products, issues, pages, docs.select("source"), packages, listings.select("source")
+    return products, issues, pages, products, packages, listings.select("doc_id")
+
+
+def _review_rows(spark, d):
+    """What ``_review_parts`` would count, from one pass over the documents: (doc_id, kind, n)."""
+    docs = table(spark, d, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: x != "").alias("pages"), F.split("text", "\n").alias("lines"))
+    labels = table(spark, d, "labels").select("doc_id", (F.col("quality") * 700 + F.col("toxic") * 900).alias("length"))
+    joined = docs.join(labels, "doc_id", "left")
+    tags = F.transform("lines", lambda x: F.size(F.filter(F.split(x, " "), lambda w: F.length(w) > 2)))
+    untitled = F.size(F.filter(F.zip_with("lines", tags, lambda x, n: (n < 2) | (x == "")), lambda bad: bad))
+    missing = F.col("length").isNull()
+    counts = {
+        "concept_pages": F.size("pages"),
+        "assets_generated": F.lit(1),
+        "packages_built": (~missing).cast("int"),
+        "listings_count": F.size("lines"),
+        "error": 2 * missing.cast("int") + untitled,
+        "warning": F.coalesce((F.col("length") < W.MIN_ASSET_BYTES).cast("int"), F.lit(0)) + F.size(F.filter(tags, lambda n: n < 5)),
+    }
+    pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), n.cast("bigint").alias("n")) for kind, n in counts.items()])
+    return joined.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.kind", "p.n")
 
 
 REVIEW_SQL = f"""{ASSET_ISSUES_SQL}, {LISTING_ISSUES_SQL},
-pk as (select source from documents join labels using (doc_id) where toxic = 1 and quality = 0),
+pk as (select doc_id from labels),
 issues as (
-  select source, criterion, severity, detail from asset_issues where severity = 'warning'
+  select doc_id, criterion, severity, detail from asset_issues
   union all
-  select source, 'packages', 'error', 'no packages produced' from (select distinct source from documents)
-  where source not in (select source from pk)
+  select doc_id, 'packages', 'error', 'no packages produced' from documents where doc_id not in (select doc_id from pk)
   union all
-  select source, criterion, severity, detail from listing_issues where severity = 'warning')"""
+  select doc_id, criterion, severity, detail from listing_issues)"""
 
 
 def union_issues(spark, d):
@@ -362,40 +377,39 @@ UNION_ISSUES = f"with {REVIEW_SQL} select * from issues"
 
 def review_verdict(spark, d):
     products, issues, *_ = _review_parts(spark, d)
-    return W.review_verdict(products, issues, "source")
+    return W.review_verdict(products, issues, "doc_id")
 
 
 REVIEW_VERDICT = f"""
 with {REVIEW_SQL}
-select d.source, case when coalesce(bool_or(i.severity = 'error'), false) then 'fail' else 'pass' end as verdict
-from (select distinct source from documents) d left join issues i on i.source = d.source group by d.source"""
+select d.doc_id, case when coalesce(bool_or(i.severity = 'error'), false) then 'fail' else 'pass' end as verdict
+from documents d left join issues i on i.doc_id = d.doc_id group by d.doc_id"""
 
 
 def review_scores(spark, d):
     products, _, pages, assets, packages, listings = _review_parts(spark, d)
-    return W.review_scores(products, pages, assets, packages, listings, "source")
+    return W.review_scores(products, pages, assets, packages, listings, "doc_id")
 
 
-SCORES_SQL = """cast((select count(*) from (select source, unnest(string_split(text, chr(10))) as line from documents) x
-    where x.source = d.source and line <> '') as double) as concept_pages,
-  cast((select count(*) from documents x where x.source = d.source) as double) as assets_generated,
-  cast((select count(*) from pk x where x.source = d.source) as double) as packages_built,
-  cast((select count(*) from documents x where x.source = d.source) as double) as listings_count"""
+SCORES_SQL = """cast((select count(*) from lines x where x.doc_id = d.doc_id and line <> '') as double) as concept_pages,
+  cast(1 as double) as assets_generated,
+  cast((select count(*) from pk x where x.doc_id = d.doc_id) as double) as packages_built,
+  cast((select count(*) from lines x where x.doc_id = d.doc_id) as double) as listings_count"""
 
-REVIEW_SCORES = f"with {REVIEW_SQL} select d.source, {SCORES_SQL} from (select distinct source from documents) d"
+REVIEW_SCORES = f"with {REVIEW_SQL} select d.doc_id, {SCORES_SQL} from documents d"
 
 
 def review_report(spark, d):
-    return W.review_report(*_review_parts(spark, d), key="source")
+    return W.report_of(_review_rows(spark, d), "doc_id")
 
 
 REVIEW_REPORT = f"""
 with {REVIEW_SQL}
-select d.source, case when exists (select 1 from issues i where i.source = d.source and severity = 'error') then 'fail' else 'pass' end as verdict,
+select d.doc_id, case when exists (select 1 from issues i where i.doc_id = d.doc_id and severity = 'error') then 'fail' else 'pass' end as verdict,
   {SCORES_SQL},
-  (select count(*) from issues i where i.source = d.source and severity = 'error') as errors,
-  (select count(*) from issues i where i.source = d.source and severity = 'warning') as warnings
-from (select distinct source from documents) d"""
+  (select count(*) from issues i where i.doc_id = d.doc_id and severity = 'error') as errors,
+  (select count(*) from issues i where i.doc_id = d.doc_id and severity = 'warning') as warnings
+from documents d"""
 
 RUNTIME = {"llm": {"provider": "local", "model": "m1"}, "image": {"provider": "painter", "model": "m2"}}
 

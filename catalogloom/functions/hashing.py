@@ -18,14 +18,17 @@ def _canonical(c: Column, kind: T.DataType) -> Column:
         fields = sorted(kind.fields, key=lambda f: f.name)
         rebuilt = F.struct(*[_canonical(c[f.name], f.dataType).alias(f.name) for f in fields])
         return F.when(c.isNull(), F.lit(None)).otherwise(rebuilt)
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.MapType, T.ArrayType)):
+    if isinstance(kind, T.ArrayType):
         return F.transform(c, lambda item: _canonical(item, kind.elementType))
     if isinstance(kind, T.MapType):
-        entries = F.array_sort(F.map_entries(c))
         return F.transform(
-            entries,
-            lambda e: F.struct(e["key"].alias("key"), _canonical(e["value"], kind.valueType).alias("value")),
+            F.array_sort(F.map_keys(c)),
+            lambda k: F.struct(
+                _canonical(k, kind.keyType).alias("key"), _canonical(F.element_at(c, k), kind.valueType).alias("value")
+            ),
         )
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):  # JSON text would keep milliseconds only
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return c
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .. import schemas
 from ..functions import contracts as C
 from ..functions.text import strip_json_fence
-from ..session import settle
+from ..session import settle_missing
 
 # Price of a token and how many attempts a reply gets.
 TOKEN_COST = 2e-8
@@ -129,13 +129,15 @@ class ImageProvider(Protocol):
     def generate(self, prompt: str, aspect_ratio: str, size: str, quality: str) -> bytes: ...
 
 
-def complete_batch(df: DataFrame, provider: Callable[[], Provider]) -> DataFrame:
+def complete_batch(df: DataFrame, provider: Callable[[], Provider], parallelism: int | None = None) -> DataFrame:
     """One call per row of (…, system, user) through a client built once per partition.
 
     Adds content, raw and call_error. A failing call fills call_error and is not tried again here.
     Row batches stream through, so memory holds one Arrow batch whatever the partition size. The
-    number of partitions bounds the number of concurrent clients.
+    number of partitions bounds the number of concurrent clients; ``parallelism`` sets it, as a small
+    table of prompts otherwise ends in few partitions.
     """
+    df = df if parallelism is None else df.repartition(parallelism)
     added = [T.StructField(name, T.StringType()) for name in schemas.COMPLETION]
     schema = T.StructType([*df.schema.fields, *added])
 
@@ -278,17 +280,24 @@ def retry_parse(
 
     Returns the accepted replies, the rows that stay unusable with their error, and the cost per key.
     Each round is written before it is read: calls are paid and differ from one execution to the
-    next. A failed call is final, only an unusable reply is repaired. A lost task calls again for
-    its own rows (at least once).
+    next. Replies that an interrupted execution has left under ``path`` are used again where key and
+    prompt are the same; only the others are asked for. A failed call is final, only an unusable reply
+    is repaired. A lost task calls again for its own rows (at least once).
     """
     keys = list(keys)
-    one = settle(parse(complete(prompts.withColumn("attempt", F.lit(1)))), f"{path}/attempt=1")
+
+    def asked(rows: DataFrame, attempt: int) -> DataFrame:
+        folder, same = f"{path}/attempt={attempt}", [*keys, "prompt_hash"]
+        rows = rows.withColumn("prompt_hash", F.sha2(F.to_json(F.struct("system", "user")), 256))
+        replies = settle_missing(rows, folder, same, lambda todo: parse(complete(todo.withColumn("attempt", F.lit(attempt)))))
+        return replies.join(rows.select(*same), same, "left_semi")
+
+    one = asked(prompts, 1)
     again = one.filter(F.col("call_error").isNull() & F.col("parse_error").isNotNull()).select(
         *[c for c in prompts.columns if c != "system"],
         fill(repair, error=F.col("parse_error")).alias("system"),
-        F.lit(2).alias("attempt"),
     )
-    two = settle(parse(complete(again.select(*prompts.columns, "attempt"))), f"{path}/attempt=2")
+    two = asked(again.select(*prompts.columns), 2)
     accepted = one.filter(F.col("parse_error").isNull()).unionByName(two.filter(F.col("parse_error").isNull()))
     failed = one.filter(F.col("call_error").isNotNull()).unionByName(two.filter(F.col("parse_error").isNotNull()))
     replies = one.select(*keys, "raw").unionByName(two.select(*keys, "raw"))
@@ -300,14 +309,20 @@ def retry_parse(
     )
 
 
-def generate_images(df: DataFrame, provider: Callable[[], ImageProvider]) -> DataFrame:
-    """One image per row of (…, prompt, aspect_ratio, size, quality); adds content and call_error."""
+def generate_images(
+    df: DataFrame, provider: Callable[[], ImageProvider], parallelism: int | None = None, held: int = 8
+) -> DataFrame:
+    """One image per row of (…, prompt, aspect_ratio, size, quality); adds content and call_error.
+
+    A task holds ``held`` images at a time; ``parallelism`` sets the number of concurrent clients.
+    """
+    df = df if parallelism is None else df.repartition(parallelism)
     added = [T.StructField("content", T.BinaryType()), T.StructField("call_error", T.StringType())]
     schema = T.StructType([*df.schema.fields, *added])
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = provider()
-        for batch in batches:
+        for batch in (part.iloc[i : i + held] for part in batches for i in range(0, len(part), held)):
             images, errors = [], []
             for row in batch.itertuples(index=False):
                 try:

@@ -174,9 +174,14 @@ def bundle_members(
 
     A row per member, not an array per bundle: a bundle of any size stays spread over the cluster,
     and the order is the position column. Every deliverable of a product has the same members, so
-    they are listed once per product.
+    they are listed once per product. ``stats`` has the sizes by product and name, as file names
+    recur in every product; of repeated entries the largest counts, a member without one has no size.
     """
-    listed = assets if stats is None else assets.join(stats.select(name, "length"), name, "left")
+    if stats is None:
+        listed = assets
+    else:
+        sizes = stats.groupBy(*keys, name).agg(F.max("length").alias("length"))
+        listed = assets.join(sizes, [*keys, name], "left")
     return listed.select(*keys, F.col(pos).alias("pos"), F.col(name).alias("name"), "length")
 
 

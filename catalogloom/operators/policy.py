@@ -33,13 +33,9 @@ BANNED_TERMS = [
     "printable game",
 ]
 
-# Longest list turned into one expression per term; longer lists belong in a table.
-MAX_INLINE_TERMS = 200
-
 _WORD = r"[\p{L}\p{N}_]"
 
 
-
 def _quoted(term: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", term)
 
@@ -63,12 +59,11 @@ def scan_banned_terms(
 ) -> DataFrame:
     """One row per (text, term) that occurs. ``mode`` is ``word`` or ``substring``, case ignored.
 
-    No join: terms are part of the plan, patterns are compiled once, texts never move. Each text is
+    No join: terms are part of the plan, so thousands of them are better put in a table for
+    ``scan_term_table``; patterns are compiled once, texts never move. Each text is
     folded to one case once; a plain substring search settles nearly all (text, term) pairs, and the
     word pattern runs only where the substring is there.
     """
-    if len(terms) > MAX_INLINE_TERMS:
-        raise ValueError(f"{len(terms)} terms: put them in a table and use scan_term_table")
     body = F.col("_body")
     if mode == "word":
         folded = df.select(*keys, F.col(text).alias("_text"), fold_case(F.col(text)).alias("_body"))
@@ -82,8 +77,8 @@ def scan_banned_terms(
     return folded.select(*keys, F.explode(found).alias("term"))
 
 
-# A word, or one character that is neither part of a word nor a blank.
-_PIECE = rf"{_WORD}+|[^\p{{L}}\p{{N}}_\s]"
+# A word, or one character that is neither part of a word nor a blank, with the blanks after it.
+_PIECE = rf"(?:{_WORD}+|[^\p{{L}}\p{{N}}_\s])\s*"
 
 
 def words(folded: Column) -> Column:
@@ -92,28 +87,43 @@ def words(folded: Column) -> Column:
 
 
 def pieces(folded: Column) -> Column:
-    """Words and single signs of a folded text, in order."""
+    """Words and single signs of a folded text in order, each with the blanks that follow it."""
     return F.regexp_extract_all(folded, F.lit(_PIECE), 0)
 
 
-def openings(parts: Column) -> Column:
-    """Every way a term of several pieces, or of one sign, can begin in a text with these pieces."""
-    following = F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
-    pairs = F.zip_with(parts, following, lambda first, second: F.concat(first, F.lit(" "), second))
-    signs = F.filter(parts, lambda p: ~p.rlike(_WORD))
-    return F.array_distinct(F.array_compact(F.concat(pairs, signs)))
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(c, r"\s+$", "")
 
 
-def scan_term_table(
-    df: DataFrame, terms: DataFrame, text: str, key: str, term: str = "term", phrases: bool = True, salts: int = 8
-) -> DataFrame:
+def openings(parts: Column, reach: int) -> Column:
+    """Every way a term of several pieces, or of one sign, can begin in a text with these pieces.
+
+    (k, before, parts): the first two pieces or the sign, whether a word touches it from the left, and
+    the pieces from there on, one more than the longest term has.
+    """
+    places = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>"))
+    start = lambda i: _bare(F.element_at(parts, i))
+
+    def begin(k: Column, i: Column) -> Column:
+        touched = F.coalesce(F.get(parts, i - 2).rlike(rf"{_WORD}\z"), F.lit(False))
+        return F.struct(k.alias("k"), touched.alias("before"), F.slice(parts, i, F.lit(reach + 1)).alias("parts"))
+
+    pairs = F.transform(
+        F.filter(places, lambda i: i < F.size(parts)), lambda i: begin(F.concat(start(i), F.lit(" "), start(i + 1)), i)
+    )
+    signs = F.transform(F.filter(places, lambda i: ~start(i).rlike(_WORD)), lambda i: begin(start(i), i))
+    return F.array_distinct(F.concat(pairs, signs))
+
+
+def scan_term_table(df: DataFrame, terms: DataFrame, text: str, key: str, term: str = "term", phrases: bool = True) -> DataFrame:
     """One row per (text, term) for a table of terms of any size, as whole words, case ignored.
 
     Equi joins instead of every text against every term. One-word terms meet the distinct words of
-    each text and are settled by that. All others meet the distinct pairs of neighbouring pieces by
-    their first pair; only the texts that have the pair are read again and searched. A common word
-    recurs in a large share of the texts, so both join keys carry a salt derived from the text key.
-    ``phrases=False`` skips the second half for tables known to hold single words only.
+    each text and are settled by that. All others meet the pairs of neighbouring pieces by their first
+    pair and are settled on the few pieces carried along; no text is read or moved again. Both sides of
+    the joins are dealt out by the join itself, so adaptive execution splits a word that is in most
+    texts. ``phrases=False`` skips the second half for tables known to hold single words only; with it,
+    one small job finds the length of the longest term.
     """
     listed = (
         terms.select(F.col(term).alias("term"))
@@ -121,22 +131,20 @@ def scan_term_table(
         .distinct()
         .select("term", fold_case(F.col("term")).alias("_folded"), F.col("term").rlike(rf"\A{_WORD}+\z").alias("_single"))
     )
-    salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("_salt")
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    folded = df.select(F.col(key), salt, fold_case(F.col(text)).alias("_folded"))
-
-    by_word = listed.filter("_single").select("term", F.col("_folded").alias("_k"), every_salt)
-    offered = folded.select(key, "_salt", F.explode(words(F.col("_folded"))).alias("_k"))
-    settled = offered.join(by_word, ["_salt", "_k"], "inner").select(key, "term")
+    folded = df.select(F.col(key), fold_case(F.col(text)).alias("_folded"))
+    by_word = listed.filter("_single").select("term", F.col("_folded").alias("_k"))
+    settled = folded.select(key, F.explode(words(F.col("_folded"))).alias("_k")).join(by_word, "_k").select(key, "term")
     if not phrases:
         return settled
 
-    opening = F.array_join(F.slice(pieces(F.col("_folded")), 1, 2), " ")
-    by_opening = listed.filter(~F.col("_single")).select("term", opening.alias("_k"), every_salt)
-    cut = folded.select(key, "_salt", pieces(F.col("_folded")).alias("_pieces"))
-    begun = cut.select(key, "_salt", F.explode(openings(F.col("_pieces"))).alias("_k"))
-    quoted = F.concat(F.lit(r"\Q"), F.col("term"), F.lit(r"\E"))
-    pattern = F.concat(F.lit("(?iu)"), quoted, F.lit(f"(?<!{_WORD}"), quoted, F.lit(f")(?!{_WORD})"))
-    longer = begun.join(by_opening, ["_salt", "_k"], "inner").select(key, "term", pattern.alias("_pattern"))
-    found = df.select(key, text).join(longer, key, "inner").filter(F.regexp_like(F.col(text), F.col("_pattern")))
-    return settled.unionByName(found.select(key, "term"))
+    longer = listed.filter(~F.col("_single")).select("term", _bare(F.col("_folded")).alias("_body"), pieces(F.col("_folded")).alias("_own"))
+    reach = longer.agg(F.max(F.size("_own"))).first()[0] or 1
+    opening = F.array_join(F.transform(F.slice("_own", 1, 2), _bare), " ")
+    cut = folded.select(key, pieces(F.col("_folded")).alias("_pieces"))
+    begun = cut.select(key, F.explode(openings(F.col("_pieces"), reach)).alias("_at")).select(key, F.col("_at.k").alias("_k"), "_at.before", "_at.parts")
+    met = begun.join(longer.withColumn("_k", opening), "_k")
+    n = F.size("_own")
+    last, then = F.get("parts", n - 1), F.get("parts", n)
+    runs_on = F.coalesce(~last.rlike(rf"(\s|{_WORD})\z") & then.rlike(rf"\A{_WORD}"), F.lit(False))
+    same = _bare(F.array_join(F.slice("parts", F.lit(1), n), "")) == F.col("_body")
+    return settled.unionByName(met.filter(same & ~F.col("before") & ~runs_on).select(key, "term").distinct())

@@ -53,10 +53,15 @@ def join_requests_packs(
     says so. Past that threshold the join shuffles, and adaptive skew splitting spreads a pack that
     holds a large share of the requests.
     """
-    keyed = packs.withColumnRenamed(pack_key, on)
-    resolved = requests.join(keyed, on, "inner")
-    unknown = requests.join(keyed.select(on), on, "left_anti")
-    return resolved, unknown
+    marked = mark_packs(requests, packs, on, pack_key)
+    known = F.col("known")
+    return marked.filter(known).drop("known"), marked.filter(~known).select(*requests.columns)
+
+
+def mark_packs(requests: DataFrame, packs: DataFrame, on: str = "pack", pack_key: str = "id") -> DataFrame:
+    """All requests with their pack's columns and ``known``, in one join; pack keys are unique."""
+    keyed = packs.withColumnRenamed(pack_key, on).withColumn("known", F.lit(True))
+    return requests.join(keyed, on, "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def distinct_keys(df: DataFrame, *keys: str) -> DataFrame:
@@ -72,11 +77,17 @@ def guard_new_products(
     requests: DataFrame, existing: DataFrame, key: str = "product_id", force: str | None = "force"
 ) -> tuple[DataFrame, DataFrame]:
     """Accepted and rejected requests: an existing product passes only when forced."""
+    marked, refused = mark_guarded(requests, existing, key, force), F.col("decision") == "rejected"
+    return marked.filter(~refused).drop("decision"), marked.filter(refused).drop("decision")
+
+
+def mark_guarded(requests: DataFrame, existing: DataFrame, key: str = "product_id", force: str | None = "force") -> DataFrame:
+    """All requests with ``decision``: accepted or rejected."""
     known = distinct_keys(existing, key)
     forced = F.coalesce(F.col(force), F.lit(False)) if force else F.lit(False)
     marked = requests.join(known.withColumn("_known", F.lit(True)), key, "left")
     refused = F.coalesce(F.col("_known"), F.lit(False)) & ~forced
-    return marked.filter(~refused).drop("_known"), marked.filter(refused).drop("_known")
+    return marked.withColumn("decision", F.when(refused, "rejected").otherwise("accepted")).drop("_known")
 
 
 def _marketplaces(formats: Column, kind: str) -> tuple[C.Field, Column]:

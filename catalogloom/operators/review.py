@@ -102,13 +102,21 @@ def review_report(
     Issues join the same single aggregation as the scores: one shuffle of narrow, pre-reduced rows.
     """
     children = dict(zip(SCORES, (pages, assets, packages, listings)))
-    tagged = [df.select(key, F.lit(name).alias("_kind")) for name, df in children.items()]
-    tagged.append(issues.select(key, F.col("severity").alias("_kind")))
-    counts = union_issues(*tagged).groupBy(key).agg(
-        *[F.count(F.when(F.col("_kind") == n, 1)).alias(n) for n in [*SCORES, "error", "warning"]]
+    tagged = [df.select(key, F.lit(name).alias("kind"), F.lit(1).alias("n")) for name, df in children.items()]
+    tagged.append(issues.select(key, F.col("severity").alias("kind"), F.lit(1).alias("n")))
+    tagged.append(products.select(key, F.lit("product").alias("kind"), F.lit(1).alias("n")))
+    return products.select(key).join(report_of(union_issues(*tagged), key), key)
+
+
+def report_of(tagged: DataFrame, key: str = "product_id") -> DataFrame:
+    """Verdict and scores from rows (key, kind, n); ``kind`` is a score or a severity.
+
+    For callers that find several kinds in one pass. Every product has a row of some kind.
+    """
+    counts = tagged.groupBy(key).agg(
+        *[F.sum(F.when(F.col("kind") == n, F.col("n")).otherwise(0)).alias(n) for n in [*SCORES, "error", "warning"]]
     )
-    joined = products.select(key).join(counts, key, "left")
-    return joined.select(
+    return counts.select(
         key,
         F.when(F.col("error") > 0, F.lit("fail")).otherwise(F.lit("pass")).alias("verdict"),
         *[F.coalesce(F.col(n), F.lit(0)).cast("double").alias(n) for n in SCORES],

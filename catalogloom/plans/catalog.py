@@ -25,7 +25,7 @@ from ..operators import listings as K
 from ..operators import products as P
 from ..operators import provenance as V
 from ..operators import review as W
-from ..operators.requests import join_requests_packs
+from ..operators.requests import guard_new_products, join_requests_packs
 from ..session import settle
 from ..sources import tables as S
 
@@ -38,7 +38,10 @@ PROMPT_VERSIONS = {stage: f"{stage}-v1" for stage in schemas.STAGES}
 # Raise a stage's number when its code changes what it produces.
 CODE_VERSIONS = {stage: "1" for stage in schemas.STAGES}
 
-PROFILE = ["pack", "pack_version", "pack_type", "pack_languages", "pack_formats", "pack_page_count", "image_size"]
+PROFILE = [
+    "pack", "schema_version", "pack_version", "pack_type", "default_language", "pack_languages", "pack_formats",
+    "pack_page_count", "image_size",
+]
 REQUEST = ["pack", "theme", "page_count", "languages", "formats", "title_hint"]
 
 
@@ -65,7 +68,9 @@ def stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFra
     """The Parquet table at a path; without one, an empty table of the schema, or None."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # an unreadable table is no empty one
+            raise
         return None if schema is None else spark.createDataFrame([], schema)
 
 
@@ -84,8 +89,10 @@ def resolve(requests: DataFrame, packs: DataFrame) -> tuple[DataFrame, DataFrame
     """Requests with the pack columns the stages need, and requests of unknown packs."""
     renamed = packs.select(
         "id",
+        "schema_version",
         "pack_version",
         "pack_type",
+        "default_language",
         F.col("languages").alias("pack_languages"),
         F.col("formats").alias("pack_formats"),
         F.col("page_count").alias("pack_page_count"),
@@ -139,7 +146,11 @@ def assets(run: Run, rows: DataFrame, inputs: dict[str, DataFrame]) -> DataFrame
     )
     files = stored(run.spark, run.path("files"), FILES)
     wanted = _assets_table(planned).withColumn("path", F.col("asset_path"))
-    todo = I.pending_files(wanted, files, keys=("product_id",)).dropDuplicates(["product_id", "path"])
+    rest = [c for c in wanted.columns if c not in ("product_id", "path")]
+    pending = I.pending_files(wanted, files, keys=("product_id",))
+    # A page id that a reply repeats is drawn once, by its first page.
+    todo = pending.groupBy("product_id", "path").agg(F.min_by(F.struct(*rest), F.col("pos")).alias("_first"))
+    todo = todo.select("product_id", "path", "_first.*").select(*wanted.columns)
     drawn = settle(run.draw(todo), run.path("drawn", f"run={run.number}"))
     written = S.write_files(drawn.filter(F.col("call_error").isNull()), run.path("images", f"run={run.number}"))
     settle(written, run.path("files"), mode="append")
@@ -162,23 +173,15 @@ def _pixels(run: Run, folders: list[str]) -> DataFrame:
     ).drop("uri")
 
 
-def _pending_pixels(run: Run, todo: DataFrame, files: DataFrame) -> DataFrame | None:
-    """Pixels of the pending images.
+def _pending_pixels(run: Run, todo: DataFrame) -> DataFrame | None:
+    """Pixels of the pending images: the folders of the runs that drew them, less what is cleaned already.
 
-    A folder whose images are all pending, the usual case, is read without any join, so pixels are
-    cleaned where they were decoded. Only folders that are partly done meet the pending list. What
-    comes to the driver is one row per earlier run.
+    What comes to the driver is one folder per run that has something pending.
     """
-    folder = F.regexp_extract("uri", RUN_FOLDER, 1).alias("folder")
-    held = files.filter(F.col("path").startswith("assets/")).groupBy(folder).agg(F.count(F.lit(1)).alias("held"))
-    wanted = todo.groupBy(folder).agg(F.count(F.lit(1)).alias("wanted"))
-    counts = wanted.join(held, "folder").collect()
-    whole = [c.folder for c in counts if c.wanted == c.held]
-    partly = [c.folder for c in counts if c.wanted != c.held]
-    parts = [_pixels(run, whole)] if whole else []
-    if partly:
-        parts.append(_pixels(run, partly).join(todo.select("product_id", "path"), ["product_id", "path"], "left_semi"))
-    return W.union_issues(*parts) if parts else None
+    folders = [r.folder for r in todo.select(F.regexp_extract("uri", RUN_FOLDER, 1).alias("folder")).distinct().collect() if r.folder]
+    if not folders:
+        return None
+    return _pixels(run, folders).join(todo.select("product_id", "path"), ["product_id", "path"], "left_semi")
 
 
 def postprocess(run: Run, rows: DataFrame, inputs: dict[str, DataFrame]) -> DataFrame:
@@ -188,7 +191,7 @@ def postprocess(run: Run, rows: DataFrame, inputs: dict[str, DataFrame]) -> Data
     pending = I.pending_files(wanted, files, keys=("product_id",))
     located = files.select("product_id", F.col("path").alias("asset_path"), "uri")
     todo = settle(pending.join(located, ["product_id", "asset_path"], "left"), run.path("todo", f"run={run.number}"))
-    pixels = _pending_pixels(run, todo, files)
+    pixels = _pending_pixels(run, todo)
     if pixels is None:
         cleaned_paths = todo.select("product_id", "path").filter(F.lit(False))
     else:
@@ -205,7 +208,9 @@ def package(run: Run, rows: DataFrame, inputs: dict[str, DataFrame]) -> DataFram
     shops = {kind: F.col(f"pack_formats.{kind}.marketplaces") for kind in D.OUTPUTS}
     listed = D.deliverables_of(shops, F.col("formats"), F.col("languages"), F.col("pack"), F.col("theme"))
     made = rows.select("product_id", listed.alias("listed"))
-    files = stored(run.spark, run.path("files"), FILES).filter(F.col("path").startswith("processed/"))
+    now = _assets_table(rows.select("product_id").join(inputs["processed"], "product_id").withColumnRenamed("processed", "doc"))
+    now = now.select("product_id", F.col("processed_path").alias("path")).distinct()
+    files = stored(run.spark, run.path("files"), FILES).join(now, ["product_id", "path"], "left_semi")
     total = files.groupBy("product_id").agg(F.sum("length").alias("total"))
     sized = made.join(total, "product_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
     packages = F.transform(
@@ -220,9 +225,12 @@ def listing(run: Run, rows: DataFrame, inputs: dict[str, DataFrame]) -> DataFram
         *rows.columns, "concept.pages", "concept.titles", "concept.subtitle", "concept.description_hint"
     )
     typed = K.type_listings(_asked(run, "listing", plans, L.parse_listings, ["listings"]))
-    return _result(
-        typed, F.struct("listings"), F.coalesce("reply_error", "listing_error"), F.col("reply_cost")
+    made = settle(
+        _result(typed, F.struct("listings"), F.coalesce("reply_error", "listing_error"), F.col("reply_cost")),
+        run.path("listed", f"run={run.number}"),
     )
+    S.write_listings(listing_rows(made.filter(F.col("error").isNull()).select("product_id", F.col("doc").alias("listings"))), run.path("listings", f"run={run.number}"))
+    return made
 
 
 def listing_rows(listings: DataFrame, doc: str = "listings") -> DataFrame:
@@ -231,7 +239,7 @@ def listing_rows(listings: DataFrame, doc: str = "listings") -> DataFrame:
 
 
 def review(run: Run, rows: DataFrame, inputs: dict[str, DataFrame]) -> DataFrame:
-    """Verdict and scores; the issues are a table of their own."""
+    """Verdict, scores and issues; the issues are a table of their own, too."""
     products = rows.select("product_id")
     joined = {name: products.join(df, "product_id") for name, df in inputs.items()}
     files = stored(run.spark, run.path("files"), FILES)
@@ -248,7 +256,9 @@ def review(run: Run, rows: DataFrame, inputs: dict[str, DataFrame]) -> DataFrame
         run.path("issues", f"run={run.number}"),
     )
     report = W.as_score_map(W.review_report(products, issues, pages, assets_rows, packages, listings))
-    return _result(report, F.struct("verdict", "scores", "errors", "warnings"))
+    own = issues.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("criterion", "severity", "detail"))).alias("issues"))
+    report = report.join(own, "product_id", "left").withColumn("issues", F.coalesce("issues", F.array().cast(own.schema["issues"].dataType)))
+    return _result(report, F.struct("verdict", "scores", "errors", "warnings", "issues"))
 
 
 STAGES: dict[str, Callable[[Run, DataFrame, dict[str, DataFrame]], DataFrame]] = {
@@ -273,13 +283,21 @@ def produce(
     draw: Callable[[DataFrame], DataFrame] = L.placeholder_images,
     run_number: int | None = None,
     stages: Sequence[str] = tuple(schemas.STAGES),
+    guard: bool = False,
 ) -> DataFrame:
     """Run or resume the stages for resolved products; returns the decision of every node.
 
+    With ``guard`` only products that are not in the working directory yet are produced, and those
+    whose column ``force`` says so; the others are left as they are.
+
     A product that fails in a stage is logged as failed and left out of the later ones; the others
     go on. Running again with nothing changed skips every node.
     """
     log_path = f"{workdir}/node_runs"
+    if guard:
+        known = stored(spark, f"{workdir}/products", "product_id string").select("product_id")
+        products, _ = guard_new_products(products, known, force="force" if "force" in products.columns else None)
+        products = products.drop("force")
     if run_number is None:
         log = stored(spark, log_path, schemas.NODE_RUNS)
         run_number = (log.agg(F.max("run")).first()[0] or 0) + 1

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,12 +39,12 @@ def settle(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list
     return spark.read.schema(schema).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Even out a scan that is coarser than the cluster, ahead of costly per-row work.
-
-    A table in few files or few row groups would run regexes and parsers on few cores. A scan that
-    already has a split per core, as any large table does, is returned as it is: no shuffle. Give a
-    bare scan; the split count is read from the plan without running a job.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+def settle_missing(rows: DataFrame, path: str, keys: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Everything stored under ``path`` after adding ``make(rows)`` for the keys not stored yet."""
+    try:
+        held = rows.sparkSession.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return settle(make(rows), path)
+    return settle(make(rows.join(held.select(*keys), keys, "left_anti")), path, mode="append")

@@ -21,10 +21,10 @@ def _yaml_to_json(content: pd.Series, path: pd.Series) -> pd.DataFrame:
         try:
             data = yaml.safe_load(text) or {}
             if isinstance(data, dict):
-                rows.append((json.dumps(data, default=str), None))
+                rows.append((json.dumps(data, default=str, allow_nan=False), None))
             else:
                 rows.append((None, f"invalid yaml {where}: expected a mapping, got {type(data).__name__}"))
-        except yaml.YAMLError as error:
+        except Exception as error:  # bad YAML, bad dates, keys that JSON cannot hold: this file's fault alone
             rows.append((None, f"invalid yaml {where}: {error}"))
     return pd.DataFrame(rows, columns=["doc", "error"])
 
