@@ -53,10 +53,7 @@ from events"""
 
 
 def node_costs(spark, d):
-    runs = event_runs(spark, d)
-    kept = I.accumulate_node_cost(runs)
-    everything = I.accumulate_node_cost(runs, include_failed=True).withColumnRenamed("cost", "cost_with_failed")
-    return kept.join(everything, ["product_id", "stage"]).select(
+    return I.node_costs(event_runs(spark, d)).select(
         "product_id", "stage", F.round("cost", 2).alias("cost"), F.round("cost_with_failed", 2).alias("cost_with_failed")
     )
 
@@ -217,10 +214,11 @@ DECLARED = ["line1", "line2"]
 
 def bind_stage_inputs(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("product_id"), F.col("o_orderstatus").alias("config_hash"))
-    bound, missing = I.bind_stage_inputs(orders, _line_artifacts(spark, d), DECLARED)
-    keyed = I.node_hash(bound, DECLARED, "code-1", "prompt-1")
-    return keyed.select("product_id", "input_hash", F.lit("").alias("error")).unionByName(
-        missing.select("product_id", F.lit("").alias("input_hash"), "error")
+    keyed = I.node_hash(I.mark_inputs(orders, _line_artifacts(spark, d), DECLARED), DECLARED, "code-1", "prompt-1")
+    return keyed.select(
+        "product_id",
+        F.when(F.col("error").isNull(), F.col("input_hash")).otherwise("").alias("input_hash"),
+        F.coalesce("error", F.lit("")).alias("error"),
     )
 
 

@@ -115,18 +115,35 @@ def resolve_page_size(
     )
 
 
-def page_geometry(df: DataFrame, size: str = "page_size", bleed: str = "bleed") -> DataFrame:
+def geometry_of(size: Column, bleed: Column) -> dict[str, Column]:
     """Pixels and points of a page with bleed on all sides."""
-    width, height = G.inches(F.col(size))
-    full_w = width + F.lit(2) * F.col(bleed)
-    full_h = height + F.lit(2) * F.col(bleed)
-    return df.withColumns(
-        {
-            "width_px": G.to_pixels(full_w),
-            "height_px": G.to_pixels(full_h),
-            "width_pt": full_w * F.lit(G.POINTS),
-            "height_pt": full_h * F.lit(G.POINTS),
-        }
+    width, height = G.inches(size)
+    full_w, full_h = width + F.lit(2) * bleed, height + F.lit(2) * bleed
+    return {
+        "width_px": G.to_pixels(full_w),
+        "height_px": G.to_pixels(full_h),
+        "width_pt": full_w * F.lit(G.POINTS),
+        "height_pt": full_h * F.lit(G.POINTS),
+    }
+
+
+def page_geometry(df: DataFrame, size: str = "page_size", bleed: str = "bleed") -> DataFrame:
+    """``geometry_of`` as columns."""
+    return df.withColumns(geometry_of(F.col(size), F.col(bleed)))
+
+
+def covers_of(titles: Column, languages: Column, theme: Column, subtitle: Column, size: Column) -> Column:
+    """One cover per language as an array: its texts and its pixel size without bleed."""
+    width, height = G.inches(size)
+    return F.transform(
+        languages,
+        lambda language: F.struct(
+            language.alias("language"),
+            localized_title(titles, language, theme).alias("title"),
+            subtitle.alias("subtitle"),
+            G.to_pixels(width).alias("width_px"),
+            G.to_pixels(height).alias("height_px"),
+        ),
     )
 
 

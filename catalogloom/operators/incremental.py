@@ -26,24 +26,32 @@ def bind_stage_inputs(
     to one row per product before it meets the products. The message names the first missing input
     in declared order.
     """
-    if not inputs:
-        return products, products.filter(F.lit(False)).withColumn("error", F.lit(None).cast("string"))
-    held = artifacts.filter(F.col(name).isin(*inputs)).groupBy(key).agg(
-        *[c.alias(f"in_{n}") for c, n in zip(by_name(F.col(name), F.col(value), inputs), inputs)]
-    )
-    bound = products.join(held, key, "left").withColumn(
-        "error",
-        F.coalesce(
-            *[F.when(F.col(f"in_{n}").isNull(), F.lit(f"missing input artifact: {n}")) for n in inputs]
-        ),
-    )
     columns = [f"in_{n}" for n in inputs]
+    bound = mark_inputs(products, artifacts, inputs, key, name, value)
     return (
         bound.filter(F.col("error").isNull()).drop("error"),
         bound.filter(F.col("error").isNotNull()).drop(*columns),
     )
 
 
+def mark_inputs(
+    products: DataFrame,
+    artifacts: DataFrame,
+    inputs: Sequence[str],
+    key: str = "product_id",
+    name: str = "name",
+    value: str = "content_hash",
+) -> DataFrame:
+    """All products with one hash column per declared input and ``error``, NULL where none is missing."""
+    if not inputs:
+        return products.withColumn("error", F.lit(None).cast("string"))
+    held = artifacts.filter(F.col(name).isin(*inputs)).groupBy(key).agg(
+        *[c.alias(f"in_{n}") for c, n in zip(by_name(F.col(name), F.col(value), inputs), inputs)]
+    )
+    absent = [F.when(F.col(f"in_{n}").isNull(), F.lit(f"missing input artifact: {n}")) for n in inputs]
+    return products.join(held, key, "left").withColumn("error", F.coalesce(*absent))
+
+
 def node_hash(
     bound: DataFrame,
     inputs: Sequence[str],
@@ -156,6 +164,14 @@ def accumulate_node_cost(
     return runs.groupBy(*keys).agg(F.coalesce(F.sum(counted), F.lit(0.0)).alias("cost"))
 
 
+def node_costs(runs: DataFrame, keys: Sequence[str] = ("product_id", "stage")) -> DataFrame:
+    """Cost of a node over its finished runs and over all of them, in one aggregation."""
+    done = F.when(F.col("status") == "done", F.col("cost"))
+    return runs.groupBy(*keys).agg(
+        F.coalesce(F.sum(done), F.lit(0.0)).alias("cost"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost_with_failed")
+    )
+
+
 def node_timestamps(runs: DataFrame, keys: Sequence[str] = ("product_id", "stage"), ts: str = "ts") -> DataFrame:
     """First and last touch of a node."""
     return runs.groupBy(*keys).agg(F.min(ts).alias("created_at"), F.max(ts).alias("updated_at"))

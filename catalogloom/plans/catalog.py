@@ -204,20 +204,35 @@ def postprocess(run: Run, rows: DataFrame, inputs: dict[str, DataFrame]) -> Data
 
 
 def package(run: Run, rows: DataFrame, inputs: dict[str, DataFrame]) -> DataFrame:
-    """Deliverables with the bytes of their images; covers are drawn elsewhere and have no size yet."""
+    """Deliverables with the bytes of their images, page geometry, cover texts and number of members.
+
+    Covers are drawn elsewhere and have no size yet.
+    """
     shops = {kind: F.col(f"pack_formats.{kind}.marketplaces") for kind in D.OUTPUTS}
     listed = D.deliverables_of(shops, F.col("formats"), F.col("languages"), F.col("pack"), F.col("theme"))
-    made = rows.select("product_id", listed.alias("listed"))
+    told = D.resolve_page_size(rows.join(inputs["concept"], "product_id").withColumn("packaging", F.try_parse_json("packaging")))
+    geometry = {
+        kind: F.struct(
+            F.col(f"{kind}_page_size").alias("page_size"),
+            F.col(f"{kind}_bleed").cast("double").alias("bleed"),
+            *[c.alias(n) for n, c in D.geometry_of(F.col(f"{kind}_page_size"), F.col(f"{kind}_bleed").cast("double")).items()],
+        )
+        for kind in D.OUTPUTS
+    }
+    covers = D.covers_of(F.col("concept.titles"), F.col("languages"), F.col("theme"), F.col("concept.subtitle"), F.col("print_page_size"))
+    made = told.select(
+        "product_id", listed.alias("listed"), F.struct(*[g.alias(k) for k, g in geometry.items()]).alias("geometry"), covers.alias("covers"), "geometry_error"
+    )
     now = _assets_table(rows.select("product_id").join(inputs["processed"], "product_id").withColumnRenamed("processed", "doc"))
     now = now.select("product_id", F.col("processed_path").alias("path")).distinct()
     files = stored(run.spark, run.path("files"), FILES).join(now, ["product_id", "path"], "left_semi")
-    total = files.groupBy("product_id").agg(F.sum("length").alias("total"))
-    sized = made.join(total, "product_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    total = files.groupBy("product_id").agg(F.sum("length").alias("total"), F.count(F.lit(1)).alias("members"))
+    sized = made.join(total, "product_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total", "members")})
     packages = F.transform(
         "listed",
         lambda d: d.withField("file_size", F.when(d["kind"] == "cover", F.lit(0)).otherwise(F.col("total")).cast("bigint")),
     )
-    return _result(sized, F.struct(packages.alias("packages")))
+    return _result(sized, F.struct(packages.alias("packages"), "geometry", "covers", "members", "geometry_error"))
 
 
 def listing(run: Run, rows: DataFrame, inputs: dict[str, DataFrame]) -> DataFrame:

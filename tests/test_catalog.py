@@ -61,6 +61,15 @@ def test_offline_run_resume_and_change(spark, packs, tmp_path):
     assert out[0].doc.scores == {"concept_pages": 3.0, "assets_generated": 3.0, "packages_built": 12.0, "listings_count": 2.0}
     issues = spark.read.parquet(f"{work}/issues").groupBy("criterion", "severity").count().collect()
     assert [tuple(r) for r in issues] == [("asset_size", "warning", 6)]
+    assert [len(r.doc.issues) for r in out] == [3, 3]
+    package = spark.read.parquet(f"{work}/out/packages").first().doc
+    assert package.members == 3 and package.geometry_error is None
+    assert (package.geometry.digital.width_px, package.geometry.print.width_px) == (2550, 2625)
+    assert [(c.language, c.title, c.height_px) for c in package.covers] == [("en", "Placeholder EN", 3300), ("es", "Placeholder ES", 3300)]
+    copies = spark.read.json(f"{work}/listings/run=1")
+    assert sorted((r.product_id, r.language) for r in copies.collect()) == [(p, g) for p in ("sample-deep-sky", "sample-sea") for g in ("en", "es")]
+    guarded = catalog.produce(spark, products.withColumn("force", F.col("theme") == "none"), work, RUNTIME, guard=True)
+    assert guarded.count() == 0
 
     state = S.read_node_state(spark, f"{work}/node_runs")
     costs = {r.stage: r.cost for r in state.filter("product_id = 'sample-sea'").collect()}
