@@ -35,11 +35,8 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
-    """The sorted 64-bit hashes of each text's shingles of ``words`` lower-case words.
-
-    Words are what ASCII white space parts. A text of fewer words is one shingle, one without words none.
-    """
+def _rolled(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, of all runs of ``words`` of them, and where each text's words begin."""
     data = np.frombuffer("\n".join([*(t.lower() for t in texts), ""]).encode(), np.uint8)
     n = len(data)
     base = np.uint64(0xD6E8FEB86659FD93)
@@ -55,7 +52,15 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     rolled = np.zeros(max(0, len(hashed) - words + 1), np.uint64)
     for k in range(words):
         rolled += hashed[k : k + len(rolled)] * mixed(np.uint64([k + 1]))[0]
-    rolled = mixed(rolled)
+    return hashed, mixed(rolled), first
+
+
+def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
+    """The sorted 64-bit hashes of each text's shingles of ``words`` lower-case words.
+
+    Words are what ASCII white space parts. A text of fewer words is one shingle, one without words none.
+    """
+    hashed, rolled, first = _rolled(texts, words)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= words:
@@ -68,6 +73,16 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     return out
 
 
+def smallest_shingles(texts: list[str], words: int) -> np.ndarray:
+    """The smallest hash of a run of ``words`` words of each text; of its words, if it has fewer; or 0."""
+    hashed, rolled, first = _rolled(texts, words)
+    out = np.zeros(len(texts), np.uint64)
+    for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        if b > a:
+            out[k] = rolled[a : b - words + 1].min() if b - a >= words else hashed[a:b].min()
+    return out
+
+
 def signature(shingles: np.ndarray, multipliers: np.ndarray, strip: int = 2048) -> np.ndarray:
     """The smallest hash of the set under each multiplier (all ones for the empty set)."""
     low = np.full(len(multipliers), 0xFFFFFFFF, np.uint64)

@@ -10,24 +10,25 @@ counted by a sketch that near copies share.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Arrow, by_bytes, stored, text_of
-from .jaccard_join import shingle_sets
+from .jaccard_join import smallest_shingles
 
 FIELD = "<*>"
-_ADDRESS = ("@", "://", "www.")
+_VARIABLE = re.compile(r"\d|@|://|www\.")
 
 
 def masked(line: str) -> list[str]:
     """Tokens of a line, variable fields as ``FIELD``."""
-    return [
-        FIELD if not t.isalpha() and (any(c.isdigit() for c in t) or any(s in t for s in _ADDRESS)) else t
-        for t in line.split()
-    ]
+    if not _VARIABLE.search(line):
+        return line.split()
+    return [FIELD if _VARIABLE.search(t) else t for t in line.split()]
 
 
 def templates(line: str, depth: int, least_fixed: int) -> list[str]:
@@ -37,13 +38,21 @@ def templates(line: str, depth: int, least_fixed: int) -> list[str]:
     """
     tokens = masked(line)
     n = len(tokens)
-    if all(t == FIELD for t in tokens):
+    if tokens.count(FIELD) == n:
         return []
     out = [f"{n} {' '.join(tokens)}"]
-    for name, keeps in (("even", lambda k: k % 2 == 0), ("odd", lambda k: k % 2 == 1), ("head", lambda k: 3 * k < 2 * n)):
-        general = [t if k < depth or keeps(k) else FIELD for k, t in enumerate(tokens)]
-        if sum(t != FIELD for t in general) >= least_fixed:
-            out.append(f"{n} {name} {' '.join(general)}")
+    if n < least_fixed:
+        return out
+    general = [
+        ("even", slice(depth + (depth + 1) % 2, n, 2)),
+        ("odd", slice(depth + depth % 2, n, 2)),
+        ("head", slice(max(depth, -(-2 * n // 3)), n, 1)),
+    ]
+    for name, gone in general:
+        kept = tokens.copy()
+        kept[gone] = [FIELD] * len(range(*gone.indices(n)))
+        if n - kept.count(FIELD) >= least_fixed:
+            out.append(f"{n} {name} {' '.join(kept)}")
     return out
 
 
@@ -59,8 +68,8 @@ def _lines(rows: DataFrame, depth: int, least_fixed: int) -> DataFrame:
             texts, ids, keys = (batch.column(c).to_pylist() for c in ("text", "id", "text_key"))
             out: list[tuple] = []
             for start, end in by_bytes(texts, 1 << 20):
-                for row, found in zip(range(start, end), shingle_sets(texts[start:end], 5)):
-                    sketch = int(found[:1].view(np.int64)[0]) if len(found) else 0
+                sketches = smallest_shingles(texts[start:end], 5).view(np.int64).tolist()
+                for row, sketch in zip(range(start, end), sketches):
                     for number, line in enumerate(texts[row].split("\n")):
                         if names := [_name(t) for t in templates(line, depth, least_fixed)]:
                             out.append((ids[row], keys[row], sketch, number, names))
@@ -108,19 +117,21 @@ def drop_lines(
     names = stored(recurring(lines, least_docs, least_share))
     hit = lines.select("text_key", "line", F.explode("names").alias("name")).distinct().join(names, "name", "left_semi")
     gone = stored(hit.groupBy("text_key").agg(F.collect_set("line").alias("gone")))
-    joined = docs.select(*kept, key.alias("_text_key")).join(gone.withColumnRenamed("text_key", "_text_key"), "_text_key", "left")
-    return _rebuilt(joined.select(*kept, F.coalesce("gone", F.array().cast("array<int>")).alias("_gone")), kept, text_col)
+    # The row travels as one column, so that no name of its own clashes with a helper's.
+    joined = docs.select(F.struct(*kept).alias("row"), key.alias("text_key")).join(gone.hint("merge"), "text_key", "left")
+    return _rebuilt(joined, docs.select(*kept), text_col)
 
 
-def _rebuilt(joined: DataFrame, columns: list[str], text_col: str) -> DataFrame:
+def _rebuilt(joined: DataFrame, shape: DataFrame, text_col: str) -> DataFrame:
+    columns = shape.columns
     at = columns.index(text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "_gone")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.schema)
 
     def run(batches: Arrow) -> Arrow:
         for batch in batches:
             texts, sizes, dropped = [], [], []
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()):
-                lines, gone = (text.split("\n") if text is not None else []), set(gone)
+                lines, gone = (text.split("\n") if text is not None else []), set(gone or ())
                 texts.append("\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else text)
                 sizes.append(len(lines))
                 dropped.append(len(gone))
@@ -128,4 +139,5 @@ def _rebuilt(joined: DataFrame, columns: list[str], text_col: str) -> DataFrame:
             arrays[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(sizes, pa.int64()), pa.array(dropped, pa.int64())], [*columns, "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(run, f"{fields}, n_lines long, n_dropped long")
+    flat = joined.select(*[F.col("row")[c].alias(f"c{k}") for k, c in enumerate(columns)], "gone")
+    return flat.mapInArrow(run, f"{fields}, n_lines long, n_dropped long")
