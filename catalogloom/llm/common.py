@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 import sys
 import tempfile
+import threading
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 Arrow = Iterator  # of pyarrow.RecordBatch
 
@@ -35,21 +36,41 @@ def shared_folder(spark: SparkSession) -> str:
     return kept("local folder", lambda: tempfile.mkdtemp(prefix="spark-llm-"))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back; gone when the session ends.
+_open = threading.local()  # the scopes of ``temporary`` that are open, innermost last
 
-    Cuts the lineage: a lost executor rereads files instead of repeating the work.
+
+def stored(df: DataFrame, outlive: bool = False) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back.
+
+    Cuts the lineage: a lost executor rereads files instead of repeating the work. The files go at the
+    end of the scope of ``temporary`` they are made in, of the scope around it if they ``outlive`` it,
+    or else when the session ends.
     """
-    spark, schema = df.sparkSession, df.schema
+    spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(_nullable(schema)).parquet(path)
-
-
-def _nullable(schema: StructType) -> StructType:
-    return StructType.fromJson(schema.jsonValue())
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(where)
+    scopes = _scopes()[:-1] if outlive else _scopes()
+    if scopes:
+        scopes[-1].append(lambda: files.delete(where, True))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _scopes() -> list[list[Callable[[], Any]]]:
+    return _open.__dict__.setdefault("scopes", [])
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables stored inside are deleted at the end, but for those that outlive it."""
+    _scopes().append([])
+    try:
+        yield
+    finally:
+        for delete in _scopes().pop():
+            delete()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

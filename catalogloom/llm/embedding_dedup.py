@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .blocks import Forest, dealt, pairs, together, whole_groups
-from .common import Arrow, stored
+from .common import Arrow, stored, temporary
 from .graph import components
 
 
@@ -148,23 +148,25 @@ def link_embeddings(
     table gives an empty one; other columns are not read. Equal vectors are one class however many
     there are, and a bucket of any size is dealt out in pairs of blocks of ``block`` rows.
     """
-    rows = stored(vectors_of(embeddings, id_col, vector_col))
-    classes = rows.where(usable(F.col("v"))).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    classes = stored(_hashed(classes.select("id", "copies", "v"), functions, tables, width, seed))
-    groups = dealt(_keyed(classes, tables), classes, F.lit(1), block)
-    found = stored(_compared(together(groups), threshold))
-    edges = found.select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    joined = classes.select("id", "copies", "v").join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left")
-    joined = joined.join(components(edges).withColumnRenamed("node", "id"), "id", "left").select(
-        "v",
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "id").alias("component_id"),
-    )
-    result = rows.withColumn("use", F.when(usable(F.col("v")), F.col("v"))).join(joined.withColumnRenamed("v", "use"), "use", "left")
-    component = F.coalesce("component_id", "id")
-    return result.select(
-        F.col("id").alias(id_col),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        (F.col("id") == component).alias("kept"),
-    )
+    with temporary():
+        rows = stored(vectors_of(embeddings, id_col, vector_col))
+        classes = rows.where(usable(F.col("v"))).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+        classes = stored(_hashed(classes.select("id", "copies", "v"), functions, tables, width, seed))
+        groups = dealt(_keyed(classes, tables), classes, F.lit(1), block)
+        found = stored(_compared(together(groups), threshold))
+        edges = found.select(F.col("leader").alias("a"), F.col("id").alias("b"))
+        joined = classes.select("id", "copies", "v").join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left")
+        joined = joined.join(components(edges).withColumnRenamed("node", "id"), "id", "left").select(
+            "v",
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+            F.coalesce("component", "id").alias("component_id"),
+        )
+        result = rows.withColumn("use", F.when(usable(F.col("v")), F.col("v"))).join(joined.withColumnRenamed("v", "use"), "use", "left")
+        component = F.coalesce("component_id", "id")
+        result = result.select(
+            F.col("id").alias(id_col),
+            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            component.alias("component_id"),
+            (F.col("id") == component).alias("kept"),
+        )
+        return stored(result, outlive=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import stored, temporary
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,6 +14,11 @@ def components(edges: DataFrame) -> DataFrame:
     a factor in each round, whatever their numbering. Loops and repeated edges do no harm, edges with
     a null end are left out. Rounds are written out, so a lost executor repeats one round at most.
     """
+    with temporary():
+        return _components(edges)
+
+
+def _components(edges: DataFrame) -> DataFrame:
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     left = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     moves = []
@@ -35,4 +40,4 @@ def components(edges: DataFrame) -> DataFrame:
         found = found.join(on, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     found = stored(found)
     smallest = found.groupBy("root").agg(F.min("node").alias("component"))
-    return found.join(smallest, "root").select("node", "component")
+    return stored(found.join(smallest, "root").select("node", "component"), outlive=True)

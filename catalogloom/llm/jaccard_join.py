@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .blocks import Forest, dealt, pairs, together, whole_groups
-from .common import Arrow, by_bytes, stored, text_of
+from .common import Arrow, by_bytes, stored, temporary, text_of
 from .embedding_dedup import first_meeting
 from .graph import components
 
@@ -280,44 +280,45 @@ def join_documents(
     not read. Classes keep copies together however many there are; groups of any size are dealt out in
     pairs of blocks.
     """
-    least = least_matches(threshold, hashes, step, tolerance)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    signed = stored(_signed(rows, words, hashes, bands, seed))
-    classes = signed.groupBy("set").agg(
-        F.min("id").alias("first"), F.count("*").alias("copies"), F.any_value("n").alias("n"),
-        F.any_value("bits").alias("bits"), F.any_value("buckets").alias("buckets"),
-    )
-    classes = stored(classes.withColumnRenamed("set", "id"))
-    part = F.conv(F.hex(F.substring("buckets", F.col("band") * 4 + 1, F.lit(4))), 16, 10).cast("long")
-    keyed = (
-        classes.where("n > 0")
-        .select("id", "buckets", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
-        .withColumn("key", F.shiftleft(F.col("band").cast("long"), 32) + part)
-        .drop("band")
-    )
-    groups = dealt(keyed, classes.select("id", "bits", "buckets"), F.lit(1), 512)
-    close = components(stored(_candidates(together(groups), least, step)))
-    narrow = classes.join(close.select(F.col("node").alias("id"), F.col("component").alias("key")), "id").select("id", "copies", "bits", "key", "first")
-    narrow = narrow.select(F.col("id").alias("set"), "copies", "bits", "key", F.col("first").alias("id"))
-    texts = rows.join(narrow.hint("merge"), "id")
-    texts = texts.select(F.col("set").alias("id"), "copies", "bits", "key", "text")
-    members = stored(_members(texts, words).dropDuplicates(["id"]))
-    groups = dealt(members, members.drop("key"), F.size("shingles"), 100_000)
-    found = stored(_verified(together(groups), threshold, least, step))
-    sets = components(found.select(F.col("leader").alias("a"), F.col("id").alias("b")))
-    stats = (
-        classes.select("id", "copies", "first")
-        .join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left")
-        .join(sets.withColumnRenamed("node", "id"), "id", "left")
-        .select("id", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    )
-    lowest = stats.groupBy("component").agg(F.min("first").alias("component_id"))
-    stats = stats.join(lowest, "component").select(F.col("id").alias("set"), "first", "n_links", "component_id")
-    result = signed.select("id", "set").join(stats, "set")
-    return result.select(
-        F.col("id").alias(id_col),
-        F.col("first").alias("class_id"),
-        F.col("n_links").cast("long").alias("n_links"),
-        "component_id",
-        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
-    )
+    with temporary():
+        least = least_matches(threshold, hashes, step, tolerance)
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+        signed = stored(_signed(rows, words, hashes, bands, seed))
+        classes = signed.groupBy("set").agg(
+            F.min("id").alias("first"), F.count("*").alias("copies"), F.any_value("n").alias("n"),
+            F.any_value("bits").alias("bits"), F.any_value("buckets").alias("buckets"),
+        )
+        classes = stored(classes.withColumnRenamed("set", "id"))
+        part = F.conv(F.hex(F.substring("buckets", F.col("band") * 4 + 1, F.lit(4))), 16, 10).cast("long")
+        keyed = (
+            classes.where("n > 0")
+            .select("id", "buckets", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
+            .withColumn("key", F.shiftleft(F.col("band").cast("long"), 32) + part)
+            .drop("band")
+        )
+        groups = dealt(keyed, classes.select("id", "bits", "buckets"), F.lit(1), 512)
+        close = components(stored(_candidates(together(groups), least, step)))
+        narrow = classes.join(close.select(F.col("node").alias("id"), F.col("component").alias("key")), "id").select("id", "copies", "bits", "key", "first")
+        narrow = narrow.select(F.col("id").alias("set"), "copies", "bits", "key", F.col("first").alias("id"))
+        texts = rows.join(narrow.hint("merge"), "id")
+        texts = texts.select(F.col("set").alias("id"), "copies", "bits", "key", "text")
+        members = stored(_members(texts, words).dropDuplicates(["id"]))
+        groups = dealt(members, members.drop("key"), F.size("shingles"), 100_000)
+        found = stored(_verified(together(groups), threshold, least, step))
+        sets = components(found.select(F.col("leader").alias("a"), F.col("id").alias("b")))
+        stats = (
+            classes.select("id", "copies", "first")
+            .join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left")
+            .join(sets.withColumnRenamed("node", "id"), "id", "left")
+            .select("id", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+        )
+        lowest = stats.groupBy("component").agg(F.min("first").alias("component_id"))
+        stats = stats.join(lowest, "component").select(F.col("id").alias("set"), "first", "n_links", "component_id")
+        result = signed.select("id", "set").join(stats, "set").select(
+            F.col("id").alias(id_col),
+            F.col("first").alias("class_id"),
+            F.col("n_links").cast("long").alias("n_links"),
+            "component_id",
+            F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+        )
+        return stored(result, outlive=True)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Arrow, by_bytes, stored, text_of
+from .common import Arrow, by_bytes, stored, temporary, text_of
 from .jaccard_join import smallest_shingles
 
 FIELD = "<*>"
@@ -113,10 +113,11 @@ def drop_lines(
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     key = F.xxhash64(text_of(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("text_key"), text_of(text_col).alias("text"))
-    lines = stored(_lines(rows, depth, least_fixed))
-    names = stored(recurring(lines, least_docs, least_share))
-    hit = lines.select("text_key", "line", F.explode("names").alias("name")).distinct().join(names, "name", "left_semi")
-    gone = stored(hit.groupBy("text_key").agg(F.collect_set("line").alias("gone")))
+    with temporary():
+        lines = stored(_lines(rows, depth, least_fixed))
+        names = stored(recurring(lines, least_docs, least_share))
+        hit = lines.select("text_key", "line", F.explode("names").alias("name")).distinct().join(names, "name", "left_semi")
+        gone = stored(hit.groupBy("text_key").agg(F.collect_set("line").alias("gone")), outlive=True)
     # The row travels as one column, so that no name of its own clashes with a helper's.
     joined = docs.select(F.struct(*kept).alias("row"), key.alias("text_key")).join(gone.hint("merge"), "text_key", "left")
     return _rebuilt(joined, docs.select(*kept), text_col)

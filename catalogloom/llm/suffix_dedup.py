@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .blocks import whole_groups
-from .common import Arrow, by_bytes, stored, text_of
+from .common import Arrow, by_bytes, stored, temporary, text_of
 from .jaccard_join import _powers, mixed
 
 _BASE = np.uint64(0xE7037ED1A0B428DB)
@@ -257,8 +257,9 @@ def remove_repeats(
     columns = [c for c in docs.columns if c not in own]
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text_of(text_col)).alias("text_key")]
     rows = docs.select(*key, text_of(text_col).alias("text"))
-    spans = stored(repeated_spans(rows, length, gram, most_runs))
-    spans = stored(spans.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    with temporary():
+        spans = repeated_spans(rows, length, gram, most_runs)
+        spans = stored(spans.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), outlive=True)
     # The row travels as one column, so that no name of its own clashes with a helper's.
     joined = docs.select(F.struct(*columns).alias("row"), *key).join(spans, ["id", "text_key"], "left")
     data = F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary")
