@@ -48,6 +48,7 @@ def mark_inputs(
     held = artifacts.filter(F.col(name).isin(*inputs)).groupBy(key).agg(
         *[c.alias(f"in_{n}") for c, n in zip(by_name(F.col(name), F.col(value), inputs), inputs)]
     )
+    # Fixed value: issue and error texts are matched on by users.
     absent = [F.when(F.col(f"in_{n}").isNull(), F.lit(f"missing input artifact: {n}")) for n in inputs]
     return products.join(held, key, "left").withColumn("error", F.coalesce(*absent))
 

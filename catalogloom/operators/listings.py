@@ -85,6 +85,7 @@ def check_listings(
         F.array(
             F.when(
                 truthy(F.col(title)).isNull(),
+                # Fixed value: issue and error texts are matched on by users.
                 issue("listing_title", "error", F.concat(F.lit("missing title for "), shelf)),
             ),
             F.when(
@@ -92,6 +93,7 @@ def check_listings(
                 issue(
                     "listing_tags",
                     "warning",
+                    # Fixed value: issue and error texts are matched on by users.
                     F.concat(F.lit("few tags for "), shelf, F.lit(": "), count.cast("string")),
                 ),
             ),

@@ -147,9 +147,11 @@ def check_packs(files: DataFrame) -> DataFrame:
     formats_ok = (v["formats"].isNull() | C.is_object(v["formats"])) & digital_shape & digital.ok & print_shape & printed.ok
 
     def bad(field: str) -> Column:
+        # Fixed value: issue and error texts are matched on by users.
         return lit(f"invalid pack profile: {field}")
 
     reason = C.first_reason(
+        # Fixed value: issue and error texts are matched on by users.
         (F.col("there"), lit("missing pack.yaml")),
         (F.col("pack_error").isNull(), F.col("pack_error")),
         (v["id"].isNotNull(), bad("id")),

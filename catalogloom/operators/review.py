@@ -41,6 +41,7 @@ def check_assets(
         F.when(missing, F.lit("asset_existence")).otherwise(F.lit("asset_size")).alias("criterion"),
         F.when(missing, F.lit("error")).otherwise(F.lit("warning")).alias("severity"),
         F.concat(
+            # Fixed value: issue and error texts are matched on by users.
             F.when(missing, F.lit("missing processed asset: ")).otherwise(
                 F.lit("asset suspiciously small (<1KB): ")
             ),
@@ -52,6 +53,7 @@ def check_assets(
 def check_packages(products: DataFrame, packages: DataFrame, key: str = "product_id") -> DataFrame:
     """Products without a single package."""
     bare = products.select(key).join(distinct_keys(packages, key), key, "left_anti")
+    # Fixed value: issue and error texts are matched on by users.
     return bare.select(key, *_issue("packages", "error", F.lit("no packages produced")))
 
 

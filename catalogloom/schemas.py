@@ -43,6 +43,7 @@ DEFAULT_IMAGE_SIZE = "1024x1024"
 PACK_AUX_FILES = ["style", "themes", "packaging", "listing", "quality"]
 
 
+# The columns below and their types are the contract with callers and stored tables.
 REQUEST_TEXT = (
     "product_id string, pack string, theme string, page_count int, languages string, "
     "formats string, title_hint string, force boolean"

@@ -23,8 +23,10 @@ def _yaml_to_json(content: pd.Series, path: pd.Series) -> pd.DataFrame:
             if isinstance(data, dict):
                 rows.append((json.dumps(data, default=str, allow_nan=False), None))
             else:
+                # Fixed value: issue and error texts are matched on by users.
                 rows.append((None, f"invalid yaml {where}: expected a mapping, got {type(data).__name__}"))
         except Exception as error:  # bad YAML, bad dates, keys that JSON cannot hold: this file's fault alone
+            # Fixed value: issue and error texts are matched on by users.
             rows.append((None, f"invalid yaml {where}: {error}"))
     return pd.DataFrame(rows, columns=["doc", "error"])
 
