@@ -416,12 +416,9 @@ def wrap_provenance(spark, d):
     docs = table(spark, d, "documents").select(
         F.col("doc_id").alias("product_id"), "text", content_hash(F.col("text")).alias("input_hash"), F.col("source").alias("config_hash")
     )
-    wrapped = [
-        V.wrap_provenance(docs, stage, F.col("text"), RUNTIME, f"{stage}-v1", F.lit("2024-01-01T00:00:00"))
-        for stage in ("concept", "assets", "postprocess")
-    ]
-    both = wrapped[0].unionByName(wrapped[1]).unionByName(wrapped[2])
-    return both.select("product_id", "name", "schema_version", F.length("artifact").alias("size"), "provenance.*")
+    versions = {stage: f"{stage}-v1" for stage in ("concept", "assets", "postprocess")}
+    wrapped = V.wrap_stages(docs, versions, F.col("text"), RUNTIME, F.lit("2024-01-01T00:00:00"))
+    return wrapped.select("product_id", "name", "schema_version", F.length("artifact").alias("size"), "provenance.*")
 
 
 WRAP_PROVENANCE = """

@@ -57,18 +57,36 @@ def wrap_provenance(
     Only the image stage names the image provider; all others, deterministic ones included, name the
     text provider.
     """
-    using = runtime["image" if stage == "assets" else "llm"]
-    return df.select(
-        *keep,
-        F.lit(schemas.STAGE_OUTPUT[stage]).alias("name"),
-        F.lit(schema_version).alias("schema_version"),
-        artifact.alias("artifact"),
-        provenance(
-            F.col(input_hash),
-            F.col(config),
-            F.lit(using.get("model", "")),
-            F.lit(using["provider"]),
-            F.lit(prompt_version),
-            F.current_timestamp() if created_at is None else created_at,
-        ).alias("provenance"),
-    )
+    return wrap_stages(df, {stage: prompt_version}, artifact, runtime, created_at, input_hash, config, keep, schema_version)
+
+
+def wrap_stages(
+    df: DataFrame,
+    prompt_versions: dict[str, str],
+    artifact: Column,
+    runtime: dict[str, dict[str, str]],
+    created_at: Column | None = None,
+    input_hash: str = "input_hash",
+    config: str = "config_hash",
+    keep: Sequence[str] = ("product_id",),
+    schema_version: int = 1,
+) -> DataFrame:
+    """Envelope rows of several stages, given with their prompt versions, from one pass over the rows."""
+
+    def envelope(stage: str, prompt_version: str) -> Column:
+        using = runtime["image" if stage == "assets" else "llm"]
+        return F.struct(
+            F.lit(schemas.STAGE_OUTPUT[stage]).alias("name"),
+            F.lit(schema_version).alias("schema_version"),
+            artifact.alias("artifact"),
+            provenance(
+                F.col(input_hash),
+                F.col(config),
+                F.lit(using.get("model", "")),
+                F.lit(using["provider"]),
+                F.lit(prompt_version),
+                F.current_timestamp() if created_at is None else created_at,
+            ).alias("provenance"),
+        )
+
+    return df.select(*keep, F.inline(F.array(*[envelope(s, v) for s, v in prompt_versions.items()])))
