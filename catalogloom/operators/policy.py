@@ -112,7 +112,7 @@ def openings(parts: Column, reach: int) -> Column:
         F.filter(places, lambda i: i < F.size(parts)), lambda i: begin(F.concat(start(i), F.lit(" "), start(i + 1)), i)
     )
     signs = F.transform(F.filter(places, lambda i: ~start(i).rlike(_WORD)), lambda i: begin(start(i), i))
-    return F.array_distinct(F.concat(pairs, signs))
+    return F.concat(pairs, signs)  # repeats are cheaper to carry than to compare within long texts
 
 
 def scan_term_table(df: DataFrame, terms: DataFrame, text: str, key: str, term: str = "term", phrases: bool = True) -> DataFrame:
