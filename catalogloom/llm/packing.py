@@ -15,49 +15,77 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Arrow, kept, stored, text_of
+from .common import Arrow, by_bytes, kept, stored, text_of
 from .token_counts import load_tokenizer
 
 
-def ids_by_words(text: str, encode, cache: dict[bytes, bytes], most_cached: int = 3 << 18) -> bytes:
-    """Token ids of ``text`` as little-endian 32-bit numbers.
+def _word_ends(tokenizer) -> np.ndarray:
+    """For each id: does its token end a match of the pattern?"""
+    ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+    ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+    return ends
+
+
+def _fill(cache: dict[bytes, bytes], missing: set[bytes], tokenizer, ends: np.ndarray) -> None:
+    """Adds the ids of ``missing`` words to ``cache``."""
+    missing |= {m for m in (b".", b",") if m not in cache}
+    # A word and the mark after it are separate matches of the pattern.
+    marked = {w for w in missing if w[-1:] in (b".", b",") and w[:-1].isalpha()}
+    plain = [w.decode() for w in (missing - marked) | {w[:-1] for w in marked if w[:-1] not in cache}]
+    letters = [w for w in plain if w.isalpha()]
+    others = [w for w in plain if not w.isalpha()]
+    # A word of letters is one match, so many can be encoded as one text and parted where tokens end words.
+    ids = np.array(tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+    cuts = np.flatnonzero(ends[ids]) + 1
+    if len(cuts) == len(letters):
+        data, at = ids.tobytes(), 0
+        for word, cut in zip(letters, (4 * cuts).tolist()):
+            cache[word.encode()] = data[at:cut]
+            at = cut
+    else:  # lower case has made several matches of some word
+        others = plain
+    for word, found in zip(others, tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+        cache[word.encode()] = np.array(found.ids, "<u4").tobytes()
+    for word in marked:
+        cache[word] = cache[word[:-1]] + cache[word[-1:]]
+
+
+def ids_by_words(texts: list[str], tokenizer, ends: np.ndarray, cache: dict[bytes, bytes], most_cached: int = 3 << 18) -> list[bytes]:
+    """Token ids of each text as little-endian 32-bit numbers.
 
     The tokenizer lowers case, drops ASCII white space and never reaches across it, so each word is
     encoded once and the ids are joined. ``cache`` is emptied when full.
     """
-    data = text.encode()
-    words = (data if b"<|" in data else data.lower()).split()  # a special string is matched before case is lowered
-    missing = {w for w in words if w not in cache}
+    split = []
+    for text in texts:
+        data = text.encode()
+        split.append((data if b"<|" in data else data.lower()).split())  # a special string is matched before case is lowered
+    missing = set().union(*split).difference(cache)
+    if len(cache) + 2 * len(missing) > most_cached:
+        cache.clear()
+        missing = set().union(*split)
     if missing:
-        if len(cache) + 2 * len(missing) > most_cached:
-            cache.clear()
-            missing = set(words)
-        missing |= {b".", b","} - cache.keys()
-        # A word and the mark after it are separate matches of the pattern.
-        marked = {w for w in missing if w[-1:] in (b".", b",") and w[:-1].isalpha()}
-        plain = list((missing - marked) | {w[:-1] for w in marked if w[:-1] not in cache})
-        for word, found in zip(plain, encode([w.decode() for w in plain])):
-            cache[word] = np.array(found.ids, "<u4").tobytes()
-        for word in marked:
-            cache[word] = cache[word[:-1]] + cache[word[-1:]]
-    return b"".join(map(cache.__getitem__, words))
-
-
-def piece_table(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, copy, start, length, ids_crc32, doc_tokens): every text cut into windows and a rest."""
+        _fill(cache, missing, tokenizer, ends)
+    return [b"".join(map(cache.__getitem__, words)) for words in split]
+
+
+def piece_table(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: str, text_col: str, batch_chars: int = 1 << 18) -> DataFrame:
+    """(id, start, length, ids_crc32, doc_tokens): every text cut into windows and a rest."""
 
     def run(batches: Arrow) -> Arrow:
         loaded, cache = load_tokenizer(tokenizer), kept(("words", tokenizer), dict)
-        encode = lambda words: loaded.encode_batch_fast(words, add_special_tokens=False)
+        ends = kept(("word ends", tokenizer), lambda: _word_ends(loaded))
         last = np.array([end_id], "<u4").tobytes()
         step = window * 4
         for batch in batches:
             rows: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = ids_by_words(text, encode, cache) + last
-                for at in range(0, len(ids), step):
-                    part = ids[at : at + step]
-                    rows.append((key, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for low, high in by_bytes(texts, batch_chars):
+                for key, found in zip(keys[low:high], ids_by_words(texts[low:high], loaded, ends, cache)):
+                    ids = found + last
+                    for at in range(0, len(ids), step):
+                        part = ids[at : at + step]
+                        rows.append((key, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in columns], ["id", "start", "length", "ids_crc32", "doc_tokens"]
