@@ -1,7 +1,7 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text.
 
-Folding lowers case, strips accents and invisible signs and turns homoglyphs and digit substitutes
-into the letters they stand for. The lexicon is learned: every word of the labelled training rows,
+Folding lowers case, strips invisible signs and turns homoglyphs and digit substitutes into the
+letters they stand for; words with accents are looked up without them, too. The lexicon is learned: every word of the labelled training rows,
 and every beginning of such words, gets a weight from how much likelier it is in toxic texts. Phrases
 in which a lexicon term is harmless are exceptions and hide the term. A text's score is its weighted
 hits, normalised by length, through a logistic curve fitted on the same training rows.
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Arrow, stored, text_of
+from .common import Arrow, by_bytes, stored, temporary, text_of
 
 # What stands for which letter (fixed values): digits and signs, Cyrillic and Greek lookalikes.
 SUBSTITUTES = {
@@ -32,18 +32,25 @@ EXCEPTIONS = ("trash can", "trash bin", "circus clown", "clown fish")
 
 _WORD = re.compile(r"[^\W_]+")
 _EDGE_SIGNS = re.compile(r"[!|]+(?![^\W_])")  # marks at the end of a word are marks
-# Accents once they stand alone, soft hyphens, zero-width signs.
-_TABLE = str.maketrans(SUBSTITUTES | dict.fromkeys(map(chr, [*range(0x300, 0x370), 0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF])))
+# Soft hyphens and zero-width signs go.
+_TABLE = str.maketrans(SUBSTITUTES | dict.fromkeys(map(chr, [0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF])))
+_ACCENTS = re.compile("[\u0300-\u036f]")
 
 
 def fold(text: str) -> str:
-    """Lower case without accents or invisible signs, lookalikes as plain letters."""
+    """Lower case without invisible signs, lookalikes as plain letters. Accents stay: they part words."""
     text = text.lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
+        text = unicodedata.normalize("NFKC", text)
     return _EDGE_SIGNS.sub(" ", text).translate(_TABLE)
 
 
+def plain(words: list[str]) -> list[str]:
+    """The words without accents."""
+    line = " ".join(words)
+    return words if line.isascii() else _ACCENTS.sub("", unicodedata.normalize("NFKD", line)).split(" ")
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """``terms``: weight of each; one that ends in ``*`` stands for all words that begin so."""
@@ -72,7 +79,19 @@ class Matcher:
             self.machine.make_automaton()
 
     def hits(self, words: list[str]) -> list[tuple[int, str, float]]:
-        """(word number, term, weight): for each word outside exceptions the weightiest term."""
+        """(word number, term, weight): for each word outside exceptions the weightiest term.
+
+        A word is looked up as it stands and without its accents.
+        """
+        found = {i: (t, w) for i, t, w in self._hits(words)}
+        bare = plain(words)
+        if bare is not words and len(bare) == len(words):
+            for i, term, weight in self._hits(bare):
+                if i not in found or found[i][1] < weight:
+                    found[i] = (term, weight)
+        return [(i, *found[i]) for i in sorted(found)]
+
+    def _hits(self, words: list[str]) -> list[tuple[int, str, float]]:
         if not len(self.machine) or not words:
             return []
         line = f" {' '.join(words)} "
@@ -93,16 +112,24 @@ class Matcher:
         return [(int(np.searchsorted(starts, at)), *found[at]) for at in sorted(found)]
 
 
-def normalised(weight: float, words: int) -> float:
-    """Weighted hits of a text against its length: long texts need more of them."""
-    return weight / (1 + math.log1p(words / 100))
+def normalised(weight: float, words: int, base: int = 200) -> float:
+    """Weighted hits in a hundred words, back on the scale of logarithms by a cube root.
+
+    A text counts as ``base`` words longer, so short ones stay calm.
+    """
+    return (100 * weight / (words + base)) ** (1 / 3)
+
 
+def _training(docs: DataFrame, labels: DataFrame, train_if, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
+    """Distinct (text, label) of labelled rows: copies teach nothing new.
 
-def _training(docs: DataFrame, labels: DataFrame, train_if, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, label) of labelled rows. A label that contradicts itself counts with both its values."""
+    A label that contradicts itself counts with both its values.
+    """
     chosen = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("label"))
     chosen = chosen.where(F.col("label").isin(0, 1)).where(train_if(F.col("k"))).distinct()
-    return docs.select(F.col(id_col).alias("k"), text_of(text_col).alias("text")).join(chosen, "k").select("text", "label")
+    # ``most`` ids and labels are a few megabytes: sent to the texts, so that no text moves.
+    chosen = F.broadcast(chosen.orderBy(F.xxhash64("k"), "k", "label").limit(most))
+    return docs.select(F.col(id_col).alias("k"), text_of(text_col).alias("text")).join(chosen, "k").select("text", "label").distinct()
 
 
 def learn(
@@ -114,59 +141,68 @@ def learn(
     label_col: str = "toxic",
     least_docs: int = 5,
     least_ratio: float = 8.0,
+    least_z: float = 3.0,
     most_terms: int = 20_000,
-    beginnings: tuple[int, ...] = (4, 5, 6),
+    most_labels: int = 200_000,
+    beginnings: tuple[int, ...] = (4, 5, 6, 7, 8),
 ) -> Lexicon:
-    """The lexicon of all labelled rows for which ``train_if(id)`` holds.
+    """The lexicon of the labelled rows for which ``train_if(id)`` holds, ``most_labels`` of them at most.
 
-    A term is kept if at least ``least_docs`` toxic texts hold it and it is ``least_ratio`` times as
-    likely there; of more than ``most_terms`` the weightiest stay (a lexicon is small by nature).
+    More labels than that are sampled by a hash of the id; scoring is not concerned.
+
+    A term is kept if at least ``least_docs`` toxic texts hold it, it is ``least_ratio`` times as
+    likely there and the logarithm of that ratio is ``least_z`` times its standard error; of more than ``most_terms`` the weightiest stay (a lexicon is small by nature).
     No labelled rows, or none toxic, give an empty lexicon and a constant score.
     """
-    rows = stored(_training(docs, labels, train_if, id_col, text_col, label_col))
-    totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
-    bad, good = totals.get(1, 0), totals.get(0, 0)
-    base = math.log((bad + 0.5) / (good + 0.5))
-    if not bad:
-        return Lexicon({}, tuple(EXCEPTIONS), 0.0, base)
-
-    def words(batches: Arrow) -> Arrow:
-        for batch in batches:
-            found: dict[tuple[str, int], int] = {}
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word in set(_WORD.findall(fold(text))):
-                    if len(word) > 1:
-                        found[word, label] = found.get((word, label), 0) + 1
-            keys = list(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[k] for k in keys], pa.int64())],
-                ["word", "label", "n"],
-            )
-
-    counts = rows.mapInArrow(words, "word string, label int, n long").groupBy("word").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"),
-        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good"),
-    )
-    counts = stored(counts.where("bad > 0 or good > 1"))
-    starts = counts.select(
-        F.explode(F.array(*[F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in beginnings])).alias("word"),
-        "bad",
-        "good",
-    )
-    starts = starts.where("word is not null").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    ratio = F.log(((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1)))
-    terms = (
-        counts.unionByName(starts)
-        .where(F.col("bad") >= least_docs)
-        .withColumn("weight", F.round(ratio, 6))
-        .where(F.col("weight") >= math.log(least_ratio))
-        .orderBy(F.desc("weight"), F.desc("bad"), "word")
-        .limit(most_terms)
-        .collect()
-    )
-    lexicon = Lexicon({r["word"]: r["weight"] for r in terms}, tuple(EXCEPTIONS))
-    lexicon = Lexicon(lexicon.terms, (*EXCEPTIONS, *_harmless_phrases(rows, lexicon, good, bad, least_docs)))
-    return _fitted(rows, lexicon, base)
+    with temporary():
+        rows = stored(_training(docs, labels, train_if, id_col, text_col, label_col, most_labels))
+        totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
+        bad, good = totals.get(1, 0), totals.get(0, 0)
+        base = math.log((bad + 0.5) / (good + 0.5))
+        if not bad:
+            return Lexicon({}, tuple(EXCEPTIONS), 0.0, base)
+
+        def words(batches: Arrow) -> Arrow:
+            for batch in batches:
+                texts, labels_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for start, end in by_bytes(texts, 1 << 20):
+                    found: dict[tuple[str, int], int] = {}
+                    for text, label in zip(texts[start:end], labels_[start:end]):
+                        for word in set(_WORD.findall(fold(text))):
+                            if len(word) > 1:
+                                found[word, label] = found.get((word, label), 0) + 1
+                    names, marks = zip(*found) if found else ((), ())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names, pa.string()), pa.array(marks, pa.int32()), pa.array(found.values(), pa.int64())],
+                        ["word", "label", "n"],
+                    )
+
+        counts = rows.mapInArrow(words, "word string, label int, n long").groupBy("word").agg(
+            F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"),
+            F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good"),
+        )
+        counts = stored(counts.where("bad > 0 or good > 1"))
+        starts = counts.select(
+            F.explode(F.array(*[F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in beginnings])).alias("word"),
+            "bad",
+            "good",
+        )
+        starts = starts.where("word is not null").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        ratio = F.log(((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1)))
+        error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+        terms = (
+            counts.unionByName(starts)
+            .where(F.col("bad") >= least_docs)
+            .where((ratio >= math.log(least_ratio)) & (ratio >= least_z * error))
+            # The cube of the logarithm: one sure term outweighs a handful of chance finds.
+            .withColumn("weight", F.round(ratio * ratio * ratio, 6))
+            .orderBy(F.desc("weight"), F.desc("bad"), "word")
+            .limit(most_terms)
+            .collect()
+        )
+        lexicon = Lexicon({r["word"]: r["weight"] for r in terms}, tuple(EXCEPTIONS))
+        lexicon = Lexicon(lexicon.terms, (*EXCEPTIONS, *_harmless_phrases(rows, lexicon, good, bad, least_docs)))
+        return _fitted(rows, lexicon, base)
 
 
 def _harmless_phrases(rows: DataFrame, lexicon: Lexicon, good: int, bad: int, least_docs: int, most: int = 1000) -> list[str]:
@@ -178,7 +214,7 @@ def _harmless_phrases(rows: DataFrame, lexicon: Lexicon, good: int, bad: int, le
             out = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = _WORD.findall(fold(text))
-                near = {(i - 1, i) for i, *_ in matcher.hits(words)} | {(i, i + 1) for i, *_ in matcher.hits(words)}
+                near = {pair for i, *_ in matcher.hits(words) for pair in ((i - 1, i), (i, i + 1))}
                 out += [(p, label) for p in {f"{words[a]} {words[b]}" for a, b in near if a >= 0 and b < len(words)}]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p for p, _ in out], pa.string()), pa.array([y for _, y in out], pa.int32())], ["phrase", "label"]
@@ -201,7 +237,7 @@ def _values(lexicon: Lexicon, texts: list[str], matcher: Matcher) -> np.ndarray:
     return out
 
 
-def _fitted(rows: DataFrame, lexicon: Lexicon, base: float, width: float = 0.25, bins: int = 400) -> Lexicon:
+def _fitted(rows: DataFrame, lexicon: Lexicon, base: float, width: float = 0.05, bins: int = 1000) -> Lexicon:
     """Slope and level of the logistic curve, by Newton steps on counts per bin of the value."""
 
     def values(batches: Arrow) -> Arrow:
