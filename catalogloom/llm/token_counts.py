@@ -7,7 +7,7 @@ import os
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Arrow, by_bytes, kept, safe_cuts, text_of
+from .common import Arrow, by_bytes, kept, safe_parts, text_of
 
 
 def load_tokenizer(path: str):
@@ -25,12 +25,24 @@ def load_tokenizer(path: str):
     return kept(("tokenizer", path), make)
 
 
-def _json_lengths(path: str):
-    tokenizer = load_tokenizer(path)
-    return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+def _json_lengths(path: str, most_cached: int):
+    tokenizer, cache = load_tokenizer(path), kept(("part lengths", path), dict)
 
+    def lengths(texts: list[str]) -> list[int]:
+        """Parts met before are known; the new ones of all texts are encoded as one batch."""
+        parts = [safe_parts(text) for text in texts]
+        missing = list(set().union(*parts).difference(cache))
+        if len(cache) + len(missing) > most_cached:
+            cache.clear()
+            missing = list(set().union(*parts))
+        found = tokenizer.encode_batch_fast(missing, add_special_tokens=False)
+        cache.update(zip(missing, map(len, found)))
+        return [sum(map(cache.__getitem__, p)) for p in parts]
 
-def _piece_lengths(path: str):
+    return lengths
+
+
+def _piece_lengths(path: str, _: int):
     def make():
         import sentencepiece
 
@@ -47,34 +59,28 @@ def count_tokens(
     text_col: str = "text",
     limit: int = 512,
     batch_chars: int = 1 << 18,
-    part_chars: int = 1 << 16,
+    most_cached: int = 3 << 18,
 ) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row of ``docs``.
 
     ``tokenizer`` is a file: ``.json`` for tokenizers, ``.model`` for sentencepiece. No begin, end or
     other added tokens; special strings inside texts are what the library makes of them by default.
-    Texts longer than ``part_chars`` are cut where the tokenizer cuts anyway (``.json`` only: a
-    sentencepiece model normalises whole texts, so its texts are never cut). A batch holds about
-    ``batch_chars`` characters however its rows are spread.
+    Batches hold about ``batch_chars`` characters however their rows are spread. Texts are cut where the
+    tokenizer cuts anyway, so a long one needs no more memory than its parts, and the lengths of parts
+    are remembered, ``most_cached`` at most (``.json`` only: a sentencepiece model normalises whole
+    texts, so its texts are never cut).
 
     Null text counts as empty: no bytes, no tokens. A null id is passed on, repeated rows give
     repeated rows, an empty table gives an empty one; other columns are not read.
     """
-    cut = part_chars if tokenizer.endswith(".json") else sys_max
     load = _json_lengths if tokenizer.endswith(".json") else _piece_lengths
 
     def lengths(batches: Arrow) -> Arrow:
-        count = load(tokenizer)
+        count = load(tokenizer, most_cached)
         for batch in batches:
-            parts, owner = [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                for part in safe_cuts(text, cut):
-                    parts.append(part)
-                    owner.append(row)
-            found = [0] * batch.num_rows
-            for start, end in by_bytes(parts, batch_chars):
-                for row, n in zip(owner[start:end], count(parts[start:end])):
-                    found[row] += n
+            texts, found = batch.column(1).to_pylist(), []
+            for start, end in by_bytes(texts, batch_chars):
+                found += count(texts[start:end])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(found, pa.int64())], ["id", "n_bytes", "n_tokens"]
             )
@@ -87,6 +93,3 @@ def count_tokens(
     return rows.mapInArrow(lengths, "id long, n_bytes long, n_tokens long").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
-
-
-sys_max = 1 << 62  # never cut
