@@ -4,21 +4,20 @@ A line goes down a tree of fixed depth: its number of tokens, then its leading t
 hold digits or look like addresses are variable fields and become "<*>". Beyond the leading tokens a
 line also has generalised templates, in which every other token, or the last third, is a variable
 field. A template recurs if it is met in enough documents that are otherwise different; its lines are
-dropped wherever they stand. Copies of one document do not make its lines recur: documents are
-counted by a sketch that near copies share.
+dropped wherever they stand. Copies of one document do not make its lines recur: each group of near
+copies counts once, whatever its size, and does not keep a line that other documents hold.
 """
 
 from __future__ import annotations
 
 import re
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Arrow, by_bytes, stored, temporary, text_of
-from .jaccard_join import smallest_shingles
+from .common import Arrow, stored, temporary, text_of
+from .jaccard_join import join_documents, smallest_shingles  # noqa: F401  (the tests' brute force takes it from here)
 
 FIELD = "<*>"
 _VARIABLE = re.compile(r"\d|@|://|www\.")
@@ -61,41 +60,46 @@ def _name(text: str) -> int:
 
 
 def _lines(rows: DataFrame, depth: int, least_fixed: int) -> DataFrame:
-    """(id, text_key, sketch, line, names) of every line that has a template."""
+    """(text_key, line, names) of every line that has a template."""
 
     def run(batches: Arrow) -> Arrow:
         for batch in batches:
-            texts, ids, keys = (batch.column(c).to_pylist() for c in ("text", "id", "text_key"))
             out: list[tuple] = []
-            for start, end in by_bytes(texts, 1 << 20):
-                sketches = smallest_shingles(texts[start:end], 5).view(np.int64).tolist()
-                for row, sketch in zip(range(start, end), sketches):
-                    for number, line in enumerate(texts[row].split("\n")):
-                        if names := [_name(t) for t in templates(line, depth, least_fixed)]:
-                            out.append((ids[row], keys[row], sketch, number, names))
-            columns = list(zip(*out)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "text_key", "sketch", "line", "names"])
+            for key, text in zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist()):
+                for number, line in enumerate(text.split("\n")):
+                    if names := [_name(t) for t in templates(line, depth, least_fixed)]:
+                        out.append((key, number, names))
+            columns = list(zip(*out)) or [()] * 3
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["text_key", "line", "names"])
 
-    return rows.select("id", "text_key", "text").mapInArrow(run, "id long, text_key long, sketch long, line int, names array<long>")
+    return rows.select("text_key", "text").mapInArrow(run, "text_key long, line int, names array<long>")
 
 
-def recurring(lines: DataFrame, least_docs: int, least_share: float) -> DataFrame:
-    """(name): templates met in ``least_docs`` different sketches and ``least_share`` as many as texts.
+def _kin(texts: DataFrame) -> DataFrame:
+    """(text_key, kin): the verified group of every one of the different texts that has near copies."""
+    joined = join_documents(texts, id_col="text_key")
+    return joined.where("n_links > 0").select("text_key", F.col("component_id").alias("kin"))
 
-    Texts whose shingles are similar to 0.8 share their sketch with a probability of 0.8, so the
-    sketches of a group of near copies are about a fifth of its texts at most.
+
+def recurring(lines: DataFrame, rows: DataFrame, least_docs: int) -> DataFrame:
+    """(name): templates met in ``least_docs`` documents or more, near copies counted as one.
+
+    Near copies are the components of Jaccard similarity 0.8 among the texts that hold a template of
+    ``least_docs`` different texts. Other texts decide nothing and are not compared.
     """
-    met = lines.select(F.explode("names").alias("name"), "sketch", "text_key").distinct()
-    by_sketch = met.groupBy("name", "sketch").agg(F.count("*").alias("texts"))
-    counts = by_sketch.groupBy("name").agg(F.count("*").alias("sketches"), F.sum("texts").alias("texts"))
-    return counts.where((F.col("sketches") >= least_docs) & (F.col("sketches") >= least_share * F.col("texts"))).select("name")
+    met = stored(lines.select(F.explode("names").alias("name"), "text_key").distinct())
+    often = met.groupBy("name").agg(F.count("*").alias("texts")).where(F.col("texts") >= least_docs).select("name")
+    met = stored(met.join(stored(often), "name", "left_semi"))
+    texts = rows.select("text_key", "text").join(met.select("text_key").distinct(), "text_key", "left_semi")
+    kin = _kin(stored(texts.dropDuplicates(["text_key"])))
+    group = met.join(kin, "text_key", "left").select("name", F.coalesce("kin", "text_key").alias("kin")).distinct()
+    return group.groupBy("name").agg(F.count("*").alias("groups")).where(F.col("groups") >= least_docs).select("name")
 
 
 def drop_lines(
     docs: DataFrame,
     least_docs: int = 5,
-    least_share: float = 0.4,
     depth: int = 3,
     least_fixed: int = 8,
     id_col: str = "doc_id",
@@ -104,7 +108,7 @@ def drop_lines(
     """All columns of ``docs``, the text without lines of recurring templates, and (n_lines, n_dropped).
 
     Lines are what line feeds part; the others keep their order and their bytes. Blank lines and lines
-    of variable fields alone are never dropped. A template counts once per distinct text.
+    of variable fields alone are never dropped. A template counts once per group of near copies.
 
     Null text stays null, without lines. Rows repeating an id or a text are cleaned alike, row by row;
     a null id is passed on; an empty table gives an empty one. Input columns called n_lines or
@@ -112,10 +116,10 @@ def drop_lines(
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     key = F.xxhash64(text_of(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("text_key"), text_of(text_col).alias("text"))
+    rows = docs.select(key.alias("text_key"), text_of(text_col).alias("text"))
     with temporary():
         lines = stored(_lines(rows, depth, least_fixed))
-        names = stored(recurring(lines, least_docs, least_share))
+        names = stored(recurring(lines, rows, least_docs))
         hit = lines.select("text_key", "line", F.explode("names").alias("name")).distinct().join(names, "name", "left_semi")
         gone = stored(hit.groupBy("text_key").agg(F.collect_set("line").alias("gone")), outlive=True)
     # The row travels as one column, so that no name of its own clashes with a helper's.

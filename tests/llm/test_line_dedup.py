@@ -48,5 +48,19 @@ def test_what_goes_and_what_stays(spark):
     assert found[63]["text"] == "1 2 3\n4 5 6"
 
 
+def test_a_group_of_near_copies_shields_no_line(spark):
+    base, footer = prose(1, 80), "our common footer stands on every page"
+    rows = [(i, f"{base}\n{footer}\nend{i}") for i in range(40)] + [(100 + i, f"{prose(100 + i, 40)}\n{footer}") for i in range(5)]
+    assert {r["n_dropped"] for r in line_dedup.drop_lines(documents(spark, rows)).collect()} == {1}
+    copies = [r for r in rows if r[0] != 104][:43]  # the group and three others: four documents
+    assert {r["n_dropped"] for r in line_dedup.drop_lines(documents(spark, copies)).collect()} == {0}
+
+
+def test_pages_of_much_boilerplate_lose_it(spark):
+    shared = "\n".join(f"menu entry {w} leads somewhere else" for w in "a b c d e f g h i j k l m n o p".split())
+    rows = [(i, f"{shared}\n{prose(50 + i, 50)}") for i in range(12)]
+    assert {r["n_dropped"] for r in line_dedup.drop_lines(documents(spark, rows)).collect()} == {16}
+
+
 def test_empty_table(spark):
     assert line_dedup.drop_lines(documents(spark, [])).collect() == []
