@@ -80,6 +80,7 @@ _ANCHOR = ["gram", "run", "id", "text_key", "place", "low", "high", "copy"]
 
 
 _SIFTED = ["gram", "runs", "id", "text_key", "place", "low", "high"]
+_FIRST = [c for c in _SIFTED if c != "runs"]
 
 
 def _anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -111,28 +112,60 @@ def _anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.select("id", "text_key", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
-def _sifted(anchors: DataFrame) -> DataFrame:
+def sifted_runs(batches: Arrow, most_runs: int) -> Arrow:
+    """The anchors that matter (see ``_sifted``) of batches sorted by (gram, copy, run, id, text_key, place).
+
+    No group is held as a whole: of the open one only the first row of each run, ``most_runs`` of them
+    at most. A group of more goes on as it comes, each with the number ``most_runs`` + 1.
+    """
+    last: dict | None = None  # the row before
+    held: dict | None = None  # first rows of the runs of the open group
+    over = None  # the open group, if it has too many
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _ANCHOR}
+        before = {c: np.concatenate([v[:1] if last is None else last[c], v[:-1]]) for c, v in columns.items()}
+        copy = columns["copy"].astype(bool)
+        same = ~copy & ~before["copy"].astype(bool) & (columns["gram"] == before["gram"]) & (columns["run"] == before["run"])
+        same[0] &= last is not None
+        again = np.logical_and.reduce([same, *(columns[c] == before[c] for c in ("id", "text_key", "place"))])
+        last = {c: v[-1:].copy() for c, v in columns.items()}
+        whole, first = copy | (same & ~again), ~copy & ~same
+        parts = [{c: columns[c][whole] for c in _FIRST} | {"runs": np.zeros(int(whole.sum()), np.int64)}]
+        fresh = {c: columns[c][first] for c in _FIRST}
+        if over is not None:
+            still = fresh["gram"] == over
+            parts.append({c: v[still] for c, v in fresh.items()} | {"runs": np.full(int(still.sum()), most_runs + 1)})
+            fresh = {c: v[~still] for c, v in fresh.items()}
+        if len(fresh["gram"]):
+            over = None
+            if held is not None:
+                fresh = {c: np.concatenate([held[c], v]) for c, v in fresh.items()}
+            gram = fresh["gram"]
+            begins = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            runs = np.repeat(np.diff(begins), np.diff(begins))
+            some = np.flatnonzero(runs > 1)
+            parts.append({c: v[some] for c, v in fresh.items()} | {"runs": runs[some]})
+            held = {c: v[begins[-1] :].copy() for c, v in fresh.items()}
+            if len(held["gram"]) > most_runs:
+                parts.append(held | {"runs": np.full(len(held["gram"]), most_runs + 1)})
+                held, over = None, gram[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[c] for p in parts])) for c in _SIFTED], _SIFTED)
+    if held is not None and len(held["gram"]) > 1:
+        held["runs"] = np.full(len(held["gram"]), len(held["gram"]))
+        yield pa.RecordBatch.from_arrays([pa.array(held[c]) for c in _SIFTED], _SIFTED)
+
+
+def _sifted(anchors: DataFrame, most_runs: int) -> DataFrame:
     """(gram, runs, id, text_key, place, low, high) of the anchors that matter.
 
     Copies of whole runs have ``runs`` 0; of an anchor with several different runs the first of each
-    stays, with their number. All other anchors go.
+    stays, with their number (any number above ``most_runs`` stands for all such). All other anchors go.
     """
 
     def run(batches: Arrow) -> Arrow:
-        for table, begins in whole_groups(batches, ["gram"]):
-            columns = {c: table.column(c).to_numpy() for c in _ANCHOR}
-            n, copy = table.num_rows, columns["copy"].astype(bool)
-            group = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-            same = np.zeros(n, bool)
-            same[1:] = ~copy[1:] & ~copy[:-1] & (group[1:] == group[:-1]) & (columns["run"][1:] == columns["run"][:-1])
-            again = same.copy()
-            for c in ("id", "text_key", "place"):
-                again[1:] &= columns[c][1:] == columns[c][:-1]
-            first = ~copy & ~same
-            runs = np.bincount(group[first], minlength=len(begins) - 1)[group]
-            found = copy | (same & ~again) | (first & (runs > 1))
-            columns["runs"] = np.where(first, runs, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[c][found]) for c in _SIFTED], _SIFTED)
+        yield from sifted_runs(batches, most_runs)
 
     dealt = anchors.repartition("gram").sortWithinPartitions("gram", "copy", "run", "id", "text_key", "place")
     return dealt.mapInArrow(run, "gram long, runs long, id long, text_key long, place long, low int, high int")
@@ -208,6 +241,14 @@ def _by_window(suffixes: DataFrame, length: int) -> DataFrame:
     return repeats.select("id", "text_key", "start", (F.col("start") + length).alias("end"))
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """``rows`` with one of those that repeat id and text; no others are moved."""
+    key = ["id", "text_key"]
+    again = stored(rows.groupBy(*key).count().where("count > 1").select(*key))
+    many = stored(rows.join(again, key, "left_semi").dropDuplicates(key))
+    return rows.join(again, key, "left_anti").unionByName(many)
+
+
 def _with_bytes(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Adds to each wanted anchor the bytes of its windows, read from the texts."""
     places = wanted.groupBy("id", "text_key").agg(F.collect_list(F.struct("place", "low", "high", "gram", "runs")).alias("anchors"))
@@ -222,7 +263,8 @@ def _with_bytes(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(rows: DataFrame, length: int, gram: int, most_runs: int) -> DataFrame:
     """(id, text_key, start, end): spans of bytes to remove, overlapping or not, of (id, text_key, text)."""
-    sifted = stored(_sifted(_anchors(rows, length, gram)))
+    rows = _once(rows)
+    sifted = stored(_sifted(_anchors(rows, length, gram), most_runs))
     start, end = F.col("place") - F.col("high"), F.col("place") - F.col("low") + length
     copies = sifted.where("runs = 0").select("id", "text_key", start.alias("start"), end.alias("end"))
     suffixes = stored(_with_bytes(rows, sifted.where("runs > 1"), length))

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import documents, prose
 
@@ -67,6 +69,60 @@ def test_nulls_empty_repeated_and_ties(spark):
     check(spark, [(1, None), (2, ""), (3, "a"), (5, text), (5, text), (4, text[10:90]), (6, "x" * 300), (6, prose(10, 30)), (None, text[:50])])
 
 
+def anchors(rows):
+    columns = list(zip(*rows))
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], suffix_dedup._ANCHOR)
+
+
+def test_a_large_group_streams_through():
+    given = passed = 0
+
+    def batches():
+        nonlocal given
+        for k in range(50):
+            given += 100
+            yield anchors([(7, k * 100 + j, k, 1, j, 0, 3, False) for j in range(100)])
+
+    for out in suffix_dedup.sifted_runs(batches(), 200):
+        passed += out.num_rows
+        assert given - passed <= 200 and set(out.column("runs").to_pylist()) <= {201}
+    assert passed == given == 5000
+
+
+def test_sifting_is_the_same_however_rows_are_batched():
+    rng = np.random.default_rng(3)
+    rows = [(int(g), int(r), int(i), 1, int(p), 0, 3, False) for g, r, i, p in rng.integers(0, [12, 6, 4, 3], (300, 4))]
+    rows = sorted(rows + [(5, 1, 9, 1, 1, 0, 3, True)] + rows[:40], key=lambda r: (r[0], r[7], *r[1:5]))
+    runs = {g: len({r[1] for r in rows if r[0] == g and not r[7]}) for g in range(12)}
+    firsts, want = set(), []
+    for r in sorted(set(rows), key=lambda r: (r[0], r[7], *r[1:5])):
+        if r[7] or r[:2] in firsts:
+            want.append((r[0], 0, *r[2:7]))
+        elif not firsts.add(r[:2]) and runs[r[0]] > 1:
+            want.append((r[0], min(runs[r[0]], 5), *r[2:7]))
+    for size in (1, 7, 1000):
+        parts = (anchors(rows[k : k + size]) for k in range(0, len(rows), size))
+        found = [tuple(d.values()) for out in suffix_dedup.sifted_runs(parts, 4) for d in out.to_pylist()]
+        assert sorted((g, min(n, 5), *rest) for g, n, *rest in found) == sorted(want), size
+
+
+def test_repeated_rows_do_not_multiply_anchors(spark, monkeypatch):
+    inner, counts = suffix_dedup._with_bytes, []
+
+    def counted(*args):
+        found = inner(*args)
+        counts.append(found.count())
+        return found
+
+    monkeypatch.setattr(suffix_dedup, "_with_bytes", counted)
+    passage = prose(31, 9)
+    rows = [(i or None, prose(40 + i, 6) + passage + prose(60 + i, 6)) for i in range(5)]
+    check(spark, rows)
+    check(spark, rows + rows[:2] * 6)
+    assert counts[0] == counts[1] > 0
+
+
 def test_long_text_and_edge_of_length(spark):
     text = prose(11, 4000)
     check(spark, [(1, text), (2, text[500:9000] + "#" + text[100:119]), (3, text[200:220])], length=20)
