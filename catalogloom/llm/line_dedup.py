@@ -31,14 +31,17 @@ def masked(line: str) -> list[str]:
 
 
 def templates(line: str, depth: int, least_fixed: int) -> list[str]:
-    """The line's template and its generalised ones; none for a blank line or one of fields alone.
+    """The line's template and its generalised ones; none for a blank line.
 
-    A generalised template keeps the leading ``depth`` tokens and at least ``least_fixed`` in all.
+    A generalised template keeps the leading ``depth`` tokens and at least ``least_fixed`` in all. A line
+    of fields alone is its own template: it recurs as it stands only, and different ones do not meet.
     """
     tokens = masked(line)
     n = len(tokens)
-    if tokens.count(FIELD) == n:
+    if not n:
         return []
+    if tokens.count(FIELD) == n:
+        return [f"{n} as is {' '.join(line.split())}"]
     out = [f"{n} {' '.join(tokens)}"]
     if n < least_fixed:
         return out
@@ -107,8 +110,8 @@ def drop_lines(
 ) -> DataFrame:
     """All columns of ``docs``, the text without lines of recurring templates, and (n_lines, n_dropped).
 
-    Lines are what line feeds part; the others keep their order and their bytes. Blank lines and lines
-    of variable fields alone are never dropped. A template counts once per group of near copies.
+    Lines are what line feeds part; the others keep their order and their bytes. Blank lines
+    are never dropped, lines of variable fields alone only as they stand. A template counts once per group of near copies.
 
     Null text stays null, without lines. Rows repeating an id or a text are cleaned alike, row by row;
     a null id is passed on; an empty table gives an empty one. Input columns called n_lines or

@@ -62,5 +62,12 @@ def test_pages_of_much_boilerplate_lose_it(spark):
     assert {r["n_dropped"] for r in line_dedup.drop_lines(documents(spark, rows)).collect()} == {16}
 
 
+def test_lines_of_fields_alone_recur_as_they_stand(spark):
+    rows = [(i, f"{prose(700 + i, 30)}\n+49-30-5550-{i}\nhttps://x.org/licence legal@x.org") for i in range(6)]
+    found = line_dedup.drop_lines(documents(spark, rows)).collect()
+    assert {r["n_dropped"] for r in found} == {1}
+    assert all("licence" not in r["text"] and f"5550-{r['doc_id']}" in r["text"] for r in found)
+
+
 def test_empty_table(spark):
     assert line_dedup.drop_lines(documents(spark, [])).collect() == []
