@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat_format, embedding_dedup, jaccard_join, line_dedup, nearest, packing, suffix_dedup, token_counts, toxicity
+from . import best_fit, byte_bpe, chat_format, embedding_dedup, jaccard_join, line_dedup, merkle, nearest, packing, suffix_dedup, token_counts, toxicity, whitening
 from .common import table
 
 
@@ -67,11 +67,29 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = [F.replace(F.col(c), F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = merkle.folded(merkle.manifest(docs, claimed=F.when(touched, merkle.leaf_digest(changed))))
+    digests = [F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")]
+    return found.select("doc_id", *digests, "verified")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_chat_format, op3_line_dedup, op4_embedding_dedup, op5_toxicity,
         op6_byte_bpe, op7_nearest, op8_token_counts, op9_packing, op10_jaccard_join,
+        op11_whitening, op12_best_fit, op13_merkle_manifest,
     )
 }
 
@@ -170,10 +188,54 @@ select sets.id as doc_id, classes.id as class_id, cast(classes.copies - 1 + coal
        component_id, sets.id = component_id as kept
 from sets join classes using (s) join lowest on lowest.id = classes.id left join counts on counts.id = classes.id"""
 
+#: CRC-32 of a text's bytes, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen({0}) + 1), lambda i: ascii(substr({0}, i, 1))::bigint)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda a, i: xor(a >> 1, case when a & 1 = 1 then 3988292384::bigint else 0::bigint end))))"""
+
+
+def _merkle_sql(group_levels: int = 14, top_levels: int = 6) -> str:
+    """Levels are chained: a tree that has come down to one node passes through unchanged."""
+    shown = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')".format
+    leaf = lambda text: "sha256(" + " || ".join(map(shown, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    touched = _CRC32.format("doc_id::varchar") + " % 2 = 0"
+    parts = [f"""
+    d as (select row_number() over () as row, doc_id, coalesce('s' || source, 'n') as tree, {leaf("text")} as leaf,
+                 case when {touched} then {leaf("replace(text, chr(10), '')")} else {leaf("text")} end as claimed from documents),
+    f0 as materialized (select row, tree, leaf, row_number() over (partition by tree order by doc_id nulls first, leaf, row) - 1 as pos,
+                 claimed as h, '' as proof from d),
+    n0 as materialized (select tree, pos, leaf as h, count(*) over (partition by tree) as n from f0)"""]
+
+    def level(k: int) -> None:
+        parts.append(f"""
+    r{k} as materialized (select tree, pos // 3 as run, list(h order by pos) as hs, any_value(n) as n from n{k} group by tree, pos // 3),
+    n{k + 1} as materialized (select tree, run as pos, case when n = 1 then hs[1] else sha256(list_aggregate(hs, 'string_agg', '')) end as h, (n + 2) // 3 as n from r{k}),
+    f{k + 1} as materialized (
+      select f.row, f.tree, f.leaf, r.run as pos,
+             case when r.n = 1 then f.h
+                  else sha256(array_to_string(list_transform(r.hs, lambda x, i: case when i = f.pos % 3 + 1 then f.h else x end), '')) end as h,
+             f.proof || case when r.n = 1 then '' else array_to_string(list_filter(r.hs, lambda x, i: i <> f.pos % 3 + 1), '') end as proof
+      from f{k} f join r{k} r on r.tree = f.tree and r.run = f.pos // 3)""")
+
+    for k in range(group_levels):
+        level(k)
+    g, t = group_levels, group_levels + 1
+    parts.append(f"""
+    sub as materialized (select tree, h as subroot, row_number() over (order by encode(tree)) - 1 as no from n{g}),
+    n{t} as materialized (select 'top' as tree, no as pos, subroot as h, count(*) over () as n from sub),
+    f{t} as materialized (select f.row, 'top' as tree, f.leaf, sub.no as pos, f.h, f.proof from f{g} f join sub on sub.tree = f.tree)""")
+    for k in range(t, t + top_levels):
+        level(k)
+    last = t + top_levels
+    return "with" + ",".join(parts) + f"""
+    select d.doc_id, d.leaf, sub.subroot, top.h as root, sha256(f.proof) as proof_sha256, f.h as folded_root, f.h = top.h as verified
+    from f{last} f join d on d.row = f.row join sub on sub.tree = d.tree cross join n{last} top"""
+
+
 SQL = {
     "op1_suffix_dedup": _SUFFIX_SQL,
     "op2_chat_format": _CHAT_SQL,
     "op4_embedding_dedup": _EMBEDDING_SQL,
     "op7_nearest": _NEAREST_SQL,
     "op10_jaccard_join": _JACCARD_SQL,
+    "op13_merkle_manifest": _merkle_sql(),
 }
