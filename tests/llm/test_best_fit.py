@@ -52,7 +52,8 @@ def test_pieces_and_layout(spark, shape):
 
 def test_little_padding(spark):
     found, used = layout(spark, corpus(), window=512, group=32)
-    assert used <= 1.04 * -(-sum(r["length"] for r in found) // 512)
+    whole = best_fit.best_fit(np.array([r["length"] for r in found]), 512)[0]  # all pieces as one group
+    assert used <= 1.03 * len(set(whole.tolist()))
 
 
 def test_groups_meet_and_rounds_end(spark):
