@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -74,8 +75,16 @@ def test_best_fit_takes_the_fullest_bin():
 
 def test_ids_are_those_of_the_library():
     texts = [t or "" for t in odd_texts()] + [prose(k, 30) + "\n " + prose(k, 3) for k in range(20)]
+    texts += [c * 20_000 for c in (" ", "\n", "1", "!", "é", "\u3000", "\u200b", "😀")] + ["it's IT'S we'll x\u0301y \u0661\u0662 ½ Ⅷ ªº _a_", "\ufeff\x85\x1c a"]
     for path in (BYTES, WORDS):
         tokenizer = load_tokenizer(path)
         want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-        assert token_ids.encoder(path, 50)(texts) == want
-    assert token_ids.parts_apart(load_tokenizer(BYTES)) and not token_ids.parts_apart(load_tokenizer(WORDS))
+        assert token_ids.encoder(path)(texts) == want
+
+
+def test_other_files_are_left_to_the_library():
+    spec = json.loads(load_tokenizer(BYTES).to_str())
+    assert len(token_ids.merge_ranks(spec)) == 50_256
+    assert token_ids.merge_ranks(json.loads(load_tokenizer(WORDS).to_str())) is None
+    assert token_ids.merge_ranks(spec | {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}) is None
+    assert token_ids.merge_ranks(spec | {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}) is None
