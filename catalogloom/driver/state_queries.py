@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import DIGITS, LANES, content_hash, files_digest as digest, record_hash as hash_of
+from ..functions.hashing import DIGITS, LANES, content_hash, files_digest as digest, ordered_digest, record_hash as hash_of
 from ..operators import incremental as I
-from ..operators import listings as K
-from ..operators import products as P
 from ..operators import provenance as V
 from ..operators import reports as T
 from ..operators import review as W
@@ -22,7 +20,7 @@ from .base import (
     stamp,
     table,
 )
-from .product_queries import LISTING_ISSUES_SQL, _document_listings
+from .product_queries import LISTING_ISSUES_SQL
 
 
 def cost_summary(spark, d):
@@ -38,11 +36,8 @@ from events group by rollup (user_id, event_type)"""
 
 
 def cumulative_cost(spark, d):
-    """Running cost in blocks of one day of event time."""
     events = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value")
-    out = I.cumulative_cost(
-        events, ["user_id", "event_type"], ["ts", "event_id"], "value", F.date_trunc("day", "ts")
-    )
+    out = I.cumulative_cost(events, ["user_id", "event_type"], ["ts", "event_id"], "value")
     return out.select("event_id", "user_id", "event_type", F.round("running_cost", 2).alias("running_cost"))
 
 
@@ -88,6 +83,16 @@ select product_id, stage, status, input_hash, output_path, round(cost, 2) as cos
   strftime(created_at, {STAMP_SQL}) as created_at, strftime(updated_at, {STAMP_SQL}) as updated_at from state"""
 
 
+def node_state_resumed(spark, d):
+    """The run log in two parts, as a snapshot holds the first and a resumed run reads the second."""
+    runs = event_runs(spark, d)
+    early = F.col("run") % 3 != 0
+    state = I.merge_run_states(I.run_state(runs.filter(early)), I.run_state(runs.filter(~early)))
+    return I.node_records(state).withColumns(
+        {"cost": F.round("cost", 2), "created_at": stamp("created_at"), "updated_at": stamp("updated_at")}
+    )
+
+
 def _products(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("product_id"), F.col("c_mktsegment").alias("pack"))
 
@@ -209,6 +214,28 @@ with e as (select source, sha256(source || '/' || doc_id || '|' || sha256(text))
 s as (select source, count(*) as files, {_LANE_SUMS} from e group by source)
 select source, files, sha256(files || '|' || {_LANE_TEXT}) as digest from s"""
 
+def tree_digest(spark, d):
+    docs = table(spark, d, "documents").select(
+        "source", F.concat_ws("/", "source", "doc_id").alias("path"), content_hash(F.col("text")).alias("sha")
+    )
+    return ordered_digest(docs, ["source"], "path", "sha", fan=16)
+
+
+def _tree_sql(levels: int = 8) -> str:
+    """Runs of 16 are hashed until one is left; a source that is down to one passes through."""
+    parts = [
+        """e as (select source, path, sha256(path || '|' || sha256(text)) as h from (select source, source || '/' || doc_id as path, text from documents)),
+f as (select source, count(*) as files from e group by source),
+n0 as (select source, row_number() over (partition by source order by encode(path)) - 1 as pos, h from e)"""
+    ]
+    for k in range(levels):
+        parts.append(f"""m{k} as materialized (select *, count(*) over (partition by source) as n from n{k}),
+n{k + 1} as materialized (select source, pos // 16 as pos, case when any_value(n) = 1 then any_value(h) else sha256(string_agg(h, '|' order by pos)) end as h from m{k} group by source, pos // 16)""")
+    return "with " + ",\n".join(parts) + f"\nselect source, files, h as digest from n{levels} join f using (source)"
+
+
+TREE_DIGEST = _tree_sql()
+
 DECLARED = ["line1", "line2"]
 
 
@@ -321,39 +348,26 @@ select c_custkey as product_id, 'packages' as criterion, 'error' as severity, 'n
 from customer where not exists (select 1 from orders where 2 * o_custkey = c_custkey)"""
 
 
-def _review_parts(spark, d):
+def _review_items(spark, d):
     """Each document as a product: its lines are pages and listings, its label a package, itself an asset."""
-    docs = table(spark, d, "documents")
-    products = docs.select("doc_id")
-    pages = P.explode_text_pages(docs, "text", ("doc_id",)).select("doc_id")
-    packages = table(spark, d, "labels").select("doc_id")
-    listings = _document_listings(spark, d)
-    issues = W.union_issues(
-        _asset_issues(spark, d, ("doc_id",)),
-        W.check_packages(products, packages, "doc_id"),
-        K.check_listings(listings, ("doc_id",)),
-    )
-    return products, issues, pages, products, packages, listings.select("doc_id")
-
-
-def _review_rows(spark, d):
-    """What ``_review_parts`` would count, from one pass over the documents: (doc_id, kind, n)."""
-    docs = table(spark, d, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: x != "").alias("pages"), F.split("text", "\n").alias("lines"))
     labels = table(spark, d, "labels").select("doc_id", (F.col("quality") * 700 + F.col("toxic") * 900).alias("length"))
-    joined = docs.join(labels, "doc_id", "left")
-    tags = F.transform("lines", lambda x: F.size(F.filter(F.split(x, " "), lambda w: F.length(w) > 2)))
-    untitled = F.size(F.filter(F.zip_with("lines", tags, lambda x, n: (n < 2) | (x == "")), lambda bad: bad))
-    missing = F.col("length").isNull()
-    counts = {
-        "concept_pages": F.size("pages"),
-        "assets_generated": F.lit(1),
-        "packages_built": (~missing).cast("int"),
-        "listings_count": F.size("lines"),
-        "error": 2 * missing.cast("int") + untitled,
-        "warning": F.coalesce((F.col("length") < W.MIN_ASSET_BYTES).cast("int"), F.lit(0)) + F.size(F.filter(tags, lambda n: n < 5)),
-    }
-    pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), n.cast("bigint").alias("n")) for kind, n in counts.items()])
-    return joined.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.kind", "p.n")
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text").join(labels, "doc_id", "left")
+    lines = F.split("text", "\n")
+
+    def listing(line):
+        words = F.filter(F.split(line, " "), lambda w: F.length(w) > 2)
+        title = F.when(F.size(words) < 2, "").otherwise(line)
+        return F.struct(F.col("source").alias("marketplace"), F.col("lang").alias("language"), title.alias("title"), words.alias("tags"))
+
+    asset = F.struct(F.concat(F.lit("processed/"), "doc_id", F.lit(".png")).alias("path"), "length")
+    return W.review_items(
+        docs,
+        ["doc_id"],
+        pages=F.size(F.filter(lines, lambda x: x != "")),
+        assets=F.array(asset),
+        packages=F.col("length").isNotNull().cast("int"),
+        listings=F.transform(lines, listing),
+    )
 
 
 REVIEW_SQL = f"""{ASSET_ISSUES_SQL}, {LISTING_ISSUES_SQL},
@@ -367,15 +381,14 @@ issues as (
 
 
 def union_issues(spark, d):
-    return _review_parts(spark, d)[1]
+    return W.issues_of(_review_items(spark, d))
 
 
 UNION_ISSUES = f"with {REVIEW_SQL} select * from issues"
 
 
 def review_verdict(spark, d):
-    products, issues, *_ = _review_parts(spark, d)
-    return W.review_verdict(products, issues, "doc_id")
+    return W.report_of(_review_items(spark, d), "doc_id").select("doc_id", "verdict")
 
 
 REVIEW_VERDICT = f"""
@@ -385,8 +398,7 @@ from documents d left join issues i on i.doc_id = d.doc_id group by d.doc_id"""
 
 
 def review_scores(spark, d):
-    products, _, pages, assets, packages, listings = _review_parts(spark, d)
-    return W.review_scores(products, pages, assets, packages, listings, "doc_id")
+    return W.report_of(_review_items(spark, d), "doc_id").select("doc_id", *W.SCORES)
 
 
 SCORES_SQL = """cast((select count(*) from lines x where x.doc_id = d.doc_id and line <> '') as double) as concept_pages,
@@ -398,7 +410,7 @@ REVIEW_SCORES = f"with {REVIEW_SQL} select d.doc_id, {SCORES_SQL} from documents
 
 
 def review_report(spark, d):
-    return W.report_of(_review_rows(spark, d), "doc_id")
+    return W.report_of(_review_items(spark, d), "doc_id")
 
 
 REVIEW_REPORT = f"""
@@ -435,6 +447,8 @@ QUERIES = {
     "node_costs": Query(node_costs, NODE_COSTS),
     "node_timestamps": Query(node_timestamps, NODE_TIMESTAMPS),
     "node_state": Query(node_state, NODE_STATE),
+    "node_state_resumed": Query(node_state_resumed, NODE_STATE),
+    "tree_digest": Query(tree_digest, TREE_DIGEST),
     "latest_status": Query(latest_status, LATEST_STATUS),
     "status_table": Query(status_table, STATUS_TABLE),
     "list_products": Query(list_products, LIST_PRODUCTS),

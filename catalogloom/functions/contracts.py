@@ -27,12 +27,18 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 def strict_json(text: Column) -> Column:
     """The VARIANT of a text that is exactly one JSON value, else NULL.
 
-    The JSON parser stops at the end of the first value, so the text is parsed twice more inside
-    brackets and inside an object: trailing text or a second value breaks at least one of the two.
+    The JSON parser stops at the end of the first value, so the text is parsed as the first of two items
+    of an array. The second is the text's own hash: only a text that is one value leaves it where it
+    belongs, since no text can hold its own hash to close the array early.
     """
-    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when(in_array.isNotNull() & in_object.isNotNull(), F.try_parse_json(text))
+    mark = F.xxhash64(text)
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
+
+    def first(v: Column) -> Column:
+        alone = (F.try_variant_get(v, "$[1]", "bigint") == mark) & F.try_variant_get(v, "$[2]", "variant").isNull()
+        return F.when(alone, F.try_variant_get(v, "$[0]", "variant"))
+
+    return F.get(F.transform(F.array(both), first), F.lit(0))
 
 
 def kind_of(v: Column) -> Column:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from ..session import shared_table
 
 
 def content_hash(c: Column) -> Column:
@@ -90,3 +92,40 @@ def files_digest(df: DataFrame, keys: Sequence[str], path: str, content_sha: str
     each = each.select(*keys, *[c.alias(n) for c, n in zip(digest_lanes(F.col("_h")), lanes)])
     sums = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"), *[F.sum(n).alias(n) for n in lanes])
     return sums.select(*keys, "files", content_hash(F.concat_ws("|", "files", *lanes)).alias(out))
+
+
+def ordered_digest(df: DataFrame, keys: Sequence[str], path: str, content_sha: str, out: str = "digest", fan: int = 1024) -> DataFrame:
+    """One digest per group of files that depends on each path, each byte and the order of the paths.
+
+    A tree of hashes over the files in order of their paths: SHA-256(path, content hash) are the leaves,
+    runs of ``fan`` neighbours, joined by bars, are hashed until one is left. A group of any size is dealt
+    out in runs, so no task holds more than a run, and a changed file changes one hash per level. Files
+    are numbered over ranges of paths, which are settled in the shared folder. Null counts as empty text.
+    """
+    name, place = F.coalesce(F.col(path), F.lit("")), F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    leaf = content_hash(F.concat(name, F.lit("|"), F.coalesce(F.col(content_sha), F.lit(""))))
+    files = df.select(place.alias("_key"), name.alias("_path"), leaf.alias("_h"))
+    ranged = files.repartitionByRange("_key", "_path", "_h").sortWithinPartitions("_key", "_path", "_h")
+    laid = shared_table(ranged.withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", 33)
+    # Per range and group: where its rows begin, and how many of the group stand in earlier ranges.
+    spans = laid.groupBy("_key", part.alias("_part")).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.select("_key", "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    numbered = laid.withColumn("_part", part).join(spans, ["_key", "_part"])
+    nodes = numbered.select("_key", (F.col("_row") + F.col("_shift")).alias("_pos"), "_h")
+    totals = laid.groupBy("_key").agg(F.count("*").alias("files"))
+    # As many levels as the largest group needs; a group that is down to one hash passes through.
+    most = totals.agg(F.max("files")).first()[0] or 1
+    nodes = nodes.join(totals, "_key").withColumn("_left", F.col("files"))
+    while most > 1:
+        run = F.array_sort(F.collect_list(F.struct("_pos", "_h")))
+        hashed = content_hash(F.array_join(F.transform("_run", lambda x: x["_h"]), "|"))
+        grouped = nodes.groupBy("_key", F.floor(F.col("_pos") / fan).alias("_pos"), "files", "_left").agg(run.alias("_run"))
+        nodes = grouped.select(
+            "_key", "_pos", "files",
+            F.when(F.col("_left") == 1, F.get("_run", F.lit(0))["_h"]).otherwise(hashed).alias("_h"),
+            F.ceil(F.col("_left") / fan).alias("_left"),
+        )
+        most = -(-most // fan)
+    return nodes.select(*[F.col(f"_key.k{i}").alias(k) for i, k in enumerate(keys)], "files", F.col("_h").alias(out))

@@ -65,6 +65,14 @@ def fold_case(c: Column) -> Column:
     return folded
 
 
+def folded_text(text: str) -> str:
+    """``fold_case`` of a constant."""
+    folded = text.replace("İ", "i").lower()
+    for twin, main in TWINS.items():
+        folded = folded.replace(twin, main)
+    return folded
+
+
 def truthy(c: Column) -> Column:
     """NULL for NULL or empty text, else the text."""
     return F.nullif(c, F.lit(""))

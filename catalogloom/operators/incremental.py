@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .. import schemas
 from ..functions.hashing import by_name, node_key
+from ..session import shared_table
 from .requests import distinct_keys
 
 
@@ -178,6 +179,60 @@ def node_timestamps(runs: DataFrame, keys: Sequence[str] = ("product_id", "stage
     return runs.groupBy(*keys).agg(F.min(ts).alias("created_at"), F.max(ts).alias("updated_at"))
 
 
+#: One record per node that two parts of a run log can be folded into and joined from.
+RUN_STATE = (
+    "product_id string, stage string, last struct<run:bigint,status:string,error:string>, "
+    "done struct<run:bigint,input_hash:string,output_path:string>, cost double, cost_with_failed double, "
+    "created_at timestamp, updated_at timestamp"
+)
+
+
+def run_state(runs: DataFrame) -> DataFrame:
+    """A part of the run log as mergeable state, one row per node.
+
+    The last run with its status and error, the last run that finished with hash and path, the cost of
+    finished runs and of all, the first moment a run really started and the last of any.
+    """
+    done = F.col("status") == "done"
+    number = F.col("run").cast("bigint").alias("run")
+    return runs.groupBy("product_id", "stage").agg(
+        F.max(F.struct(number, "status", "error")).alias("last"),
+        F.max(F.when(done, F.struct(number, "input_hash", "output_path"))).alias("done"),
+        F.coalesce(F.sum(F.when(done, F.col("cost"))), F.lit(0.0)).alias("cost"),
+        F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost_with_failed"),
+        F.min(F.when(F.coalesce("started", F.lit(True)), F.col("ts"))).alias("created_at"),
+        F.max("ts").alias("updated_at"),
+    )
+
+
+def merge_run_states(*states: DataFrame) -> DataFrame:
+    """States of disjoint parts of the run log as the state of all of them, in any order."""
+    together = reduce(lambda a, b: a.unionByName(b), states)
+    return together.groupBy("product_id", "stage").agg(
+        F.max("last").alias("last"),
+        F.max("done").alias("done"),
+        F.sum("cost").alias("cost"),
+        F.sum("cost_with_failed").alias("cost_with_failed"),
+        F.min("created_at").alias("created_at"),
+        F.max("updated_at").alias("updated_at"),
+    )
+
+
+def node_records(state: DataFrame, include_failed: bool = False) -> DataFrame:
+    """The current record of every node of a run state."""
+    return state.select(
+        "product_id",
+        "stage",
+        F.col("last.status").alias("status"),
+        F.coalesce("done.input_hash", F.lit("")).alias("input_hash"),
+        F.coalesce("done.output_path", F.lit("")).alias("output_path"),
+        F.col("cost_with_failed" if include_failed else "cost").alias("cost"),
+        F.coalesce("last.error", F.lit("")).alias("error"),
+        "created_at",
+        "updated_at",
+    )
+
+
 def fold_node_runs(runs: DataFrame, include_failed: bool = False) -> DataFrame:
     """The append-only run log folded to one record per node.
 
@@ -212,34 +267,44 @@ def fold_node_runs(runs: DataFrame, include_failed: bool = False) -> DataFrame:
     )
 
 
+def in_ranges(runs: DataFrame, keys: Sequence[str], order: Sequence[str], range_rows: int) -> DataFrame:
+    """``runs`` with ``_key``, ``_tie`` and ``_part``: dealt by key and order into ranges of about ``range_rows``.
+
+    Range bounds are sampled. The hash of the whole row comes last in the order, so that runs of one
+    instant are parted, too.
+    """
+    # One struct as the key: it is never NULL itself, so runs with an unknown product keep their rows.
+    plain = [f.name for f in runs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    keyed = runs.withColumns(
+        {"_key": F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]), "_tie": F.xxhash64(*plain)}
+    )
+    ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // range_rows))
+    return shared_table(keyed.repartitionByRange(ranges, "_key", *order, "_tie").withColumn("_part", F.spark_partition_id()))
+
+
 def cumulative_cost(
     runs: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     cost: str,
-    block: Column,
     out: str = "running_cost",
+    range_rows: int = 1 << 20,
 ) -> DataFrame:
-    """Running cost per node in run order, safe for a node with a large share of all runs.
+    """Running cost per node in run order, safe for a node with any share of all runs at any instant.
 
-    ``block`` must rise with the order (a time bucket, ``run div n``). Runs are summed within
-    (node, block); a second window over the block totals, one row per block, gives each block its
-    starting value. No task ever sorts a whole node, and both steps are deterministic, so a lost
-    executor recomputes the same values.
+    A prefix sum over ranges: runs are dealt into ranges of bounded size, summed up per node and range,
+    and the sums of earlier ranges, one row per node and range, give each range its starting value. Runs
+    of equal order stand in an order of their own that every reading agrees on. The ranges are settled
+    in the shared folder first, since both steps must see the same ones.
     """
-    # One struct as the key: it is never NULL itself, so runs with an unknown product keep their rows,
-    # and the window and the join agree on the partitioning, so the runs are shuffled once.
-    node = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
-    tagged = runs.withColumn("_key", F.struct(*node, block.alias("block")))
-    totals = tagged.groupBy("_key").agg(F.sum(cost).alias("_sum"))
-    before = Window.partitionBy(*[f"_key.k{i}" for i in range(len(keys))]).orderBy("_key.block")
-    earlier = F.sum("_sum").over(before.rowsBetween(Window.unboundedPreceding, -1))
-    starts = totals.select("_key", F.coalesce(earlier, F.lit(0.0)).alias("_start"))
-    inside = Window.partitionBy("_key").orderBy(*order)
-    running = F.sum(cost).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    laid = in_ranges(runs, keys, order, range_rows)
+    totals = laid.groupBy("_key", "_part").agg(F.sum(cost).alias("_sum"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_key", "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_start"))
+    inside = Window.partitionBy("_key", "_part").orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        tagged.withColumn("_in", running)
-        .join(starts, "_key", "inner")
+        laid.withColumn("_in", F.sum(cost).over(inside))
+        .join(starts, ["_key", "_part"], "inner")
         .withColumn(out, F.col("_start") + F.col("_in"))
         .select(*runs.columns, out)
     )

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import fold_case
+from ..functions.pieces import BLANKS, distinct_names, pieces_of
+from ..functions.text import fold_case, folded_text
 
 # The terms a product-neutral code base must not mention.
 BANNED_TERMS = [
@@ -41,13 +44,13 @@ def _quoted(term: str) -> str:
 
 
 def word_pattern(term: str) -> str:
-    """The term as a whole word, in any case.
+    """A folded term as a whole word of a folded text.
 
     Word boundaries are spelled out: the engine's own are ASCII-minded in some versions. The literal
     comes first and looks back over itself, so the search skips to its first letter.
     """
     body = _quoted(term)
-    return rf"(?iu){body}(?<!{_WORD}{body})(?!{_WORD})"
+    return rf"{body}(?<!{_WORD}{body})(?!{_WORD})"
 
 
 def scan_banned_terms(
@@ -66,10 +69,8 @@ def scan_banned_terms(
     """
     body = F.col("_body")
     if mode == "word":
-        folded = df.select(*keys, F.col(text).alias("_text"), fold_case(F.col(text)).alias("_body"))
-        tests = [
-            F.contains(body, fold_case(F.lit(t))) & F.col("_text").rlike(word_pattern(t)) for t in terms
-        ]
+        folded = df.select(*keys, fold_case(F.col(text)).alias("_body"))
+        tests = [F.contains(body, F.lit(t)) & body.rlike(word_pattern(t)) for t in map(folded_text, terms)]
     else:
         folded = df.select(*keys, F.lower(F.col(text)).alias("_body"))
         tests = [F.contains(body, F.lower(F.lit(t))) for t in terms]
@@ -77,74 +78,85 @@ def scan_banned_terms(
     return folded.select(*keys, F.explode(found).alias("term"))
 
 
-# A word, or one character that is neither part of a word nor a blank, with the blanks after it.
-_PIECE = rf"(?:{_WORD}+|[^\p{{L}}\p{{N}}_\s])\s*"
-
-
 def words(folded: Column) -> Column:
     """Distinct words of a text already folded to one case."""
     return F.array_distinct(F.regexp_extract_all(folded, F.lit(f"{_WORD}+"), 0))
 
 
-def pieces(folded: Column) -> Column:
-    """Words and single signs of a folded text in order, each with the blanks that follow it."""
-    return F.regexp_extract_all(folded, F.lit(_PIECE), 0)
-
-
-def _bare(c: Column) -> Column:
-    return F.regexp_replace(c, r"\s+$", "")
-
-
-def openings(parts: Column, reach: int) -> Column:
-    """Every way a term of several pieces, or of one sign, can begin in a text with these pieces.
-
-    (k, before, parts): the first two pieces or the sign, whether a word touches it from the left, and
-    the pieces from there on, one more than the longest term has.
-    """
-    places = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>"))
-    start = lambda i: _bare(F.element_at(parts, i))
-
-    def begin(k: Column, i: Column) -> Column:
-        touched = F.coalesce(F.get(parts, i - 2).rlike(rf"{_WORD}\z"), F.lit(False))
-        return F.struct(k.alias("k"), touched.alias("before"), F.slice(parts, i, F.lit(reach + 1)).alias("parts"))
-
-    pairs = F.transform(
-        F.filter(places, lambda i: i < F.size(parts)), lambda i: begin(F.concat(start(i), F.lit(" "), start(i + 1)), i)
-    )
-    signs = F.transform(F.filter(places, lambda i: ~start(i).rlike(_WORD)), lambda i: begin(start(i), i))
-    return F.concat(pairs, signs)  # repeats are cheaper to carry than to compare within long texts
+def _cut(rows: list, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts with about ``most`` characters each (one text at least)."""
+    start = size = 0
+    for i, text in enumerate(rows):
+        if size and size + len(text) > most:
+            yield start, i
+            start, size = i, 0
+        size += len(text)
+    if start < len(rows):
+        yield start, len(rows)
+
+
+def _named_terms(terms: DataFrame) -> DataFrame:
+    """(term, n, a, b): how many pieces each term of (term, folded) has, and the name they have together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, folded = (batch.column(c).to_pylist() for c in (0, 1))
+            at = [k for k, f in enumerate(folded) if f.strip(BLANKS) and f[0] not in BLANKS]
+            rows = []
+            for low, high in _cut([folded[k] for k in at], 1 << 20):
+                found = pieces_of([folded[k].rstrip(BLANKS) for k in at[low:high]])
+                sizes = np.bincount(found.text, minlength=high - low)
+                for n in np.unique(sizes).tolist():
+                    own, a, b = found.names(n)
+                    rows += [(terms[at[low + t]], n, x, y) for t, x, y in zip(own.tolist(), a.view(np.int64).tolist(), b.view(np.int64).tolist()) if sizes[t] == n]
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["term", "n", "a", "b"])
+
+    return terms.mapInArrow(run, "term string, n int, a long, b long")
+
+
+def _named_stretches(texts: DataFrame, key: str) -> DataFrame:
+    """(key, a, b) of every stretch of ``lengths`` pieces in (key, folded, lengths), each once per text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folded = [f or "" for f in batch.column(1).to_pylist()]
+            lengths = (batch.column(2)[0].as_py() or []) if batch.num_rows else []
+            for low, high in _cut(folded, 1 << 18):
+                found = pieces_of(folded[low:high])
+                for n in lengths:
+                    own, a, b = distinct_names(found, n)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(pa.array(own + low)),
+                            pa.array(a.view(np.int64)),
+                            pa.array(b.view(np.int64)),
+                        ],
+                        [key, "a", "b"],
+                    )
+
+    return texts.mapInArrow(run, f"`{key}` {texts.schema[key].dataType.simpleString()}, a long, b long")
 
 
 def scan_term_table(df: DataFrame, terms: DataFrame, text: str, key: str, term: str = "term", phrases: bool = True) -> DataFrame:
     """One row per (text, term) for a table of terms of any size, as whole words, case ignored.
 
-    Equi joins instead of every text against every term. One-word terms meet the distinct words of
-    each text and are settled by that. All others meet the pairs of neighbouring pieces by their first
-    pair and are settled on the few pieces carried along; no text is read or moved again. Both sides of
-    the joins are dealt out by the join itself, so adaptive execution splits a word that is in most
-    texts. ``phrases=False`` skips the second half for tables known to hold single words only; with it,
-    one small job finds the length of the longest term.
+    An equi join instead of every text against every term. Terms are named by the number of their pieces
+    (words and single signs) and a rolling name of what they hold; texts give the names of all their
+    stretches of as many pieces, each once, so a text costs its pieces times the different numbers of
+    pieces among the terms, however long the terms are. Only keys and names meet; no text moves. Names
+    have 128 bits, which is taken for equality. Adaptive execution splits a word that is in most texts.
+
+    Blanks after a term do not count; a term that begins with one, or is blank, is found nowhere. A null
+    text holds nothing; rows repeating a key are texts of their own. ``phrases=False`` looks for terms of
+    one piece only.
     """
-    listed = (
-        terms.select(F.col(term).alias("term"))
-        .filter(F.col("term") != "")
-        .distinct()
-        .select("term", fold_case(F.col("term")).alias("_folded"), F.col("term").rlike(rf"\A{_WORD}+\z").alias("_single"))
-    )
-    folded = df.select(F.col(key), fold_case(F.col(text)).alias("_folded"))
-    by_word = listed.filter("_single").select("term", F.col("_folded").alias("_k"))
-    settled = folded.select(key, F.explode(words(F.col("_folded"))).alias("_k")).join(by_word, "_k").select(key, "term")
-    if not phrases:
-        return settled
-
-    longer = listed.filter(~F.col("_single")).select("term", _bare(F.col("_folded")).alias("_body"), pieces(F.col("_folded")).alias("_own"))
-    reach = longer.agg(F.max(F.size("_own"))).first()[0] or 1
-    opening = F.array_join(F.transform(F.slice("_own", 1, 2), _bare), " ")
-    cut = folded.select(key, pieces(F.col("_folded")).alias("_pieces"))
-    begun = cut.select(key, F.explode(openings(F.col("_pieces"), reach)).alias("_at")).select(key, F.col("_at.k").alias("_k"), "_at.before", "_at.parts")
-    met = begun.join(longer.withColumn("_k", opening), "_k")
-    n = F.size("_own")
-    last, then = F.get("parts", n - 1), F.get("parts", n)
-    runs_on = F.coalesce(~last.rlike(rf"(\s|{_WORD})\z") & then.rlike(rf"\A{_WORD}"), F.lit(False))
-    same = _bare(F.array_join(F.slice("parts", F.lit(1), n), "")) == F.col("_body")
-    return settled.unionByName(met.filter(same & ~F.col("before") & ~runs_on).select(key, "term").distinct())
+    listed = terms.select(F.col(term).alias("term")).filter(F.col("term") != "").distinct()
+    named = _named_terms(listed.select("term", fold_case(F.col("term")).alias("folded")))
+    if phrases:
+        lengths = named.agg(F.sort_array(F.collect_set("n")).alias("lengths")).scalar()
+    else:
+        named, lengths = named.filter("n = 1"), F.array(F.lit(1))
+    texts = df.select(F.col(key), fold_case(F.col(text)).alias("_folded"), lengths.alias("_lengths"))
+    return _named_stretches(texts, key).join(named, ["a", "b"]).select(key, "term")

@@ -59,7 +59,7 @@ def join_requests_packs(
 
 
 def mark_packs(requests: DataFrame, packs: DataFrame, on: str = "pack", pack_key: str = "id") -> DataFrame:
-    """All requests with their pack's columns and ``known``, in one join; pack keys are unique."""
+    """All requests with their pack's columns and ``known``, in one join; pack keys are unique (``validate_packs``)."""
     keyed = packs.withColumnRenamed(pack_key, on).withColumn("known", F.lit(True))
     return requests.join(keyed, on, "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
@@ -180,9 +180,23 @@ def check_packs(files: DataFrame) -> DataFrame:
     )
 
 
+def shared_ids(checked: DataFrame) -> DataFrame:
+    """``check_packs`` rows, where valid packs that have an id in common become violations.
+
+    Requests name their pack by id, so of several packs with one id none is the right one, and a join
+    would multiply requests. Ids are counted on the valid packs alone; a hot id is one row per mapper.
+    """
+    valid = F.col("reason").isNull()
+    counts = checked.filter(valid).groupBy("id").agg(F.count("*").alias("_packs")).filter(F.col("_packs") > 1)
+    joined = checked.join(counts, "id", "left").withColumn("_packs", F.when(valid, F.col("_packs")))
+    # Fixed value: issue and error texts are matched on by users.
+    shared = F.concat(F.lit("duplicate pack id: "), F.col("id"))
+    return joined.withColumn("reason", F.when(F.col("_packs").isNotNull(), shared).otherwise(F.col("reason"))).select(*checked.columns)
+
+
 def validate_packs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid packs as typed rows, and violations as (pack_dir, reason)."""
-    checked = check_packs(files)
+    """Valid packs as typed rows with unique ids, and violations as (pack_dir, reason)."""
+    checked = shared_ids(check_packs(files))
     return (
         checked.filter(F.col("reason").isNull()).drop("pack_dir", "reason"),
         checked.filter(F.col("reason").isNotNull()).select("pack_dir", "reason"),

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import truthy
+from .listings import MIN_TAGS
 from .requests import distinct_keys
 
 # Fixed value: a cleaned image below this many bytes draws a warning.
@@ -126,6 +128,68 @@ def report_of(tagged: DataFrame, key: str = "product_id") -> DataFrame:
     )
 
 
+ITEM = "kind string, n bigint, criterion string, severity string, detail string"
+
+
+def _item(kind: str | Column, n: Column, criterion: str | None = None, detail: Column | None = None) -> Column:
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    severity = kind if criterion else F.lit(None)
+    parts = (kind, n.cast("bigint"), F.lit(criterion), severity, detail if criterion else F.lit(None))
+    names = [part.split()[0] for part in ITEM.split(", ")]
+    return F.struct(*[p.cast("string" if name != "n" else "bigint").alias(name) for name, p in zip(names, parts)])
+
+
+def review_items(
+    df: DataFrame,
+    keys: Sequence[str],
+    pages: Column,
+    assets: Column,
+    packages: Column,
+    listings: Column,
+    min_bytes: int = MIN_ASSET_BYTES,
+    min_tags: int = MIN_TAGS,
+) -> DataFrame:
+    """Everything the gate finds and counts, from one pass over rows that hold a product each.
+
+    ``pages`` and ``packages`` are numbers, ``assets`` is an array of (path, length), the length NULL for
+    a missing file, ``listings`` one of (marketplace, language, title, tags). One generator gives the four
+    scores and all issues as rows (keys, kind, n, criterion, severity, detail): ``issues_of`` are the
+    issues, ``report_of`` verdict and scores. The rules are those of ``check_assets``, ``check_packages``
+    and ``check_listings``.
+    """
+    scores = dict(zip(SCORES, (pages, F.size(assets), packages, F.size(listings))))
+    one = F.lit(1)
+
+    def asset_issue(a: Column) -> Column:
+        # Issue and error texts are matched on by users.
+        return F.when(
+            a["length"].isNull(), _item("error", one, "asset_existence", F.concat(F.lit("missing processed asset: "), a["path"]))
+        ).when(
+            a["length"] < min_bytes, _item("warning", one, "asset_size", F.concat(F.lit("asset suspiciously small (<1KB): "), a["path"]))
+        )
+
+    def listing_issues(x: Column) -> Column:
+        shelf = F.concat_ws("/", F.coalesce(x["marketplace"], F.lit("")), F.coalesce(x["language"], F.lit("")))
+        count = F.coalesce(F.size(x["tags"]), F.lit(0))
+        # Issue and error texts are matched on by users.
+        untitled = _item("error", one, "listing_title", F.concat(F.lit("missing title for "), shelf))
+        bare = _item("warning", one, "listing_tags", F.concat(F.lit("few tags for "), shelf, F.lit(": "), count.cast("string")))
+        return F.array(F.when(truthy(x["title"]).isNull(), untitled), F.when(count < min_tags, bare))
+
+    found = F.concat(
+        F.array(*[_item(name, n) for name, n in scores.items()]),
+        F.transform(assets, asset_issue),
+        F.array(F.when(packages == 0, _item("error", one, "packages", F.lit("no packages produced")))),
+        F.flatten(F.transform(listings, listing_issues)),
+    )
+    return df.select(*keys, F.inline(F.array_compact(found)))
+
+
+def issues_of(items: DataFrame) -> DataFrame:
+    """The issues among ``review_items``."""
+    return items.filter(F.col("severity").isNotNull()).drop("kind", "n")
+
+
 def as_score_map(report: DataFrame) -> DataFrame:
     """The four score columns folded into one map column."""
     pairs = [part for n in SCORES for part in (F.lit(n), F.col(n))]

@@ -299,6 +299,7 @@ def produce(
     run_number: int | None = None,
     stages: Sequence[str] = tuple(schemas.STAGES),
     guard: bool = False,
+    snapshot_every: int = 16,
 ) -> DataFrame:
     """Run or resume the stages for resolved products; returns the decision of every node.
 
@@ -306,16 +307,22 @@ def produce(
     whose column ``force`` says so; the others are left as they are.
 
     A product that fails in a stage is logged as failed and left out of the later ones; the others
-    go on. Running again with nothing changed skips every node.
+    go on. Running again with nothing changed skips every node. After ``snapshot_every`` runs the run log
+    so far is folded into a snapshot, and later runs read that and what came after it.
     """
     log_path = f"{workdir}/node_runs"
     if guard:
         known = stored(spark, f"{workdir}/products", "product_id string").select("product_id")
         products, _ = guard_new_products(products, known, force="force" if "force" in products.columns else None)
         products = products.drop("force")
+    upto = S.last_snapshot(spark, log_path)
     if run_number is None:
         log = stored(spark, log_path, schemas.NODE_RUNS)
         run_number = (log.agg(F.max("run")).first()[0] or 0) + 1
+        if run_number - 1 - upto >= snapshot_every:
+            S.write_snapshot(spark, log_path, run_number - 1)
+    elif run_number <= upto:
+        raise ValueError(f"run {run_number} is closed: runs up to {upto} are in a snapshot")
     run = Run(spark, workdir, run_number, runtime, complete, draw)
     settings = [F.lit(v).alias(f"rt_{kind}_{name}") for kind, conf in runtime.items() for name, v in sorted(conf.items())]
     configured = products.select("*", *settings)
@@ -374,7 +381,8 @@ def run_stage(run: Run, stage: str, alive: DataFrame, log_path: str) -> DataFram
         return spark.createDataFrame([], "product_id string, stage string, decision string")
     keyed = I.node_hash(bound, declared, CODE_VERSIONS[stage], PROMPT_VERSIONS[stage])
 
-    state = I.fold_node_runs(stored(spark, log_path, schemas.NODE_RUNS)).filter(F.col("stage") == stage)
+    log = stored(spark, log_path, schemas.NODE_RUNS).filter(F.col("stage") == stage)
+    state = I.node_records(S.read_run_log_state(spark, log_path, log)).filter(F.col("stage") == stage)
     existing = current(run, output)
     present = (
         keyed.select("product_id").filter(F.lit(False)) if existing is None else existing.select("product_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -48,3 +50,32 @@ def settle_missing(rows: DataFrame, path: str, keys: list[str], make: Callable[[
             raise
         return settle(make(rows), path)
     return settle(make(rows.join(held.select(*keys), keys, "left_anti")), path, mode="append")
+
+
+_local: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, a temporary one locally."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="spark-catalog-"))
+    return _local[0]
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """``df`` settled in the shared folder until the session ends, for plans that read it twice.
+
+    What depends on the layout of a shuffle (range bounds, partition numbers) is the same for every
+    reader, and a lost executor reads files again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    held = settle(df, path, mode="error")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return held

@@ -6,12 +6,13 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas
 from ..functions.text import file_stem
 from ..operators.images import exif_orientation
-from ..operators.incremental import fold_node_runs
+from ..operators.incremental import merge_run_states, node_records, run_state
 from ..operators.listings import dedupe_listings
 from ..operators.requests import derive_product_id, fill_request_defaults, normalize_requests
 
@@ -77,16 +78,64 @@ def read_run_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 def write_run_state(runs: DataFrame, path: str) -> None:
     """Append to the run log; records are never changed in place."""
-    runs.write.mode("append").partitionBy("stage").parquet(path)
+    runs.write.mode("append").partitionBy("run", "stage").parquet(path)
 
 
 def read_node_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.NODE_RUNS).parquet(path)
 
 
+def snapshot_path(path: str) -> str:
+    return f"{path}_state"
+
+
+def last_snapshot(spark: SparkSession, path: str) -> int:
+    """The number of the last run that the newest snapshot of a run log covers, 0 without one."""
+    try:
+        held = spark.read.parquet(snapshot_path(path))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+    return held.agg(F.max("upto")).first()[0] or 0  # answered from the folder names
+
+
+def read_run_log_state(spark: SparkSession, path: str, runs: DataFrame | None = None) -> DataFrame:
+    """The mergeable state of all of a run log: the newest snapshot and the runs after it.
+
+    Runs are folders of the log, so those that a snapshot covers are not opened.
+    """
+    log = read_node_runs(spark, path) if runs is None else runs
+    upto = last_snapshot(spark, path)
+    tail = run_state(log.filter(F.col("run") > upto))
+    if not upto:
+        return tail
+    held = spark.read.parquet(snapshot_path(path)).filter(F.col("upto") == upto).drop("upto")
+    return merge_run_states(held, tail)
+
+
+def write_snapshot(spark: SparkSession, path: str, upto: int) -> None:
+    """A snapshot of the runs up to a number, from the one before and the runs in between.
+
+    Runs numbered ``upto`` or less must not be added any more. A snapshot that broke off has no success
+    mark and its folder is written anew; readers see it only when it is whole.
+    """
+    before = last_snapshot(spark, path)
+    if upto <= before:
+        return
+    log = read_node_runs(spark, path).filter(F.col("run") <= upto)
+    state = read_run_log_state(spark, path, log)
+    draft = f"{snapshot_path(path)}.draft"
+    state.write.mode("overwrite").parquet(draft)
+    where = lambda name: spark._jvm.org.apache.hadoop.fs.Path(name)
+    files = where(draft).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where(snapshot_path(path)))
+    files.rename(where(draft), where(f"{snapshot_path(path)}/upto={upto}"))
+
+
 def read_node_state(spark: SparkSession, path: str) -> DataFrame:
-    """Current record of every node, folded from the run log."""
-    return fold_node_runs(read_node_runs(spark, path))
+    """Current record of every node: the newest snapshot merged with the runs after it."""
+    return node_records(read_run_log_state(spark, path))
 
 
 def read_file_stats(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -1,6 +1,8 @@
 """Hashes of exact records, sizes by product, long term lists, replies paid once, unsplit marks."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from catalogloom.functions import hashing as H
 from catalogloom.operators import completions as L
 from catalogloom.operators import deliverables as D
+from catalogloom.functions import pieces as P
 from catalogloom.operators import policy as S
 from catalogloom.operators import requests as Q
 from catalogloom.operators import review as W
@@ -136,3 +139,32 @@ def test_only_a_missing_table_counts_as_empty(spark, tmp_path):
 
 def test_changed_default_language_changes_the_key():
     assert {"default_language", "schema_version"} <= set(catalog.PROFILE)
+
+
+def test_a_long_term_changes_nothing(spark):
+    words = [f"word{k}" for k in range(400)]
+    long_term = " ".join(words[100:300])
+    docs = spark.createDataFrame([(1, " ".join(words).upper()), (2, " ".join(words[101:])), (3, "no word100 here")], "id int, text string")
+    terms = spark.createDataFrame([(long_term,), ("word100",), ("word7 word8",)], "term string")
+    assert sorted(tuple(r) for r in S.scan_term_table(docs, terms, "text", "id").collect()) == sorted([(1, long_term), (1, "word100"), (1, "word7 word8"), (3, "word100")])
+    few = S.scan_term_table(docs, terms, "text", "id", phrases=False).collect()
+    assert sorted(map(tuple, few)) == [(1, "word100"), (3, "word100")]
+    assert S.scan_term_table(docs, terms.filter("term = ''"), "text", "id").collect() == []
+
+
+def test_pieces_of_long_texts_are_those_of_one_strip():
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab_é1.,&- \n\t") for _ in range(rng.randint(0, 400))) for _ in range(40)] + ["", " \n ", "x" * 300, "a  \n b"]
+    whole, strips = P.pieces_of(texts), P.pieces_of(texts, 16)
+    for n in (1, 2, 5):
+        assert [list(c) for c in whole.names(n)] == [list(c) for c in strips.names(n)]
+    for n in (1, 3):
+        want = set()
+        for t, text in enumerate(texts):
+            spans = [m.span() for m in re.finditer(r"\w+|[^\w \t\n]", text)]
+            for k in range(len(spans) - n + 1):
+                start, end = spans[k][0], spans[k + n - 1][1]
+                if not re.match(r"\w", text[start - 1 : start]) and not re.match(r"\w", text[end : end + 1]):
+                    want.add((t, text[start:end]))
+        text, a, b = P.distinct_names(whole, n)
+        assert len(set(zip(text.tolist(), a.tolist(), b.tolist()))) == len(text) == len(want)

@@ -1,5 +1,6 @@
 """Operators on small frames: empty groups, NULLs, repeats, and one key that holds most rows."""
 
+import hashlib
 import random
 import re
 import struct
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalogloom.functions import hashing as H
 from catalogloom.operators import completions as L
 from catalogloom.operators import deliverables as D
 from catalogloom.operators import images as G
@@ -198,7 +200,7 @@ def test_cumulative_cost_of_a_hot_node(spark):
     rng = random.Random(3)
     data = [("hot" if i % 3 else (f"p{i % 50}" if i % 50 else None), "s", i, rng.randint(1, 9)) for i in range(3000)]
     df = spark.createDataFrame(data, "product_id string, stage string, run int, cost int").withColumn("cost", F.col("cost").cast("double"))
-    out = I.cumulative_cost(df, ["product_id", "stage"], ["run"], "cost", F.floor(F.col("run") / 100))
+    out = I.cumulative_cost(df, ["product_id", "stage"], ["run"], "cost", range_rows=200)
     total, want = {}, {}
     for product, _, run, cost in data:
         total[product] = total.get(product, 0) + cost
@@ -319,3 +321,53 @@ def test_generate_images_reports_errors(spark):
     got = {r.prompt: (r.content, r.call_error) for r in L.generate_images(df, Painter).collect()}
     assert got == {"ok": (bytearray(b"ok2x2"), None), "bad": (None, "KeyError('no key')")}
     assert len(L.placeholder_images(df).first().content) == 68
+
+
+def test_cumulative_cost_of_one_instant(spark):
+    rows = spark.createDataFrame([("p", "s", 7, 1.0, k) for k in range(2000)] + [(None, "s", 7, 2.0, 0)], "product_id string, stage string, ts int, cost double, run int")
+    found = I.cumulative_cost(rows, ["product_id", "stage"], ["ts"], "cost", range_rows=100).collect()
+    assert sorted(r.running_cost for r in found if r.product_id) == [float(k + 1) for k in range(2000)]
+    assert [r.running_cost for r in found if r.product_id is None] == [2.0]
+    parts = I.in_ranges(rows, ["product_id", "stage"], ["ts"], 100).groupBy("_part").count().collect()
+    assert len(parts) > 10 and max(r["count"] for r in parts) < 500
+
+
+def test_ordered_digest(spark):
+    def digest(files):
+        return {r.k: (r.files, r.digest) for r in H.ordered_digest(spark.createDataFrame(files, "k string, path string, sha string"), ["k"], "path", "sha", fan=4).collect()}
+
+    def tree(files):
+        level = [sha(f"{p}|{c}") for p, c in sorted(files)]
+        while len(level) > 1:
+            level = [sha("|".join(level[i : i + 4])) for i in range(0, len(level), 4)]
+        return len(files), level[0]
+
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    files = [("a", f"f{i:03}", f"c{i}") for i in range(70)] + [("b", "x", "1")] + [(None, "y", "2"), (None, "z", None)]
+    got = digest(files)
+    assert got["a"] == tree([f[1:] for f in files[:70]]) and got["b"] == tree([("x", "1")]) and got[None] == tree([("y", "2"), ("z", "")])
+    assert digest(files[::-1]) == got
+    other = [("a", "f000", "c1"), ("a", "f001", "c0"), *files[2:]]  # two contents change places
+    assert digest(other)["a"] != got["a"] and digest(other)["b"] == got["b"]
+
+
+def test_review_items_follow_the_single_checks(spark):
+    rows = [
+        ("a", 2, [("p1", 5), ("p2", None), ("p3", 5000)], 1, [("m", "en", "t", ["1"] * 6), ("m", "es", "", ["1"]), (None, None, None, None)]),
+        ("b", 0, [], 0, []),
+        ("c", 1, [("p1", 1000)], 2, [("m", "en", "t", ["1"] * 5)]),
+    ]
+    df = spark.createDataFrame(rows, "product_id string, pages int, assets array<struct<path:string,length:long>>, packages int, listings array<struct<marketplace:string,language:string,title:string,tags:array<string>>>")
+    items = W.review_items(df, ["product_id"], *[F.col(c) for c in ("pages", "assets", "packages", "listings")])
+    assets = df.select("product_id", F.explode("assets").alias("a")).select("product_id", "a.*")
+    listings = df.select("product_id", F.explode("listings").alias("l")).select("product_id", "l.*")
+    packages = df.where("packages > 0").select("product_id")
+    stats = assets.where("length is not null")
+    single = W.union_issues(
+        W.check_assets(assets.drop("length"), stats, on=["product_id", "path"]), W.check_packages(df, packages), K.check_listings(listings)
+    )
+    assert sorted(map(tuple, W.issues_of(items).collect())) == sorted(map(tuple, single.collect()))
+    report = {r.product_id: (r.verdict, r.concept_pages, r.assets_generated, r.packages_built, r.listings_count) for r in W.report_of(items).collect()}
+    assert report == {"a": ("fail", 2, 3, 1, 3), "b": ("fail", 0, 0, 0, 0), "c": ("pass", 1, 1, 2, 1)}
