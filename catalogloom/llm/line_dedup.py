@@ -1,26 +1,29 @@
 """Line dedup by a tree of line templates.
 
-A line goes down a tree of fixed depth: its number of tokens, then its leading tokens. Tokens that
-hold digits or look like addresses are variable fields and become "<*>". Beyond the leading tokens a
-line also has generalised templates, in which every other token, or the last third, is a variable
-field. A template recurs if it is met in enough documents that are otherwise different; its lines are
-dropped wherever they stand. Copies of one document do not make its lines recur: each group of near
-copies counts once, whatever its size, and does not keep a line that other documents hold.
+A line goes down a tree of fixed depth: its number of tokens, then its leading tokens. Tokens that hold
+digits or look like addresses are variable fields and become "<*>". A leaf whose lines differ is
+generalised: lines that agree but for one run of tokens share the template in which this run is a
+variable field. Lines of a leaf that differ in more places have no template in common. A template recurs
+if it is met in enough documents that are otherwise different; its lines are dropped wherever they
+stand. Copies of one document do not make its lines recur: each group of near copies counts once,
+whatever its size, and does not keep a line that other documents hold.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Arrow, stored, temporary, text_of
-from .jaccard_join import join_documents, smallest_shingles  # noqa: F401  (the tests' brute force takes it from here)
+from .jaccard_join import join_documents, mixed
 
 FIELD = "<*>"
 _VARIABLE = re.compile(r"\d|@|://|www\.")
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def masked(line: str) -> list[str]:
@@ -30,53 +33,94 @@ def masked(line: str) -> list[str]:
     return [FIELD if _VARIABLE.search(t) else t for t in line.split()]
 
 
-def templates(line: str, depth: int, least_fixed: int) -> list[str]:
-    """The line's template and its generalised ones; none for a blank line.
-
-    A generalised template keeps the leading ``depth`` tokens and at least ``least_fixed`` in all. A line
-    of fields alone is its own template: it recurs as it stands only, and different ones do not meet.
-    """
-    tokens = masked(line)
-    n = len(tokens)
-    if not n:
-        return []
-    if tokens.count(FIELD) == n:
-        return [f"{n} as is {' '.join(line.split())}"]
-    out = [f"{n} {' '.join(tokens)}"]
-    if n < least_fixed:
-        return out
-    general = [
-        ("even", slice(depth + (depth + 1) % 2, n, 2)),
-        ("odd", slice(depth + depth % 2, n, 2)),
-        ("head", slice(max(depth, -(-2 * n // 3)), n, 1)),
-    ]
-    for name, gone in general:
-        kept = tokens.copy()
-        kept[gone] = [FIELD] * len(range(*gone.indices(n)))
-        if n - kept.count(FIELD) >= least_fixed:
-            out.append(f"{n} {name} {' '.join(kept)}")
-    return out
+def as_is(line: str, tokens: list[str]) -> str:
+    """The template of a line that is not generalised. One of fields alone recurs only as it stands."""
+    if tokens.count(FIELD) == len(tokens):
+        return f"{len(tokens)} as is {' '.join(line.split())}"
+    return f"{len(tokens)} {' '.join(tokens)}"
 
 
 def _name(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def _lines(rows: DataFrame, depth: int, least_fixed: int) -> DataFrame:
-    """(text_key, line, names) of every line that has a template."""
+def run_names(tokens: list[str], depth: int, longest: int, hashes: dict[str, int]) -> np.ndarray:
+    """Names of the templates of a line in which one run of up to ``longest`` tokens is a field.
+
+    The leading ``depth`` tokens stay, and at least half of all tokens are neither in the run nor fields.
+    """
+    n = len(tokens)
+    codes = np.array([hashes[t] for t in tokens], np.uint64)
+    powers = np.full(n, _STEP, np.uint64)
+    powers[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * np.cumprod(powers, dtype=np.uint64), dtype=np.uint64)])
+    plain = np.concatenate([[0], np.cumsum([t != FIELD for t in tokens])])
+    out = []
+    for size in range(1, longest + 1):
+        start = np.arange(depth, n - size + 1)
+        fixed = plain[n] - (plain[start + size] - plain[start])
+        start = start[2 * fixed >= n]
+        rest = sums[n] - (sums[start + size] - sums[start])
+        place = mixed((np.uint64(n) << np.uint64(32)) + (start.astype(np.uint64) << np.uint64(8)) + np.uint64(size))
+        out.append(mixed(rest ^ place))
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+
+
+def _lines(rows: DataFrame, depth: int) -> DataFrame:
+    """(text_key, check, line, name, leaf) of every line that is not blank; no leaf where no run fits."""
 
     def run(batches: Arrow) -> Arrow:
         for batch in batches:
             out: list[tuple] = []
-            for key, text in zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist()):
+            for key, check, text in zip(*(batch.column(c).to_pylist() for c in ("text_key", "check", "text"))):
                 for number, line in enumerate(text.split("\n")):
-                    if names := [_name(t) for t in templates(line, depth, least_fixed)]:
-                        out.append((key, number, names))
-            columns = list(zip(*out)) or [()] * 3
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["text_key", "line", "names"])
+                    if tokens := masked(line):
+                        leaf = _name(f"{len(tokens)} {' '.join(tokens[:depth])}") if len(tokens) > depth else None
+                        out.append((key, check, number, _name(as_is(line, tokens)), leaf))
+            columns = list(zip(*out)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["text_key", "check", "line", "name", "leaf"])
+
+    schema = "text_key long, check long, line int, name long, leaf long"
+    return rows.select("text_key", "check", "text").mapInArrow(run, schema)
 
-    return rows.select("text_key", "text").mapInArrow(run, "text_key long, line int, names array<long>")
+
+def _generalised(texts: DataFrame, depth: int, longest: int) -> DataFrame:
+    """(text_key, check, line, names) of the lines of (text_key, check, text, chosen) that are named in chosen."""
+
+    def run(batches: Arrow) -> Arrow:
+        hashes: dict[str, int] = {}
+        for batch in batches:
+            out: list[tuple] = []
+            for key, check, text, chosen in zip(*(batch.column(c).to_pylist() for c in ("text_key", "check", "text", "chosen"))):
+                lines = text.split("\n")
+                for number in chosen:
+                    tokens = masked(lines[number])
+                    if len(hashes) > 1 << 18:
+                        hashes.clear()
+                    for t in tokens:
+                        if t not in hashes:
+                            hashes[t] = xxhash.xxh3_64_intdigest(t)
+                    if len(names := run_names(tokens, depth, longest, hashes)):
+                        out.append((key, check, number, names))
+            columns = list(zip(*out)) or [()] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["text_key", "check", "line", "names"])
+
+    schema = "text_key long, check long, line int, names array<long>"
+    return texts.select("text_key", "check", "text", "chosen").mapInArrow(run, schema)
+
+
+def _in_mixed_leaves(lines: DataFrame, rows: DataFrame, least_docs: int) -> DataFrame:
+    """(text_key, check, text, chosen): texts with their lines in leaves that hold different lines of enough texts.
+
+    Elsewhere a generalised template can hold no more than the line itself. Each text comes once.
+    """
+    leaves = lines.where("leaf is not null").select("leaf", "text_key", "name").distinct()
+    mixed_ = leaves.groupBy("leaf").agg(F.count("*").alias("n"), F.min("name").alias("low"), F.max("name").alias("high"))
+    mixed_ = stored(mixed_.where((F.col("n") >= least_docs) & (F.col("low") < F.col("high"))).select("leaf"))
+    chosen = lines.join(mixed_, "leaf", "left_semi").groupBy("text_key", "check").agg(F.collect_set("line").alias("chosen"))
+    return rows.join(stored(chosen), ["text_key", "check"]).dropDuplicates(["text_key", "check"])
 
 
 def _kin(texts: DataFrame) -> DataFrame:
@@ -85,13 +129,12 @@ def _kin(texts: DataFrame) -> DataFrame:
     return joined.where("n_links > 0").select("text_key", F.col("component_id").alias("kin"))
 
 
-def recurring(lines: DataFrame, rows: DataFrame, least_docs: int) -> DataFrame:
-    """(name): templates met in ``least_docs`` documents or more, near copies counted as one.
+def recurring(met: DataFrame, rows: DataFrame, least_docs: int) -> DataFrame:
+    """(name): templates of (name, text_key) met in ``least_docs`` documents or more, near copies counted as one.
 
     Near copies are the components of Jaccard similarity 0.8 among the texts that hold a template of
     ``least_docs`` different texts. Other texts decide nothing and are not compared.
     """
-    met = stored(lines.select(F.explode("names").alias("name"), "text_key").distinct())
     often = met.groupBy("name").agg(F.count("*").alias("texts")).where(F.col("texts") >= least_docs).select("name")
     met = stored(met.join(stored(often), "name", "left_semi"))
     texts = rows.select("text_key", "text").join(met.select("text_key").distinct(), "text_key", "left_semi")
@@ -103,30 +146,36 @@ def recurring(lines: DataFrame, rows: DataFrame, least_docs: int) -> DataFrame:
 def drop_lines(
     docs: DataFrame,
     least_docs: int = 5,
-    depth: int = 3,
-    least_fixed: int = 8,
+    depth: int = 2,
+    longest: int = 3,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """All columns of ``docs``, the text without lines of recurring templates, and (n_lines, n_dropped).
 
-    Lines are what line feeds part; the others keep their order and their bytes. Blank lines
-    are never dropped, lines of variable fields alone only as they stand. A template counts once per group of near copies.
+    Lines are what line feeds part; the others keep their order and their bytes. Blank lines are never
+    dropped, lines of variable fields alone only as they stand. A template counts once per group of near
+    copies. Beyond fields of digits and addresses, one run of up to ``longest`` tokens after the leading
+    ``depth`` may vary; half of the tokens must not.
 
     Null text stays null, without lines. Rows repeating an id or a text are cleaned alike, row by row;
     a null id is passed on; an empty table gives an empty one. Input columns called n_lines or
-    n_dropped are replaced.
+    n_dropped are replaced. Texts go by two 64-bit hashes.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    key = F.xxhash64(text_of(text_col))
-    rows = docs.select(key.alias("text_key"), text_of(text_col).alias("text"))
+    text = text_of(text_col)
+    keys = [F.xxhash64(text).alias("text_key"), F.xxhash64(F.lit(1), text).alias("check")]
+    rows = docs.select(*keys, text.alias("text"))
     with temporary():
-        lines = stored(_lines(rows, depth, least_fixed))
-        names = stored(recurring(lines, rows, least_docs))
-        hit = lines.select("text_key", "line", F.explode("names").alias("name")).distinct().join(names, "name", "left_semi")
-        gone = stored(hit.groupBy("text_key").agg(F.collect_set("line").alias("gone")), outlive=True)
+        lines = stored(_lines(rows, depth))
+        general = stored(_generalised(_in_mixed_leaves(lines, rows, least_docs), depth, longest))
+        general = general.select("text_key", "check", "line", F.explode("names").alias("name"))
+        every = lines.select(*general.columns).unionByName(general)
+        names = stored(recurring(stored(every.select("name", "text_key").distinct()), rows, least_docs))
+        hit = every.join(names, "name", "left_semi")
+        gone = stored(hit.groupBy("text_key", "check").agg(F.collect_set("line").alias("gone")), outlive=True)
     # The row travels as one column, so that no name of its own clashes with a helper's.
-    joined = docs.select(F.struct(*kept).alias("row"), key.alias("text_key")).join(gone.hint("merge"), "text_key", "left")
+    joined = docs.select(F.struct(*kept).alias("row"), *keys).join(gone.hint("merge"), ["text_key", "check"], "left")
     return _rebuilt(joined, docs.select(*kept), text_col)
 
 
