@@ -73,16 +73,6 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     return out
 
 
-def smallest_shingles(texts: list[str], words: int) -> np.ndarray:
-    """The smallest hash of a run of ``words`` words of each text; of its words, if it has fewer; or 0."""
-    hashed, rolled, first = _rolled(texts, words)
-    out = np.zeros(len(texts), np.uint64)
-    for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-        if b > a:
-            out[k] = rolled[a : b - words + 1].min() if b - a >= words else hashed[a:b].min()
-    return out
-
-
 def signature(shingles: np.ndarray, multipliers: np.ndarray, strip: int = 2048) -> np.ndarray:
     """The smallest hash of the set under each multiplier (all ones for the empty set)."""
     low = np.full(len(multipliers), 0xFFFFFFFF, np.uint64)
@@ -156,13 +146,13 @@ def linked(codes: np.ndarray, edge: np.ndarray, i: np.ndarray, j: np.ndarray, th
 
 
 def _signed(docs: DataFrame, words: int, hashes: int, bands: int, seed: int) -> DataFrame:
-    """(id, set, n, bits, buckets): name and size of each shingle set, its hashes to 8 bits, its bands."""
+    """(id, text_key, set, n, bits, buckets): name and size of each shingle set, its hashes to 8 bits, its bands."""
 
     def run(batches: Arrow) -> Arrow:
         factor = multipliers(hashes, seed)
         mix = multipliers(hashes // bands, seed + 1)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for start, end in by_bytes(texts, 1 << 20):
                 sets = shingle_sets(texts[start:end], words)
                 low = np.stack([signature(s, factor) for s in sets])
@@ -170,16 +160,17 @@ def _signed(docs: DataFrame, words: int, hashes: int, bands: int, seed: int) ->
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(start, end - start),
+                        batch.column(1).slice(start, end - start),
                         pa.array([set_key(s) for s in sets], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([r.tobytes() for r in low.astype(np.uint8)], pa.binary()),
                         pa.array([r.tobytes() for r in band], pa.binary()),
                     ],
-                    ["id", "set", "n", "bits", "buckets"],
+                    ["id", "text_key", "set", "n", "bits", "buckets"],
                 )
 
-    rows = docs.select("id", "text")
-    return rows.mapInArrow(run, "id long, set long, n int, bits binary, buckets binary")
+    rows = docs.select("id", "text_key", "text")
+    return rows.mapInArrow(run, "id long, text_key long, set long, n int, bits binary, buckets binary")
 
 
 def _bytes_matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
@@ -267,25 +258,30 @@ def join_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(id, class_id, n_links, component_id, kept) of every document.
+    """(id, class_id, n_links, component_id, kept, text_key) of every document.
 
     ``class_id`` is the smallest id of the documents with the same shingle set, ``n_links`` how many
     other documents have a Jaccard similarity of ``threshold`` or more, ``component_id`` the smallest
     id reachable by links. A pair exactly at 0.8 is missed by all bands with probability 5e-8 and
-    pruned with less than ``tolerance``; every reported link is exact.
+    pruned with less than ``tolerance``; every reported link is exact. ``kept`` is the row of the smallest
+    id in its component, by its text where several rows have that id; ``text_key`` is the hash of the text.
 
     Texts without words (null, empty, blank) are equal to each other. A text of fewer than ``words``
-    words is a single shingle. Rows repeating an id count as documents of their own; a null id is
-    passed on, and smaller ids come before it. An empty table gives an empty one; other columns are
+    words is a single shingle. Rows repeating an id count as documents of their own, and so do rows
+    without id: they link like others, come after all ids, and give a null where no row has an id. Rows
+    of equal id and text are kept or not alike. An empty table gives an empty one; other columns are
     not read. Classes keep copies together however many there are; groups of any size are dealt out in
     pairs of blocks.
     """
     with temporary():
         least = least_matches(threshold, hashes, step, tolerance)
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+        text = text_of(text_col)
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
         signed = stored(_signed(rows, words, hashes, bands, seed))
+        # Ids in order, rows without id last; the text tells rows of one id apart.
+        place = F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("text_key").alias("text_key"))
         classes = signed.groupBy("set").agg(
-            F.min("id").alias("first"), F.count("*").alias("copies"), F.any_value("n").alias("n"),
+            F.min(place).alias("first"), F.count("*").alias("copies"), F.any_value("n").alias("n"),
             F.any_value("bits").alias("bits"), F.any_value("buckets").alias("buckets"),
         )
         classes = stored(classes.withColumnRenamed("set", "id"))
@@ -298,10 +294,11 @@ def join_documents(
         )
         groups = dealt(keyed, classes.select("id", "bits", "buckets"), F.lit(1), 512)
         close = components(stored(_candidates(together(groups), least, step)))
-        narrow = classes.join(close.select(F.col("node").alias("id"), F.col("component").alias("key")), "id").select("id", "copies", "bits", "key", "first")
-        narrow = narrow.select(F.col("id").alias("set"), "copies", "bits", "key", F.col("first").alias("id"))
-        texts = rows.join(narrow.hint("merge"), "id")
-        texts = texts.select(F.col("set").alias("id"), "copies", "bits", "key", "text")
+        narrow = classes.join(close.select(F.col("node").alias("id"), F.col("component").alias("key")), "id")
+        narrow = narrow.select("id", "copies", "bits", "key", F.col("first.id").alias("of"), F.col("first.text_key").alias("text_key"))
+        rows = rows.select(F.col("id").alias("own"), F.col("text_key").alias("own_key"), "text")
+        texts = rows.join(narrow.hint("merge"), (F.col("own_key") == F.col("text_key")) & F.col("own").eqNullSafe(F.col("of")))
+        texts = texts.select("id", "copies", "bits", "key", "text")
         members = stored(_members(texts, words).dropDuplicates(["id"]))
         groups = dealt(members, members.drop("key"), F.size("shingles"), 100_000)
         found = stored(_verified(together(groups), threshold, least, step))
@@ -312,13 +309,14 @@ def join_documents(
             .join(sets.withColumnRenamed("node", "id"), "id", "left")
             .select("id", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
         )
-        lowest = stats.groupBy("component").agg(F.min("first").alias("component_id"))
-        stats = stats.join(lowest, "component").select(F.col("id").alias("set"), "first", "n_links", "component_id")
-        result = signed.select("id", "set").join(stats, "set").select(
+        lowest = stats.groupBy("component").agg(F.min("first").alias("lowest"))
+        stats = stats.join(lowest, "component").select(F.col("id").alias("set"), "first", "n_links", "lowest")
+        result = signed.select("id", "text_key", "set").join(stats, "set").select(
             F.col("id").alias(id_col),
-            F.col("first").alias("class_id"),
+            F.col("first.id").alias("class_id"),
             F.col("n_links").cast("long").alias("n_links"),
-            "component_id",
-            F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+            F.col("lowest.id").alias("component_id"),
+            (F.col("id").eqNullSafe(F.col("lowest.id")) & (F.col("text_key") == F.col("lowest.text_key"))).alias("kept"),
+            "text_key",
         )
         return stored(result, outlive=True)

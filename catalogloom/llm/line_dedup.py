@@ -125,8 +125,8 @@ def _in_mixed_leaves(lines: DataFrame, rows: DataFrame, least_docs: int) -> Data
 
 def _kin(texts: DataFrame) -> DataFrame:
     """(text_key, kin): the verified group of every one of the different texts that has near copies."""
-    joined = join_documents(texts, id_col="text_key")
-    return joined.where("n_links > 0").select("text_key", F.col("component_id").alias("kin"))
+    joined = join_documents(texts.withColumnRenamed("text_key", "id"), id_col="id")
+    return joined.where("n_links > 0").select(F.col("id").alias("text_key"), F.col("component_id").alias("kin"))
 
 
 def recurring(met: DataFrame, rows: DataFrame, least_docs: int) -> DataFrame:

@@ -64,7 +64,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
+    return jaccard_join.join_documents(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

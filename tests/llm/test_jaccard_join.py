@@ -63,6 +63,21 @@ def test_odd_rows(spark):
     assert jaccard_join.join_documents(documents(spark, [])).collect() == []
 
 
+def test_rows_without_id_link_like_others(spark):
+    base = prose(4, 60)
+    rows = [(None, base), (None, base + " end"), (None, base), (None, "quite another text"), (5, prose(6, 60)), (None, prose(6, 60) + " end"), (7, prose(6, 60))]
+    rows += [(8, prose(9, 60)), (8, prose(9, 60) + " end"), (8, prose(9, 60))]
+    found = {}
+    for r in jaccard_join.join_documents(documents(spark, rows)).collect():
+        found.setdefault((r["doc_id"], r["n_links"], r["class_id"], r["component_id"]), []).append(r["kept"])
+    assert {k: len(v) for k, v in found.items()} == {
+        (None, 2, None, None): 3, (None, 0, None, None): 1, (5, 2, 5, 5): 1, (None, 2, None, 5): 1, (7, 2, 5, 5): 1, (8, 2, 8, 8): 3
+    }
+    assert found[5, 2, 5, 5] == [True] and found[7, 2, 5, 5] == [False] and found[None, 2, None, 5] == [False]
+    # One text of each component is kept, with all rows that repeat it.
+    assert sum(found[None, 2, None, None]) in (1, 2) and sum(found[8, 2, 8, 8]) in (1, 2)
+
+
 def test_hashes_and_pruning():
     a, b = jaccard_join.shingle_sets(["x y z u v w", "x y z u v w"], 5)
     assert (a == b).all() and len(a) == 2
