@@ -62,11 +62,11 @@ def _classes() -> np.ndarray:
     return kept("codepoint classes", make)
 
 
-def _scan(functions: np.ndarray, width: int = 32) -> np.ndarray:
-    """The running composition of ``functions`` (n, states), applied to the start state: (n,)."""
+def _scan(functions: np.ndarray, start: int = _START, width: int = 32) -> np.ndarray:
+    """The running composition of ``functions`` (n, states), applied to the state ``start``: (n,)."""
     n, states = functions.shape
     if n <= width:
-        out, state = np.empty(n, np.uint8), _START
+        out, state = np.empty(n, np.uint8), start
         for i in range(n):
             state = out[i] = functions[i, state]
         return out
@@ -76,22 +76,34 @@ def _scan(functions: np.ndarray, width: int = 32) -> np.ndarray:
     padded = padded.reshape(blocks, width, states)
     for j in range(1, width):
         padded[:, j] = np.take_along_axis(padded[:, j], padded[:, j - 1].astype(np.intp), axis=1)
-    carry = np.concatenate([[_START], _scan(np.ascontiguousarray(padded[:, -1]), width)[:-1]]).astype(np.intp)
+    carry = np.concatenate([[start], _scan(np.ascontiguousarray(padded[:, -1]), start, width)[:-1]]).astype(np.intp)
     return np.take_along_axis(padded, carry[:, None, None], axis=2).reshape(-1)[:n]
 
 
-def piece_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """True where a piece begins in ``codes``, texts laid end to end; ``first`` marks their beginnings."""
-    n = len(codes)
-    if not n:
-        return np.zeros(0, bool)
+def piece_starts(codes: np.ndarray, first: np.ndarray, strip: int = 1 << 17) -> np.ndarray:
+    """True where a piece begins in ``codes``, texts laid end to end; ``first`` marks their beginnings.
+
+    Codepoints are scanned in strips: the state goes from one to the next, and a strip sees the two
+    codepoints after it. A text of any length takes a byte per codepoint beside one strip.
+    """
+    out, state = np.zeros(len(codes), bool), _START
+    for low in range(0, len(codes), strip):
+        out[low : low + strip], state = _strip_starts(codes[low : low + strip + 2], first[low : low + strip + 2], strip, state)
+    return out
+
+
+def _strip_starts(codes: np.ndarray, first: np.ndarray, strip: int, state: int) -> tuple[np.ndarray, int]:
+    """``piece_starts`` of the leading ``strip`` codes, and the state after them."""
+    m = len(codes)
+    n = min(m, strip)
     kind = _classes()[codes]
-    ahead = np.zeros((2, n), np.uint32)  # the next two codepoints of the same text, else 0
-    follows = np.zeros(n, bool)  # the next codepoint of the same text is no white space
+    ahead = np.zeros((2, m), np.uint32)  # the next two codepoints of the same text, else 0
+    follows = np.zeros(m, bool)  # the next codepoint of the same text is no white space
     inner = ~first[1:]
     ahead[0, :-1] = np.where(inner, codes[1:], 0)
     ahead[1, :-2] = np.where(inner[:-1] & inner[1:], codes[2:], 0)
     follows[:-1] = inner & (kind[1:] < SPACE)
+    kind, ahead, follows, codes, first = kind[:n], ahead[:, :n], follows[:n], codes[:n], first[:n]
     symbol = np.choose(kind, [_L, _N, _O, _SPACE_IN, _WHITE_IN]).astype(np.uint8)
     symbol[(kind == SPACE) & follows] = _SPACE_LAST
     symbol[(kind == WHITE) & follows] = _WHITE_LAST
@@ -103,10 +115,9 @@ def piece_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     step, cut = _automaton()
     functions = step[symbol]
     functions[first] = step[symbol[first], _START][:, None]
-    before = np.empty(n, np.uint8)
-    before[0] = _START
-    before[1:] = _scan(functions)[:-1]
-    return cut[symbol, before] | first
+    after = _scan(functions, state)
+    before = np.concatenate([[state], after[:-1]]).astype(np.uint8)
+    return cut[symbol, before] | first, int(after[-1])
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
@@ -241,23 +252,45 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, "id long, ids array<int>, ends array<long>").withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, ids, decoded binary): the bytes of ``ids``, put in place by their ``ends``, a batch at once.
+def _placed(ids: np.ndarray, ends: np.ndarray, vocabulary: tuple, strip: int = 1 << 16) -> np.ndarray:
+    """The bytes of ``ids``, each put before its end; a strip of ids at a time."""
+    blob, begins, sizes = vocabulary
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for low in range(0, len(ids), strip):
+        part, end = ids[low : low + strip], ends[low : low + strip]
+        size = sizes[part]
+        start, stop = int(end[0] - size[0]), int(end[-1])
+        out[start:stop] = blob[np.repeat(begins[part] - (end - size), size) + np.arange(start, stop)]
+    return out
+
+
+def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", batch_bytes: int = 1 << 22) -> DataFrame:
+    """(id, ids, decoded binary): the bytes of ``ids``, put in place by their ``ends``.
 
-    Null ids count as none and give no bytes.
+    Rows of about ``batch_bytes`` are decoded at once, a longer one alone. Null ids count as none and give
+    no bytes.
     """
 
     def run(batches: Arrow) -> Arrow:
-        blob, begins, sizes = _vocabulary(ranks_path)
+        vocabulary = _vocabulary(ranks_path)
         for batch in batches:
-            for row in range(batch.num_rows):
-                ids = np.asarray(batch.column(1)[row].values, np.int64)
-                ends = np.asarray(batch.column(2)[row].values, np.int64)
-                size = sizes[ids]
-                shift = np.repeat(begins[ids] - (ends - size), size)
-                data = blob[shift + np.arange(len(shift))].tobytes() if len(shift) else b""
-                one = batch.slice(row, 1)
-                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.array([data], pa.binary())], ["id", "ids", "decoded"])
+            ids, ends = batch.column(1), batch.column(2)
+            edge = np.concatenate([[0], np.cumsum(np.diff(ids.offsets.to_numpy()))]).astype(np.int64)
+            flat, last = ids.flatten().to_numpy(), ends.flatten().to_numpy()
+            size = np.where(np.diff(edge) > 0, last[np.maximum(edge[1:], 1) - 1] if len(last) else 0, 0).astype(np.int64)
+            total = np.concatenate([[0], np.cumsum(size)])
+            row = 0
+            while row < batch.num_rows:
+                stop = max(row + 1, int(np.searchsorted(total, total[row] + batch_bytes, side="right")) - 1)
+                own = slice(int(edge[row]), int(edge[stop]))
+                # Ends count from the beginning of the row; the rows follow one another.
+                shift = np.repeat(total[row:stop] - total[row], np.diff(edge[row : stop + 1]))
+                data = _placed(flat[own], last[own] + shift, vocabulary)
+                offsets = pa.py_buffer((total[row : stop + 1] - total[row]).astype(np.int32).tobytes())
+                decoded = pa.Array.from_buffers(pa.binary(), stop - row, [None, offsets, pa.py_buffer(data)])
+                some = batch.slice(row, stop - row)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), decoded], ["id", "ids", "decoded"])
+                row = stop
 
     rows = encoded.select(
         F.col(id_col).alias("id"),

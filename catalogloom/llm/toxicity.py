@@ -27,9 +27,6 @@ SUBSTITUTES = {
     "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ո": "n", "ӏ": "l", "α": "a", "β": "b", "ε": "e", "ι": "i",
     "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ø": "o", "đ": "d",
 }
-# Phrases in which a term does no harm, beside those learned.
-EXCEPTIONS = ("trash can", "trash bin", "circus clown", "clown fish")
-
 _WORD = re.compile(r"[^\W_]+")
 _EDGE_SIGNS = re.compile(r"[!|]+(?![^\W_])")  # marks at the end of a word are marks
 # Soft hyphens and zero-width signs go.
@@ -142,8 +139,9 @@ def learn(
     least_docs: int = 5,
     least_ratio: float = 8.0,
     least_z: float = 3.0,
-    most_terms: int = 20_000,
+    most_terms: int | None = None,
     most_labels: int = 200_000,
+    exceptions: tuple[str, ...] = (),
     beginnings: tuple[int, ...] = (4, 5, 6, 7, 8),
 ) -> Lexicon:
     """The lexicon of the labelled rows for which ``train_if(id)`` holds, ``most_labels`` of them at most.
@@ -151,7 +149,9 @@ def learn(
     More labels than that are sampled by a hash of the id; scoring is not concerned.
 
     A term is kept if at least ``least_docs`` toxic texts hold it, it is ``least_ratio`` times as
-    likely there and the logarithm of that ratio is ``least_z`` times its standard error; of more than ``most_terms`` the weightiest stay (a lexicon is small by nature).
+    likely there and the logarithm of that ratio is ``least_z`` times its standard error. All such terms stay, and all
+    harmless phrases that are learned: both are bounded by the sample of labelled rows. ``most_terms`` keeps
+    the weightiest only. ``exceptions`` are more phrases in which a term does no harm.
     No labelled rows, or none toxic, give an empty lexicon and a constant score.
     """
     with temporary():
@@ -160,7 +160,7 @@ def learn(
         bad, good = totals.get(1, 0), totals.get(0, 0)
         base = math.log((bad + 0.5) / (good + 0.5))
         if not bad:
-            return Lexicon({}, tuple(EXCEPTIONS), 0.0, base)
+            return Lexicon({}, exceptions, 0.0, base)
 
         def words(batches: Arrow) -> Arrow:
             for batch in batches:
@@ -197,15 +197,14 @@ def learn(
             # The cube of the logarithm: one sure term outweighs a handful of chance finds.
             .withColumn("weight", F.round(ratio * ratio * ratio, 6))
             .orderBy(F.desc("weight"), F.desc("bad"), "word")
-            .limit(most_terms)
-            .collect()
         )
-        lexicon = Lexicon({r["word"]: r["weight"] for r in terms}, tuple(EXCEPTIONS))
-        lexicon = Lexicon(lexicon.terms, (*EXCEPTIONS, *_harmless_phrases(rows, lexicon, good, bad, least_docs)))
+        terms = (terms if most_terms is None else terms.limit(most_terms)).collect()
+        lexicon = Lexicon({r["word"]: r["weight"] for r in terms}, exceptions)
+        lexicon = Lexicon(lexicon.terms, (*exceptions, *_harmless_phrases(rows, lexicon, good, bad, least_docs)))
         return _fitted(rows, lexicon, base)
 
 
-def _harmless_phrases(rows: DataFrame, lexicon: Lexicon, good: int, bad: int, least_docs: int, most: int = 1000) -> list[str]:
+def _harmless_phrases(rows: DataFrame, lexicon: Lexicon, good: int, bad: int, least_docs: int) -> list[str]:
     """Two-word phrases around lexicon terms that are as usual in harmless texts as in toxic ones."""
 
     def phrases(batches: Arrow) -> Arrow:
@@ -224,8 +223,8 @@ def _harmless_phrases(rows: DataFrame, lexicon: Lexicon, good: int, bad: int, le
         F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good")
     )
     likely = (F.col("good") + 0.5) / (good + 1) >= (F.col("bad") + 0.5) / (bad + 1)
-    kept_ = found.where((F.col("good") >= least_docs) & likely).orderBy(F.desc("good"), "phrase").limit(most)
-    return [r["phrase"] for r in kept_.collect()]
+    kept_ = found.where((F.col("good") >= least_docs) & likely).orderBy(F.desc("good"), "phrase")
+    return [r["phrase"] for r in kept_.collect()]  # bounded by the labelled rows
 
 
 def _values(lexicon: Lexicon, texts: list[str], matcher: Matcher) -> np.ndarray:

@@ -37,6 +37,24 @@ def test_long_pieces_and_small_cache():
     assert byte_bpe.encode_texts(texts, byte_bpe.load_ranks(RANKS), {}, most_cached=3) == [lib.encode_ordinary(t) for t in texts]
 
 
+def test_strips_carry_their_state():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab'stmdrevl 12\n\t .,!é漢") for _ in range(rng.randrange(40))) for _ in range(200)]
+    codes = np.array([ord(c) for t in texts for c in t], np.uint32)
+    sizes = np.array([len(t) for t in texts])
+    first = np.zeros(len(codes), bool)
+    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    whole = byte_bpe.piece_starts(codes, first)
+    for strip in (1, 2, 3, 7, 64):
+        assert (byte_bpe.piece_starts(codes, first, strip) == whole).all()
+
+
+def test_rows_are_decoded_in_batches(spark):
+    encoded = byte_bpe.encode(documents(spark, rows()), RANKS)
+    whole = sorted(map(str, byte_bpe.decode(encoded, RANKS).collect()))
+    assert sorted(map(str, byte_bpe.decode(encoded, RANKS, batch_bytes=50).collect())) == whole
+
+
 def test_encode_and_decode(spark):
     lib = library()
     encoded = byte_bpe.encode(documents(spark, rows()), RANKS)

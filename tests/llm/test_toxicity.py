@@ -1,3 +1,7 @@
+import math
+import random
+import re
+import unicodedata
 import zlib
 
 from helpers import documents, prose
@@ -57,3 +61,45 @@ def test_matcher_counts_words_once():
     machine = toxicity.Matcher(toxicity.Lexicon({"bad": 2.0, "ba*": 1.0, "sad": 3.0}, ("not bad",)))
     assert machine.hits("bad bar not bad sad bad".split()) == [(0, "bad", 2.0), (1, "ba*", 1.0), (4, "sad", 3.0), (5, "bad", 2.0)]
     assert toxicity.Matcher(toxicity.Lexicon({}, ())).hits(["a"]) == []
+
+
+def brute_score(text, lexicon):
+    """Word by word: every term tried on it, unless it lies in an exception; the same curve on top."""
+    words = re.findall(r"[^\W_]+", toxicity.fold(text or ""))
+    bare = ["".join(c for c in unicodedata.normalize("NFKD", w) if not "\u0300" <= c <= "\u036f") for w in words]
+    best = [0.0] * len(words)
+    for form in (words, bare):
+        hidden = set()
+        for phrase in lexicon.exceptions:
+            parts = phrase.split(" ")
+            for k in range(len(form) - len(parts) + 1):
+                if form[k : k + len(parts)] == parts:
+                    hidden |= set(range(k, k + len(parts)))
+        for k, word in enumerate(form):
+            for term, weight in lexicon.terms.items():
+                if k not in hidden and (word.startswith(term[:-1]) if term.endswith("*") else word == term):
+                    best[k] = max(best[k], weight)
+    value = (100 * sum(best) / (len(words) + 200)) ** (1 / 3)
+    return 1 / (1 + math.exp(-max(-50, min(50, lexicon.level + lexicon.slope * value)))), sum(b > 0 for b in best)
+
+
+def test_scores_equal_brute_force(spark):
+    _, learned_, _ = learned(spark)
+    rng = random.Random(2)
+    terms = {t: w for t, w in list(learned_.terms.items())[:40]} | {"bad": 2.0, "ba*": 1.0, "nasty": 3.5, "cafe": 1.5}
+    lexicon = toxicity.Lexicon(terms, (*learned_.exceptions[:20], "not bad", "trash can"), learned_.slope, learned_.level)
+    atoms = ["bad", "B4D", "bar", "not", "nasty", "näsTy", "café", "trash", "can", "loser", "bracket", "1d10t", "scumbags", "x", "ІDIОT", "under_bad", *prose(1, 30).split()]
+    rows = [(i, rng.choice([" ", ", ", "\n"]).join(rng.choice(atoms) for _ in range(rng.randrange(40)))) for i in range(300)] + [(900, None), (901, ""), (902, "bad " * 30_000)]
+    found = toxicity.scored(documents(spark, rows), lexicon).collect()
+    for r in found:
+        score, hits = brute_score(dict(rows)[r["doc_id"]], lexicon)
+        assert abs(r["score"] - score) < 1e-12 and r["n_hits"] == hits
+    assert len(found) == len(rows) and len({r["n_hits"] for r in found}) > 5
+
+
+def test_bounds_are_parameters(spark):
+    rows, labels = corpus()
+    docs, marks = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    few = toxicity.learn(docs, marks, toxicity.train_rows, least_ratio=3.0, most_terms=2, exceptions=("kind idiot",))
+    assert len(few.terms) == 2 and "kind idiot" in few.exceptions
+    assert len(toxicity.learn(docs, marks, toxicity.train_rows, least_ratio=3.0).terms) > 2
