@@ -111,16 +111,19 @@ def _generalised(texts: DataFrame, depth: int, longest: int) -> DataFrame:
     return texts.select("text_key", "check", "text", "chosen").mapInArrow(run, schema)
 
 
-def _in_mixed_leaves(lines: DataFrame, rows: DataFrame, least_docs: int) -> DataFrame:
-    """(text_key, check, text, chosen): texts with their lines in leaves that hold different lines of enough texts.
+def _shared(lines: DataFrame, key: str, least_docs: int, differing: bool = False) -> DataFrame:
+    """(key, text_key), each once, of the lines whose key is met in ``least_docs`` different texts.
 
-    Elsewhere a generalised template can hold no more than the line itself. Each text comes once.
+    With ``differing``, only keys that lines of several names have. Keys met too seldom go before texts
+    are told apart; most are met once.
     """
-    leaves = lines.where("leaf is not null").select("leaf", "text_key", "name").distinct()
-    mixed_ = leaves.groupBy("leaf").agg(F.count("*").alias("n"), F.min("name").alias("low"), F.max("name").alias("high"))
-    mixed_ = stored(mixed_.where((F.col("n") >= least_docs) & (F.col("low") < F.col("high"))).select("leaf"))
-    chosen = lines.join(mixed_, "leaf", "left_semi").groupBy("text_key", "check").agg(F.collect_set("line").alias("chosen"))
-    return rows.join(stored(chosen), ["text_key", "check"]).dropDuplicates(["text_key", "check"])
+    low, high = F.min("name").alias("low"), F.max("name").alias("high")
+    often = lines.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"), low, high)
+    often = often.where((F.col("n") >= least_docs) & (F.col("low") < F.col("high") if differing else F.lit(True)))
+    met = lines.select(F.col(key).alias("key"), "text_key").join(stored(often.select("key")), "key", "left_semi").distinct()
+    met = stored(met)
+    enough = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("key")
+    return met.join(stored(enough), "key", "left_semi")
 
 
 def _kin(texts: DataFrame) -> DataFrame:
@@ -129,18 +132,10 @@ def _kin(texts: DataFrame) -> DataFrame:
     return joined.where("n_links > 0").select(F.col("id").alias("text_key"), F.col("component_id").alias("kin"))
 
 
-def recurring(met: DataFrame, rows: DataFrame, least_docs: int) -> DataFrame:
-    """(name): templates of (name, text_key) met in ``least_docs`` documents or more, near copies counted as one.
-
-    Near copies are the components of Jaccard similarity 0.8 among the texts that hold a template of
-    ``least_docs`` different texts. Other texts decide nothing and are not compared.
-    """
-    often = met.groupBy("name").agg(F.count("*").alias("texts")).where(F.col("texts") >= least_docs).select("name")
-    met = stored(met.join(stored(often), "name", "left_semi"))
-    texts = rows.select("text_key", "text").join(met.select("text_key").distinct(), "text_key", "left_semi")
-    kin = _kin(stored(texts.dropDuplicates(["text_key"])))
-    group = met.join(kin, "text_key", "left").select("name", F.coalesce("kin", "text_key").alias("kin")).distinct()
-    return group.groupBy("name").agg(F.count("*").alias("groups")).where(F.col("groups") >= least_docs).select("name")
+def _recurring(met: DataFrame, kin: DataFrame, least_docs: int) -> DataFrame:
+    """(key): keys of (key, text_key) met in ``least_docs`` documents or more, near copies counted as one."""
+    group = met.join(kin, "text_key", "left").select("key", F.coalesce("kin", "text_key").alias("kin")).distinct()
+    return group.groupBy("key").agg(F.count("*").alias("groups")).where(F.col("groups") >= least_docs).select("key")
 
 
 def drop_lines(
@@ -154,9 +149,12 @@ def drop_lines(
     """All columns of ``docs``, the text without lines of recurring templates, and (n_lines, n_dropped).
 
     Lines are what line feeds part; the others keep their order and their bytes. Blank lines are never
-    dropped, lines of variable fields alone only as they stand. A template counts once per group of near
-    copies. Beyond fields of digits and addresses, one run of up to ``longest`` tokens after the leading
-    ``depth`` may vary; half of the tokens must not.
+    dropped, lines of variable fields alone only as they stand. Beyond fields of digits and addresses, one
+    run of up to ``longest`` tokens after the leading ``depth`` may vary; half of the tokens must not.
+
+    A template recurs in ``least_docs`` documents, each group of near copies counting as one: a component
+    of Jaccard similarity 0.8 among the texts with a line that ``least_docs`` texts hold as it is, or with
+    one in a leaf of so many texts whose lines differ. Other texts decide nothing and are not compared.
 
     Null text stays null, without lines. Rows repeating an id or a text are cleaned alike, row by row;
     a null id is passed on; an empty table gives an empty one. Input columns called n_lines or
@@ -168,11 +166,19 @@ def drop_lines(
     rows = docs.select(*keys, text.alias("text"))
     with temporary():
         lines = stored(_lines(rows, depth))
-        general = stored(_generalised(_in_mixed_leaves(lines, rows, least_docs), depth, longest))
-        general = general.select("text_key", "check", "line", F.explode("names").alias("name"))
-        every = lines.select(*general.columns).unionByName(general)
-        names = stored(recurring(stored(every.select("name", "text_key").distinct()), rows, least_docs))
-        hit = every.join(names, "name", "left_semi")
+        exact, leaves = stored(_shared(lines, "name", least_docs)), stored(_shared(lines, "leaf", least_docs, differing=True))
+        compared = exact.select("text_key").unionByName(leaves.select("text_key")).distinct()
+        texts = rows.select("text_key", "text").join(compared, "text_key", "left_semi").dropDuplicates(["text_key"])
+        kin = _kin(stored(texts))
+        exact = stored(_recurring(exact, kin, least_docs))
+        # Elsewhere a generalised template can hold no more than the line itself.
+        leaves = stored(_recurring(leaves, kin, least_docs).withColumnRenamed("key", "leaf"))
+        chosen = lines.join(leaves, "leaf", "left_semi").groupBy("text_key", "check").agg(F.collect_set("line").alias("chosen"))
+        texts = rows.join(stored(chosen), ["text_key", "check"]).dropDuplicates(["text_key", "check"])
+        general = stored(_generalised(texts, depth, longest)).select("text_key", "check", "line", F.explode("names").alias("name"))
+        often = _recurring(_shared(general, "name", least_docs), kin, least_docs)
+        hit = lines.select(*general.columns).join(exact.withColumnRenamed("key", "name"), "name", "left_semi")
+        hit = hit.unionByName(general.join(stored(often).withColumnRenamed("key", "name"), "name", "left_semi"))
         gone = stored(hit.groupBy("text_key", "check").agg(F.collect_set("line").alias("gone")), outlive=True)
     # The row travels as one column, so that no name of its own clashes with a helper's.
     joined = docs.select(F.struct(*kept).alias("row"), *keys).join(gone.hint("merge"), ["text_key", "check"], "left")

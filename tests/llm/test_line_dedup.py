@@ -37,7 +37,16 @@ def brute(rows, least_docs=5, depth=2, longest=3):
             for name in brute_templates(line, depth, longest):
                 met.setdefault(name, set()).add(k)
     met = {name: held for name, held in met.items() if len(held) >= least_docs}
-    candidates = sorted(set().union(*met.values())) if met else []
+    leaves = {}
+    for k, text in enumerate(texts):
+        for line in text.split("\n"):
+            if len(tokens := line.split()) > depth:
+                shown = brute_templates(line, depth, 0)[0]
+                head = ["<*>" if re.search(r"[0-9]|@|://|www\.", t) else t for t in tokens[:depth]]
+                leaves.setdefault((len(tokens), *head), set()).add((k, shown))
+    mixed = [{k for k, _ in held} for held in leaves.values() if len({shown for _, shown in held}) > 1]
+    exact = [held for name, held in met.items() if "<run>" not in name]
+    candidates = sorted(set().union(*exact, *(held for held in mixed if len(held) >= least_docs)))
     sets = {k: shingles(texts[k]) for k in candidates}
     near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     kin = reachable(candidates, [(a, b) for a in candidates for b in candidates if a < b and near(a, b)])
