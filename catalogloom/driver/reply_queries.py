@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash
@@ -11,6 +13,7 @@ from ..operators import images as G
 from ..operators import policy as S
 from ..operators import products as P
 from ..operators.incremental import pending_files
+from ..session import shared_folder
 from .base import Query, table
 
 
@@ -151,6 +154,45 @@ select conv_id, attempt, role, text from (
   from conversations where role = 'assistant' and turn + 1 <= 2) where n = 1"""
 
 
+def retry_parse(spark, d):
+    """Each conversation as a prompt; its first two assistant turns are the replies of the two rounds.
+
+    A reply is a JSON object around the text, or the bare text where its length is even.
+    """
+    talk = table(spark, d, "conversations")
+    said = talk.filter(F.col("role") == "assistant").select("conv_id", F.struct("turn", "text").alias("said"))
+    first = said.groupBy("conv_id").agg(F.min("said").alias("said"))  # on the mappers first, however long a conversation is
+    later = said.join(first.withColumnRenamed("said", "first"), "conv_id").filter(F.col("said") > F.col("first"))
+    second = later.groupBy("conv_id").agg(F.min("said").alias("said"))
+    pairs = first.withColumn("attempt", F.lit(1)).unionByName(second.withColumn("attempt", F.lit(2)))
+    reply = F.when(F.length("said.text") % 2 == 0, F.col("said.text")).otherwise(F.to_json(F.struct(F.col("said.text").alias("subtitle"))))
+    usage = F.concat(F.lit('{"prompt_eval_count":'), F.length("said.text"), F.lit("}"))
+    replies = pairs.select("conv_id", "attempt", reply.alias("content"), usage.alias("raw"))
+    prompts = talk.select("conv_id").distinct().withColumns({"system": F.lit("answer"), "user": F.col("conv_id").cast("string")})
+
+    def complete(asked):
+        told = asked.join(replies, ["conv_id", "attempt"], "left")
+        return told.withColumn("call_error", F.when(F.col("content").isNull(), F.lit("no such turn")))
+
+    folder = f"{shared_folder(spark)}/replies-{uuid.uuid4().hex}"
+    accepted, failed, cost = L.retry_parse(prompts, complete, L.parse_concept, folder, ("conv_id",))
+    good = accepted.select("conv_id", F.concat(F.lit("attempt "), "attempt").alias("outcome"), F.sha2("subtitle", 256).alias("subtitle_hash"))
+    bad = failed.select("conv_id", F.col("error").alias("outcome"), F.lit("").alias("subtitle_hash"))
+    return good.unionByName(bad).join(cost, "conv_id").withColumn("cost", F.round("cost", 9))
+
+
+RETRY_PARSE = """
+with a as (select conv_id, text, row_number() over (partition by conv_id order by turn, text) as n from conversations where role = 'assistant'),
+p as (select c.conv_id, x.text as one, y.text as two from (select distinct conv_id from conversations) c
+  left join a x on x.conv_id = c.conv_id and x.n = 1 left join a y on y.conv_id = c.conv_id and y.n = 2)
+select conv_id,
+  case when one is null then 'no such turn' when length(one) % 2 = 1 then 'attempt 1' when two is null then 'no such turn'
+       when length(two) % 2 = 1 then 'attempt 2' else 'ParseError: invalid json' end as outcome,
+  case when length(one) % 2 = 1 then sha256(one) when length(two) % 2 = 1 then sha256(two) else '' end as subtitle_hash,
+  round((coalesce(length(one), 0) + case when length(one) % 2 = 0 then coalesce(length(two), 0) else 0 end) * 2e-8::double, 9) as cost
+from p"""
+
+
 def estimate_cost(spark, d):
     raw = F.concat(
         F.lit('{"prompt_eval_count":'), F.get_json_object("props", "$.k"),
@@ -344,6 +386,7 @@ QUERIES = {
     "build_messages": Query(build_messages, BUILD_MESSAGES),
     "placeholder_completion": Query(placeholder_completion, PLACEHOLDER_COMPLETION),
     "complete_batch": Query(complete_batch, COMPLETE_BATCH),
+    "retry_parse": Query(retry_parse, RETRY_PARSE),
     "first_valid_attempt": Query(first_valid_attempt, FIRST_VALID_ATTEMPT),
     "estimate_cost": Query(estimate_cost, ESTIMATE_COST),
     "scan_banned_terms": Query(scan_banned_terms, SCAN_BANNED_TERMS),

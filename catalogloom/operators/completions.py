@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import string
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -129,28 +131,78 @@ class ImageProvider(Protocol):
     def generate(self, prompt: str, aspect_ratio: str, size: str, quality: str) -> bytes: ...
 
 
-def complete_batch(df: DataFrame, provider: Callable[[], Provider], parallelism: int | None = None) -> DataFrame:
+class Ledger:
+    """Replies paid for, as files in a shared folder: one for each slice of prompts, named by their hash.
+
+    A task commits a slice before it goes on, so a task that is repeated, or a run that is started again,
+    reads what is there and pays for the rest only. A file appears under its name in one step.
+    """
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.files, self.base = fs.FileSystem.from_uri(folder)
+
+    def path(self, prompts: list[tuple[str, str]]) -> str:
+        return f"{self.base}/{hashlib.sha256(json.dumps(prompts).encode()).hexdigest()}.json"
+
+    def read(self, path: str) -> list[tuple] | None:
+        try:
+            with self.files.open_input_stream(path) as held:
+                return [tuple(r) for r in json.loads(held.read())]
+        except FileNotFoundError:
+            return None
+
+    def write(self, path: str, rows: list[tuple]) -> None:
+        draft = f"{path}.{uuid.uuid4().hex}"
+        self.files.create_dir(self.base, recursive=True)
+        with self.files.open_output_stream(draft) as out:
+            out.write(json.dumps(rows).encode())
+        self.files.move(draft, path)
+
+
+def complete_batch(
+    df: DataFrame, provider: Callable[[], Provider], parallelism: int | None = None, ledger: str | None = None, slice_rows: int = 16
+) -> DataFrame:
     """One call per row of (…, system, user) through a client built once per partition.
 
     Adds content, raw and call_error. A failing call fills call_error and is not tried again here.
     Row batches stream through, so memory holds one Arrow batch whatever the partition size. The
     number of partitions bounds the number of concurrent clients; ``parallelism`` sets it, as a small
     table of prompts otherwise ends in few partitions.
+
+    With ``ledger``, a shared folder, the replies to every ``slice_rows`` prompts are committed there as
+    they come, and a repeated task does not call for them again; slices with a failed call are not kept.
     """
     df = df if parallelism is None else df.repartition(parallelism)
     added = [T.StructField(name, T.StringType()) for name in schemas.COMPLETION]
     schema = T.StructType([*df.schema.fields, *added])
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = provider()
+        client, book = provider(), Ledger(ledger) if ledger else None
+
+        def ask(system: str, user: str) -> tuple:
+            try:
+                content, raw = client.complete(system=system, user=user)
+                return content, json.dumps(raw), None
+            except Exception as error:  # one failed call must not fail its task
+                return None, None, repr(error)
+
+        def paid(prompts: list[tuple[str, str]]) -> list[tuple]:
+            path = book.path(prompts)
+            rows = book.read(path)
+            if rows is None:
+                rows = [ask(*p) for p in prompts]
+                if all(r[2] is None for r in rows):
+                    book.write(path, rows)
+            return rows
+
         for batch in batches:
-            rows = []
-            for system, user in zip(batch["system"], batch["user"]):
-                try:
-                    content, raw = client.complete(system=system, user=user)
-                    rows.append((content, json.dumps(raw), None))
-                except Exception as error:  # one failed call must not fail its task
-                    rows.append((None, None, repr(error)))
+            prompts = list(zip(batch["system"], batch["user"]))
+            if book:
+                rows = [r for at in range(0, len(prompts), slice_rows) for r in paid(prompts[at : at + slice_rows])]
+            else:
+                rows = [ask(*p) for p in prompts]
             out = pd.DataFrame(rows, columns=schemas.COMPLETION, index=batch.index)
             yield pd.concat([batch, out], axis=1)
 
@@ -310,11 +362,12 @@ def retry_parse(
 
 
 def generate_images(
-    df: DataFrame, provider: Callable[[], ImageProvider], parallelism: int | None = None, held: int = 8
+    df: DataFrame, provider: Callable[[], ImageProvider], parallelism: int | None = None, held_bytes: int = 1 << 25
 ) -> DataFrame:
     """One image per row of (…, prompt, aspect_ratio, size, quality); adds content and call_error.
 
-    A task holds ``held`` images at a time; ``parallelism`` sets the number of concurrent clients.
+    A task holds about ``held_bytes`` of images at a time; ``parallelism`` sets the number of concurrent
+    clients.
     """
     df = df if parallelism is None else df.repartition(parallelism)
     added = [T.StructField("content", T.BinaryType()), T.StructField("call_error", T.StringType())]
@@ -322,16 +375,27 @@ def generate_images(
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = provider()
-        for batch in (part.iloc[i : i + held] for part in batches for i in range(0, len(part), held)):
-            images, errors = [], []
-            for row in batch.itertuples(index=False):
+        for batch in batches:
+            images, errors, start, held = [], [], 0, 0
+
+            def full(start: int) -> pd.DataFrame:
+                part = batch.iloc[start : start + len(images)]  # noqa: B023
+                return part.assign(content=pd.Series(images, index=part.index, dtype=object), call_error=errors)  # noqa: B023
+
+            for row in zip(batch["prompt"], batch["aspect_ratio"], batch["size"], batch["quality"]):
                 try:
-                    images.append(client.generate(row.prompt, row.aspect_ratio, row.size, row.quality))
+                    images.append(client.generate(*row))
                     errors.append(None)
                 except Exception as error:  # one failed call must not fail its task
                     images.append(None)
                     errors.append(repr(error))
-            yield batch.assign(content=pd.Series(images, index=batch.index, dtype=object), call_error=errors)
+                held += len(images[-1] or b"")
+                if held >= held_bytes:
+                    yield full(start)
+                    start, held = start + len(images), 0
+                    images, errors = [], []
+            if images:
+                yield full(start)
 
     return df.mapInPandas(draw, schema)
 

@@ -17,8 +17,14 @@ def page_id(pos: Column) -> Column:
 PAGE_KEYS = ["id", "index", "prompt", "title"]
 
 
+def safe_name(name: Column) -> Column:
+    """Whether a text can name a file in a folder: one path component that leads nowhere else."""
+    return F.coalesce(~name.rlike(r"[/\\\x00]|\A\.{0,2}\z"), F.lit(False))
+
+
 def _typed_page(page: Column, pos: Column) -> Column:
-    ident = C.text_field(page["id"], page_id(pos))
+    given = C.text_field(page["id"], page_id(pos))
+    ident = C.Field(given.value, given.ok & safe_name(given.value))
     index = C.int_field(page["index"], pos + F.lit(1))
     prompt = C.text_field(page["prompt"], F.lit(""))
     title = C.text_field(page["title"], ident.value)
@@ -36,7 +42,8 @@ def _typed_page(page: Column, pos: Column) -> Column:
 def type_pages(df: DataFrame, pages: str = "pages") -> DataFrame:
     """Loose page objects to typed ones, in place, plus ``page_error`` naming the first bad field.
 
-    One bad page fails its product, so the check runs over the array before anything is exploded.
+    One bad page fails its product, so the check runs over the array before anything is exploded. Ids
+    name files, so one that holds a path separator or leads elsewhere is bad.
     """
     typed = C.once(df, _typed=F.transform(C.open_items(F.col(pages), PAGE_KEYS), _typed_page))
     bad = F.get(F.filter(F.col("_typed"), lambda p: p["reason"].isNotNull()), F.lit(0))["reason"]

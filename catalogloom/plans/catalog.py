@@ -9,6 +9,8 @@ content of the earlier ones, and because provider calls must not be repeated.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -16,6 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
+from ..functions import contracts as C
 from ..functions.hashing import record_hash
 from ..operators import completions as L
 from ..operators import deliverables as D
@@ -35,9 +38,6 @@ FILES = "product_id string, path string, length bigint, uri string"
 # Name of each stage's prompt version, part of its node key.
 PROMPT_VERSIONS = {stage: f"{stage}-v1" for stage in schemas.STAGES}
 
-# Raise a stage's number when its code changes what it produces.
-CODE_VERSIONS = {stage: "1" for stage in schemas.STAGES}
-
 PROFILE = [
     "pack", "schema_version", "pack_version", "pack_type", "default_language", "pack_languages", "pack_formats",
     "pack_page_count", "image_size",
@@ -162,10 +162,11 @@ RUN_FOLDER = r"^(.*/run=\d+)/"
 
 
 def _pixels(run: Run, folders: list[str]) -> DataFrame:
-    """Decoded images of whole run folders, with product and file path read off their location."""
+    """Decoded images of whole run folders, with their orientation, product and file path read off their location."""
     inside = F.regexp_replace("uri", RUN_FOLDER, "")
-    found = S.read_images(run.spark, [f"{folder}/*/assets" for folder in folders]).withColumnRenamed("path", "uri")
-    return found.withColumns(
+    places = [f"{folder}/*/assets" for folder in folders]
+    found = S.read_images(run.spark, places).join(S.read_orientations(run.spark, places), "path", "left")
+    return found.withColumnRenamed("path", "uri").withColumns(
         {
             "product_id": F.substring_index(inside, "/", 1),
             "path": F.concat(F.lit("processed/"), F.substring_index(inside, "/", -1)),
@@ -195,7 +196,7 @@ def postprocess(run: Run, rows: DataFrame, inputs: dict[str, DataFrame]) -> Data
     if pixels is None:
         cleaned_paths = todo.select("product_id", "path").filter(F.lit(False))
     else:
-        cleaned = settle(G.binarize_images(pixels), run.path("cleaned", f"run={run.number}"))
+        cleaned = settle(G.binarize_images(pixels, orientation="orientation"), run.path("cleaned", f"run={run.number}"))
         settle(S.write_files(cleaned, run.path("images", f"run={run.number}")), run.path("files"), mode="append")
         cleaned_paths = cleaned.select("product_id", "path")
     lost = todo.join(cleaned_paths, ["product_id", "path"], "left_anti")
@@ -285,10 +286,53 @@ STAGES: dict[str, Callable[[Run, DataFrame, dict[str, DataFrame]], DataFrame]] =
     "review": review,
 }
 
+#: Modules that a stage's result depends on, beside its own function.
+PARTS = {
+    "concept": (L, P, C),
+    "assets": (L, P, D),
+    "postprocess": (G, S),
+    "package": (D,),
+    "listing": (L, K, C),
+    "review": (W, K, D),
+}
+
+
+def code_version(stage: str) -> str:
+    """Hash of the code that makes a stage's result, so that changed code runs again."""
+    sources = [inspect.getsource(part) for part in (STAGES[stage], *PARTS[stage])]
+    return hashlib.sha256("\n".join(sources).encode()).hexdigest()
+
+
 # Images are read by these stages without being declared inputs of them; the edge is explicit here.
 HIDDEN_INPUTS = {"package": ["processed"], "review": ["processed"]}
 
 
+def latest_issues(spark: SparkSession, workdir: str) -> DataFrame:
+    """The issues of every product's last review: (product_id, criterion, severity, detail)."""
+    issues = stored(spark, f"{workdir}/issues", "product_id string, criterion string, severity string, detail string, run int")
+    reviews = stored(spark, f"{workdir}/out/{schemas.STAGE_OUTPUT['review']}", "product_id string, error string, run int")
+    last = reviews.filter(F.col("error").isNull()).groupBy("product_id").agg(F.max("run").alias("run"))
+    return issues.join(last, ["product_id", "run"], "left_semi").select("product_id", "criterion", "severity", "detail")
+
+
+def node_table(spark: SparkSession, workdir: str) -> DataFrame:
+    """The current record of every node; one whose output is gone is pending again and has no input hash."""
+    records = S.read_node_state(spark, f"{workdir}/node_runs")
+    held = None
+    for stage, output in schemas.STAGE_OUTPUT.items():
+        rows = stored(spark, f"{workdir}/out/{output}")
+        if rows is not None:
+            there = rows.filter(F.col("error").isNull()).select("product_id", F.lit(stage).alias("stage")).distinct()
+            held = there if held is None else held.unionByName(there)
+    if held is None:
+        held = spark.createDataFrame([], "product_id string, stage string")
+    joined = records.join(held.withColumn("_there", F.lit(True)), ["product_id", "stage"], "left")
+    gone = (F.col("status") == "done") & F.col("_there").isNull()
+    return joined.withColumns(
+        {"status": F.when(gone, "pending").otherwise(F.col("status")), "input_hash": F.when(gone, "").otherwise(F.col("input_hash"))}
+    ).drop("_there")
+
+
 def produce(
     spark: SparkSession,
     products: DataFrame,
@@ -379,7 +423,7 @@ def run_stage(run: Run, stage: str, alive: DataFrame, log_path: str) -> DataFram
     if len(held) < len(declared):  # some input was never produced for anyone
         S.write_run_state(unbound, log_path)
         return spark.createDataFrame([], "product_id string, stage string, decision string")
-    keyed = I.node_hash(bound, declared, CODE_VERSIONS[stage], PROMPT_VERSIONS[stage])
+    keyed = I.node_hash(bound, declared, code_version(stage), PROMPT_VERSIONS[stage])
 
     log = stored(spark, log_path, schemas.NODE_RUNS).filter(F.col("stage") == stage)
     state = I.node_records(S.read_run_log_state(spark, log_path, log)).filter(F.col("stage") == stage)

@@ -194,14 +194,15 @@ def _orientation(content: pd.Series) -> pd.Series:
     return content.map(exif_orientation)
 
 
-def read_orientations(spark: SparkSession, path: str) -> DataFrame:
+def read_orientations(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Path and EXIF orientation of the images that are not upright; most collections have few.
 
     The image source decodes without turning. Join this to ``read_images`` by path where turned
     photographs are to be expected.
     """
     files = spark.read.format("binaryFile").load(path)
-    turned = files.select(plain_path(F.col("path")).alias("path"), _orientation("content").alias("orientation"))
+    head = F.substring("content", 1, 1 << 16)  # the tag stands in the head of a file; no more goes to Python
+    turned = files.select(plain_path(F.col("path")).alias("path"), _orientation(head).alias("orientation"))
     return turned.filter(F.col("orientation") > 1)
 
 

@@ -114,7 +114,7 @@ def test_images_come_a_few_at_a_time(spark):
             return prompt.encode()
 
     rows = spark.createDataFrame([(k, str(k), "1:1", "s", "q") for k in range(50)], "id int, prompt string, aspect_ratio string, size string, quality string")
-    drawn = L.generate_images(rows, Painter, parallelism=3, held=4)
+    drawn = L.generate_images(rows, Painter, parallelism=3, held_bytes=4)
     assert drawn.rdd.getNumPartitions() == 3
     assert {r.id: bytes(r.content) for r in drawn.collect()} == {k: str(k).encode() for k in range(50)}
 
@@ -168,3 +168,49 @@ def test_pieces_of_long_texts_are_those_of_one_strip():
                     want.add((t, text[start:end]))
         text, a, b = P.distinct_names(whole, n)
         assert len(set(zip(text.tolist(), a.tolist(), b.tolist()))) == len(text) == len(want)
+
+
+def test_a_repeated_task_pays_for_nothing_committed(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    class Client:
+        def complete(self, system, user):
+            import uuid
+
+            (calls / uuid.uuid4().hex).write_text(user)
+            if user == "u7" and len(list(calls.iterdir())) < 40:
+                raise RuntimeError("busy")
+            return f"{system}-{user}", {"eval_count": 1}
+
+    prompts = spark.createDataFrame([(k, "s", f"u{k}") for k in range(30)], "id int, system string, user string").coalesce(1)
+    asked = L.complete_batch(prompts, Client, ledger=str(tmp_path / "ledger"), slice_rows=5)
+    first = {r.id: (r.content, r.call_error) for r in asked.collect()}
+    assert first[7] == (None, "RuntimeError('busy')") and first[8] == ("s-u8", None)
+    assert len(list(calls.iterdir())) == 30
+    again = {r.id: (r.content, r.call_error) for r in asked.collect()}  # the slice with the failure alone
+    assert len(list(calls.iterdir())) == 35 and again[8] == first[8]
+    for k in range(5):
+        (calls / f"more{k}").write_text("")
+    assert {r.call_error for r in asked.collect()} == {None}
+    count = len(list(calls.iterdir()))
+    assert {r.id: r.content for r in asked.collect()} == {k: f"s-u{k}" for k in range(30)} and len(list(calls.iterdir())) == count
+
+
+def test_page_ids_that_leave_their_folder_fail(spark):
+    from catalogloom.operators import products as products_
+
+    ids = ["ok", "a.b", "../x", "a/b", "..", ".", "", "a\\b", "x\0y"]
+    rows = spark.createDataFrame([(k, i) for k, i in enumerate(ids)], "k int, id string")
+    pages = rows.select("k", F.array(F.to_variant_object(F.struct("id"))).alias("pages"))
+    found = {r.k: r.page_error for r in products_.type_pages(pages).select("k", "page_error").collect()}
+    assert [found[k] is None for k in range(len(ids))] == [True, True, False, False, False, False, False, False, False]
+    assert found[2] == "invalid page field: id"
+
+
+def test_code_versions_follow_the_source(monkeypatch):
+    before = {stage: catalog.code_version(stage) for stage in catalog.STAGES}
+    assert len(set(before.values())) == len(before)
+    monkeypatch.setattr(catalog.inspect, "getsource", lambda thing, real=catalog.inspect.getsource: real(thing) + ("#" if thing is W else ""))
+    after = {stage: catalog.code_version(stage) for stage in catalog.STAGES}
+    assert [s for s in before if before[s] != after[s]] == ["review"]

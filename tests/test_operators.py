@@ -371,3 +371,38 @@ def test_review_items_follow_the_single_checks(spark):
     assert sorted(map(tuple, W.issues_of(items).collect())) == sorted(map(tuple, single.collect()))
     report = {r.product_id: (r.verdict, r.concept_pages, r.assets_generated, r.packages_built, r.listings_count) for r in W.report_of(items).collect()}
     assert report == {"a": ("fail", 2, 3, 1, 3), "b": ("fail", 0, 0, 0, 0), "c": ("pass", 1, 1, 2, 1)}
+
+
+def test_the_stage_turns_photographs(spark, tmp_path):
+    from catalogloom.plans import catalog
+
+    exif = G._png_chunk(b"eXIf", b"II*\0" + struct.pack("<IHHHII", 8, 1, 0x0112, 3, 1, 6) + b"\0" * 4)
+    for product, name, extra in (("p", "turned", exif), ("p", "upright", b""), ("q", "turned", exif)):
+        folder = tmp_path / "images" / "run=1" / product / "assets"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{name}.png").write_bytes(png([[255, 0], [0, 0], [0, 0]], 0, extra=extra))
+    run = catalog.Run(spark, str(tmp_path), 1, {}, None, None)
+    pixels = catalog._pixels(run, [str(tmp_path / "images" / "run=1")])
+    cleaned = {(r.product_id, r.path): (r.height, r.width) for r in G.binarize_images(pixels, orientation="orientation").collect()}
+    assert cleaned == {("p", "processed/turned.png"): (2, 3), ("p", "processed/upright.png"): (3, 2), ("q", "processed/turned.png"): (2, 3)}
+
+
+def test_issues_and_records_of_a_working_directory(spark, tmp_path):
+    from catalogloom.plans import catalog
+    from catalogloom.sources import tables as T
+
+    def put(rows, schema, path, run):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{path}/run={run}")
+
+    issue = "product_id string, criterion string, severity string, detail string"
+    put([("a", "packages", "error", "old"), ("b", "packages", "error", "kept")], issue, "issues", 1)
+    put([("a", "asset_size", "warning", "new")], issue, "issues", 2)
+    put([("a", None), ("b", None), ("c", None)], "product_id string, error string", "out/review", 1)
+    put([("a", None), ("b", "failed")], "product_id string, error string", "out/review", 2)
+    assert rows(catalog.latest_issues(spark, str(tmp_path))) == [("a", "asset_size", "warning", "new"), ("b", "packages", "error", "kept")]
+    log = [("a", "review", 2, "done", "h2"), ("c", "review", 1, "done", "h1"), ("a", "concept", 1, "done", "h0"), ("b", "concept", 1, "failed", "hx")]
+    runs = spark.createDataFrame([(*r, "o", 1.0, "", True) for r in log], "product_id string, stage string, run int, status string, input_hash string, output_path string, cost double, error string, started boolean")
+    T.write_run_state(runs.withColumn("ts", F.current_timestamp()), f"{tmp_path}/node_runs")
+    found = {(r.product_id, r.stage): (r.status, r.input_hash) for r in catalog.node_table(spark, str(tmp_path)).collect()}
+    assert found == {("a", "review"): ("done", "h2"), ("c", "review"): ("done", "h1"), ("a", "concept"): ("pending", ""), ("b", "concept"): ("failed", "")}
+    assert catalog.latest_issues(spark, str(tmp_path / "none")).count() == 0
