@@ -330,6 +330,27 @@ select vec_id, 8 as height, cast(len(px) // 8 as integer) as width, len(list_fil
   len(list_filter(px, lambda p: p <= 140)) as black from px"""
 
 
+def clean_image_rows(spark, d):
+    """Vectors as gray maps in rows, each tagged with one of the eight orientations."""
+    images = _vector_images(spark, d)
+    head = F.concat(F.lit("P5\n"), "width", F.lit(" 8\n255\n")).cast("binary")
+    rows = images.select("vec_id", F.concat(head, "data").alias("content"), (F.col("vec_id") % 8 + 1).alias("tag"))
+    cleaned = G.clean_images(rows, encode=G.bilevel_netpbm, threshold=140, orientation="tag")
+    # The first bit after the header is the corner at the top left: clear where it is white.
+    body = F.length(F.concat(F.lit("P4\n"), "width", F.lit(" "), "height", F.lit("\n")))
+    corner = F.conv(F.hex(F.substring("content", body + 1, F.lit(1))), 16, 10).cast("int") < 128
+    return cleaned.select("vec_id", "height", "width", "white", "black", corner.alias("corner_white"))
+
+
+CLEAN_IMAGE_ROWS = f"""
+with {PIXELS_SQL},
+i as (select *, vec_id % 8 + 1 as tag, len(px) // 8 as w from px)
+select vec_id, cast(case when tag < 5 then 8 else w end as integer) as height, cast(case when tag < 5 then w else 8 end as integer) as width,
+  len(list_filter(px, lambda p: p > 140)) as white, len(list_filter(px, lambda p: p <= 140)) as black,
+  px[case when tag in (1, 5) then 1 when tag in (2, 8) then w when tag in (4, 6) then 7 * w + 1 else 8 * w end] > 140 as corner_white
+from i"""
+
+
 def process_assets(spark, d):
     """Vectors as image assets; those of the lower labels have been cleaned before."""
     vectors = table(spark, d, "embeddings")
@@ -395,6 +416,7 @@ QUERIES = {
     "scan_term_table": Query(scan_term_table, SCAN_TERM_TABLE),
     "binarize_pixels": Query(binarize_pixels, BINARIZE_PIXELS),
     "binarize_images": Query(binarize_images, BINARIZE_IMAGES),
+    "clean_image_rows": Query(clean_image_rows, CLEAN_IMAGE_ROWS),
     "process_assets": Query(process_assets, PROCESS_ASSETS),
     "generate_images": Query(generate_images, GENERATE_IMAGES),
 }

@@ -55,6 +55,7 @@ class Run:
     runtime: dict[str, dict[str, str]]
     complete: Callable[[DataFrame], DataFrame]
     draw: Callable[[DataFrame], DataFrame]
+    decode: Callable[[bytes], tuple[int, int, int, bytes]] | None = None
     created_at: Column = field(default_factory=F.current_timestamp)
 
     def path(self, *parts: str) -> str:
@@ -152,12 +153,33 @@ def assets(run: Run, rows: DataFrame, inputs: dict[str, DataFrame]) -> DataFrame
     todo = pending.groupBy("product_id", "path").agg(F.min_by(F.struct(*rest), F.col("pos")).alias("_first"))
     todo = todo.select("product_id", "path", "_first.*").select(*wanted.columns)
     drawn = settle(run.draw(todo), run.path("drawn", f"run={run.number}"))
-    written = S.write_files(drawn.filter(F.col("call_error").isNull()), run.path("images", f"run={run.number}"))
-    settle(written, run.path("files"), mode="append")
+    good = drawn.filter(F.col("call_error").isNull())
+    settle(_kept(run, good), run.path("files"), mode="append")
     broken = drawn.filter(F.col("call_error").isNotNull()).groupBy("product_id").agg(F.min("call_error").alias("error"))
     return _result(planned.join(broken, "product_id", "left"), F.col("doc"), F.col("error"))
 
 
+def _kept(run: Run, images: DataFrame) -> DataFrame:
+    """(product_id, path, length, uri) of images: written as files, or left as rows of their table."""
+    if run.decode:
+        return images.select("product_id", "path", F.octet_length("content").cast("bigint").alias("length"), F.lit(None).cast("string").alias("uri"))
+    return S.write_files(images, run.path("images", f"run={run.number}"))
+
+
+def _cleaned(run: Run, todo: DataFrame) -> DataFrame | None:
+    """The cleaned images of (product_id, asset_path, path, uri); None if none is there."""
+    if run.decode:
+        drawn = stored(run.spark, run.path("drawn"))
+        if drawn is None:
+            return None
+        # The list is settled on paths alone; bytes meet it last and only once.
+        bytes_ = drawn.filter(F.col("content").isNotNull()).select("product_id", F.col("path").alias("asset_path"), "content")
+        cleaned = G.clean_images(bytes_.join(todo.select("product_id", "asset_path", "path"), ["product_id", "asset_path"]), run.decode)
+        return cleaned.filter(F.col("error").isNull())
+    pixels = _pending_pixels(run, todo)
+    return None if pixels is None else G.binarize_images(pixels, orientation="orientation")
+
+
 RUN_FOLDER = r"^(.*/run=\d+)/"
 
 
@@ -192,12 +214,12 @@ def postprocess(run: Run, rows: DataFrame, inputs: dict[str, DataFrame]) -> Data
     pending = I.pending_files(wanted, files, keys=("product_id",))
     located = files.select("product_id", F.col("path").alias("asset_path"), "uri")
     todo = settle(pending.join(located, ["product_id", "asset_path"], "left"), run.path("todo", f"run={run.number}"))
-    pixels = _pending_pixels(run, todo)
-    if pixels is None:
+    cleaned = _cleaned(run, todo)
+    if cleaned is None:
         cleaned_paths = todo.select("product_id", "path").filter(F.lit(False))
     else:
-        cleaned = settle(G.binarize_images(pixels, orientation="orientation"), run.path("cleaned", f"run={run.number}"))
-        settle(S.write_files(cleaned, run.path("images", f"run={run.number}")), run.path("files"), mode="append")
+        cleaned = settle(cleaned, run.path("cleaned", f"run={run.number}"))
+        settle(_kept(run, cleaned), run.path("files"), mode="append")
         cleaned_paths = cleaned.select("product_id", "path")
     lost = todo.join(cleaned_paths, ["product_id", "path"], "left_anti")
     error = lost.groupBy("product_id").agg(F.min(F.concat(F.lit("cannot clean image: "), "asset_path")).alias("error"))
@@ -344,6 +366,7 @@ def produce(
     stages: Sequence[str] = tuple(schemas.STAGES),
     guard: bool = False,
     snapshot_every: int = 16,
+    decode: Callable[[bytes], tuple[int, int, int, bytes]] | None = None,
 ) -> DataFrame:
     """Run or resume the stages for resolved products; returns the decision of every node.
 
@@ -353,6 +376,9 @@ def produce(
     A product that fails in a stage is logged as failed and left out of the later ones; the others
     go on. Running again with nothing changed skips every node. After ``snapshot_every`` runs the run log
     so far is folded into a snapshot, and later runs read that and what came after it.
+
+    With ``decode`` (see ``images.clean_images``) images stay rows of the tables ``drawn`` and ``cleaned``;
+    without it they are files that Spark's image source decodes.
     """
     log_path = f"{workdir}/node_runs"
     if guard:
@@ -367,7 +393,7 @@ def produce(
             S.write_snapshot(spark, log_path, run_number - 1)
     elif run_number <= upto:
         raise ValueError(f"run {run_number} is closed: runs up to {upto} are in a snapshot")
-    run = Run(spark, workdir, run_number, runtime, complete, draw)
+    run = Run(spark, workdir, run_number, runtime, complete, draw, decode)
     settings = [F.lit(v).alias(f"rt_{kind}_{name}") for kind, conf in runtime.items() for name, v in sorted(conf.items())]
     configured = products.select("*", *settings)
     names = [c for c in configured.columns if c.startswith("rt_")]

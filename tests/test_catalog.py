@@ -154,3 +154,23 @@ def test_undecodable_image_fails_its_product_only(spark, packs, tmp_path):
     state = {(r.product_id, r.stage): r for r in S.read_node_state(spark, f"{work}/node_runs").collect()}
     assert state[("sample-sky", "postprocess")].error == "cannot clean image: assets/page_002.png"
     assert state[("x y+é%20", "review")].status == "done"
+
+
+def test_images_stay_rows(spark, packs, tmp_path):
+    """With a decoder images are never files, and broken ones fail their product."""
+    from pathlib import Path
+
+    from catalogloom.operators import images as G
+
+    class Painter:
+        def generate(self, prompt, *_):
+            return b"not an image" if prompt.endswith("3") else b"P5\n2 1\n255\n" + bytes([0, 255])
+
+    products, _ = catalog.resolve(requests(spark, "sea"), packs)
+    options = {"draw": lambda df: L.generate_images(df, Painter), "decode": G.decode_netpbm, "stages": ["concept", "assets", "postprocess"]}
+    made = decisions(catalog.produce(spark, products, str(tmp_path), RUNTIME, **options))
+    assert set(made.values()) == {"run"} and not (Path(tmp_path) / "images").exists()
+    cleaned = spark.read.parquet(f"{tmp_path}/cleaned").orderBy("path").collect()
+    assert [(r.path, r.white, r.black) for r in cleaned] == [(f"processed/page_00{k}.png", 1, 1) for k in (1, 2)]
+    state = {r.stage: (r.status, r.error) for r in S.read_node_state(spark, f"{tmp_path}/node_runs").collect()}
+    assert state["assets"] == ("done", "") and state["postprocess"] == ("failed", "cannot clean image: assets/page_003.png")

@@ -406,3 +406,21 @@ def test_issues_and_records_of_a_working_directory(spark, tmp_path):
     found = {(r.product_id, r.stage): (r.status, r.input_hash) for r in catalog.node_table(spark, str(tmp_path)).collect()}
     assert found == {("a", "review"): ("done", "h2"), ("c", "review"): ("done", "h1"), ("a", "concept"): ("pending", ""), ("b", "concept"): ("failed", "")}
     assert catalog.latest_issues(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_image_rows_are_decoded_and_turned(spark):
+    def gray(width, height, *values):
+        return b"P5\n# note\n%d %d\n255\n" % (width, height) + bytes(values)
+
+    data = [
+        (1, gray(2, 3, 255, 0, 0, 0, 0, 0), 6), (2, gray(2, 3, 255, 0, 0, 0, 0, 0), None), (3, b"P6 1 1 255\n" + bytes([255, 0, 0]), 1),
+        (4, b"no image", 1), (5, None, 1), (6, gray(3, 1, 199, 200, 201), 9),
+    ]
+    images = spark.createDataFrame(data, "id int, content binary, tag int").coalesce(1)
+    for held in (1, 1 << 20):
+        found = {r.id: r for r in G.clean_images(images, encode=G.bilevel_netpbm, orientation="tag", held_bytes=held).collect()}
+        assert bytes(found[1].content) == b"P4\n3 2\n" + bytes([0b11000000, 0b11100000])  # the white corner moves to the right
+        assert bytes(found[2].content) == b"P4\n2 3\n" + bytes([0b01000000, 0b11000000, 0b11000000])
+        assert (found[3].white, found[3].black) == (0, 1) and (found[6].white, found[6].black) == (1, 2)
+        assert "no P5" in found[4].error and found[5].error == "no content" and found[5].content is None
+    assert G.clean_images(images.limit(0)).count() == 0
