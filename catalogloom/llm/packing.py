@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Arrow, by_bytes, kept, stored, text_of
-from .token_counts import load_tokenizer
+from .token_counts import load_tokenizer, splits_of
+from .token_ids import encoder
 
 
 def _word_ends(tokenizer) -> np.ndarray:
@@ -74,14 +75,18 @@ def piece_table(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_co
 
     def run(batches: Arrow) -> Arrow:
         loaded, cache = load_tokenizer(tokenizer), kept(("words", tokenizer), dict)
-        ends = kept(("word ends", tokenizer), lambda: _word_ends(loaded))
+        if kept(("splits", tokenizer), lambda: splits_of(loaded)) == "words":
+            ends = kept(("word ends", tokenizer), lambda: _word_ends(loaded))
+            encode = lambda texts: ids_by_words(texts, loaded, ends, cache)
+        else:
+            encode = kept(("ids", tokenizer), lambda: encoder(tokenizer))
         last = np.array([end_id], "<u4").tobytes()
         step = window * 4
         for batch in batches:
             rows: list[tuple] = []
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for low, high in by_bytes(texts, batch_chars):
-                for key, found in zip(keys[low:high], ids_by_words(texts[low:high], loaded, ends, cache)):
+                for key, found in zip(keys[low:high], encode(texts[low:high])):
                     ids = found + last
                     for at in range(0, len(ids), step):
                         part = ids[at : at + step]
@@ -188,6 +193,9 @@ def pack(
     lie one after the other from offset 0 and take ``window`` tokens at most. ``grain`` (a divisor of
     ``window``) is the width of a length class: a smaller one wastes less and takes longer to solve.
 
+    Words are encoded once each where the file is a word tokenizer of the known kind (``splits_of``);
+    other ``.json`` files get whole texts.
+
     Null text counts as empty: one piece with the end id. Repeated rows and ids are packed row by
     row, a null id is passed on, an empty table gives no pieces; other columns are not read. Which
     sequence a piece gets is settled by the stored piece table, so every reading of the result agrees.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -25,12 +27,46 @@ def load_tokenizer(path: str):
     return kept(("tokenizer", path), make)
 
 
+# Fixed value: how word tokenizers with marked word ends cut texts; what is between is dropped.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_of(tokenizer) -> str | None:
+    """How a tokenizer cuts texts, if it is one of two known ways: ``bytes`` or ``words``.
+
+    ``bytes`` is the byte-level pattern, nothing normalised. ``words`` lowers case, drops white space and
+    marks the ends of words. Both cut before a blank that follows no white space; nothing is known of
+    others, which get whole texts.
+    """
+    spec = json.loads(tokenizer.to_str())
+    model, cutter, normal = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+    reaching = [t for t in spec["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"])]
+    if reaching or model.get("type") != "BPE" or model.get("dropout"):
+        return None
+    level = {"type": "ByteLevel", "add_prefix_space": False}
+    if normal is None and cutter.get("use_regex", True) and cutter.items() >= level.items():
+        return "bytes"
+    split = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+    folding = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    parts = cutter.get("pretokenizers") or []
+    if (
+        normal == {"type": "Sequence", "normalizers": folding}
+        and len(parts) == 2
+        and parts[0] == split
+        and parts[1].items() >= (level | {"use_regex": False}).items()
+        and model.get("end_of_word_suffix") == "</w>"
+    ):
+        return "words"
+    return None
+
+
 def _json_lengths(path: str, most_cached: int):
     tokenizer, cache = load_tokenizer(path), kept(("part lengths", path), dict)
+    safe_parts_ = safe_parts if kept(("splits", path), lambda: splits_of(tokenizer)) else lambda text: [text]
 
     def lengths(texts: list[str]) -> list[int]:
         """Parts met before are known; the new ones of all texts are encoded as one batch."""
-        parts = [safe_parts(text) for text in texts]
+        parts = [safe_parts_(text) for text in texts]
         missing = list(set().union(*parts).difference(cache))
         if len(cache) + len(missing) > most_cached:
             cache.clear()
@@ -67,8 +103,8 @@ def count_tokens(
     other added tokens; special strings inside texts are what the library makes of them by default.
     Batches hold about ``batch_chars`` characters however their rows are spread. Texts are cut where the
     tokenizer cuts anyway, so a long one needs no more memory than its parts, and the lengths of parts
-    are remembered, ``most_cached`` at most (``.json`` only: a sentencepiece model normalises whole
-    texts, so its texts are never cut).
+    are remembered, ``most_cached`` at most. A ``.json`` file that cuts in a way not known here, and a
+    sentencepiece model, which normalises whole texts, get their texts uncut.
 
     Null text counts as empty: no bytes, no tokens. A null id is passed on, repeated rows give
     repeated rows, an empty table gives an empty one; other columns are not read.

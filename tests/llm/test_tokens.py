@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -80,6 +81,39 @@ def test_counts_equal_library(spark, path):
     assert token_counts.count_tokens(documents(spark, []), path).collect() == []
 
 
+@pytest.fixture(params=["prefix", "strip", "lower"])
+def other_file(request, tmp_path):
+    """Tokenizer files that cut in ways not known here."""
+    spec = json.loads(open(WORD_JSON if request.param == "lower" else JSON).read())
+    if request.param == "prefix":
+        spec["pre_tokenizer"]["add_prefix_space"] = True
+    elif request.param == "strip":
+        spec["added_tokens"][0]["lstrip"] = True
+    else:
+        spec["normalizer"]["normalizers"][1]["content"] = ""  # words run together
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    return str(path)
+
+
+def test_other_files_get_whole_texts(spark, other_file):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(other_file)
+    assert token_counts.splits_of(lib) is None
+    some = [r for r in rows() if r[0] != 50] + [(60, "a  <|endoftext|> b <|endoftext|>")]
+    want = {i: [len(lib.encode(t or "", add_special_tokens=False).ids) for j, t in some if j == i] for i, _ in some}
+    got = by_key(token_counts.count_tokens(documents(spark, some), other_file).collect(), "doc_id")
+    assert {i: [r["n_tokens"] for r in got[i]] for i in got} == want
+    packed = by_key(packing.pack(documents(spark, some), other_file).where("start = 0").collect(), "doc_id")
+    assert {i: sorted(r["doc_tokens"] - 1 for r in packed[i]) for i in packed} == {i: sorted(n) for i, n in want.items()}
+
+
+def test_known_files():
+    assert token_counts.splits_of(token_counts.load_tokenizer(JSON)) == "bytes"
+    assert token_counts.splits_of(token_counts.load_tokenizer(WORD_JSON)) == "words"
+
+
 def test_counts_of_pieces(spark):
     import sentencepiece
 
