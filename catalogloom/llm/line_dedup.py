@@ -23,16 +23,22 @@ from .jaccard_join import join_documents, mixed
 
 FIELD = "<*>"
 _VARIABLE = re.compile(r"\d|@|://|www\.")
+_DIGIT = re.compile(r"\d")
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def masked(line: str) -> list[str]:
     """Tokens of a line, variable fields as ``FIELD``."""
-    if not _VARIABLE.search(line):
+    if not (_DIGIT.search(line) or "@" in line or "://" in line or "www." in line):
         return line.split()
     return [FIELD if _VARIABLE.search(t) else t for t in line.split()]
 
 
+def leading(n: int, depth: int) -> int:
+    """How many leading tokens of a line of ``n`` never vary: ``depth``, a quarter of long lines, 6 at most."""
+    return max(depth, min(6, n // 4))
+
+
 def as_is(line: str, tokens: list[str]) -> str:
     """The template of a line that is not generalised. One of fields alone recurs only as it stands."""
     if tokens.count(FIELD) == len(tokens):
@@ -47,7 +53,7 @@ def _name(text: str) -> int:
 def run_names(tokens: list[str], depth: int, longest: int, hashes: dict[str, int]) -> np.ndarray:
     """Names of the templates of a line in which one run of up to ``longest`` tokens is a field.
 
-    The leading ``depth`` tokens stay, and at least half of all tokens are neither in the run nor fields.
+    The tokens that lead to the leaf (``leading``) stay, and at least half of all tokens are neither in the run nor fields.
     """
     n = len(tokens)
     codes = np.array([hashes[t] for t in tokens], np.uint64)
@@ -57,7 +63,7 @@ def run_names(tokens: list[str], depth: int, longest: int, hashes: dict[str, int
     plain = np.concatenate([[0], np.cumsum([t != FIELD for t in tokens])])
     out = []
     for size in range(1, longest + 1):
-        start = np.arange(depth, n - size + 1)
+        start = np.arange(leading(n, depth), n - size + 1)
         fixed = plain[n] - (plain[start + size] - plain[start])
         start = start[2 * fixed >= n]
         rest = sums[n] - (sums[start + size] - sums[start])
@@ -67,7 +73,7 @@ def run_names(tokens: list[str], depth: int, longest: int, hashes: dict[str, int
 
 
 def _lines(rows: DataFrame, depth: int) -> DataFrame:
-    """(text_key, check, line, name, leaf) of every line that is not blank; no leaf where no run fits."""
+    """(text_key, check, line, name, leaf) of every line that is not blank."""
 
     def run(batches: Arrow) -> Arrow:
         for batch in batches:
@@ -75,7 +81,8 @@ def _lines(rows: DataFrame, depth: int) -> DataFrame:
             for key, check, text in zip(*(batch.column(c).to_pylist() for c in ("text_key", "check", "text"))):
                 for number, line in enumerate(text.split("\n")):
                     if tokens := masked(line):
-                        leaf = _name(f"{len(tokens)} {' '.join(tokens[:depth])}") if len(tokens) > depth else None
+                        n = len(tokens)
+                        leaf = _name(f"{n} {' '.join(tokens[: leading(n, depth)])}")
                         out.append((key, check, number, _name(as_is(line, tokens)), leaf))
             columns = list(zip(*out)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
@@ -96,6 +103,8 @@ def _generalised(texts: DataFrame, depth: int, longest: int) -> DataFrame:
                 lines = text.split("\n")
                 for number in chosen:
                     tokens = masked(lines[number])
+                    if len(tokens) <= depth:
+                        continue
                     if len(hashes) > 1 << 18:
                         hashes.clear()
                     for t in tokens:
@@ -111,19 +120,21 @@ def _generalised(texts: DataFrame, depth: int, longest: int) -> DataFrame:
     return texts.select("text_key", "check", "text", "chosen").mapInArrow(run, schema)
 
 
-def _shared(lines: DataFrame, key: str, least_docs: int, differing: bool = False) -> DataFrame:
-    """(key, text_key), each once, of the lines whose key is met in ``least_docs`` different texts.
+def _in_live_leaves(lines: DataFrame, least_docs: int) -> DataFrame:
+    """The lines in leaves with ``least_docs`` lines or more, and whether those differ (``differ``).
 
-    With ``differing``, only keys that lines of several names have. Keys met too seldom go before texts
-    are told apart; most are met once.
+    Equal lines share a leaf, so no line of another leaf recurs; most leaves hold a single line.
     """
-    low, high = F.min("name").alias("low"), F.max("name").alias("high")
-    often = lines.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"), low, high)
-    often = often.where((F.col("n") >= least_docs) & (F.col("low") < F.col("high") if differing else F.lit(True)))
-    met = lines.select(F.col(key).alias("key"), "text_key").join(stored(often.select("key")), "key", "left_semi").distinct()
-    met = stored(met)
-    enough = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("key")
-    return met.join(stored(enough), "key", "left_semi")
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), (F.min("name") < F.max("name")).alias("differ"))
+    return lines.join(stored(leaves.where(F.col("n") >= least_docs).select("leaf", "differ")), "leaf")
+
+
+def _shared(lines: DataFrame, key: str, least_docs: int) -> DataFrame:
+    """(key, text_key), each once, of the lines whose key is met in ``least_docs`` different texts."""
+    often = lines.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select(key)
+    met = stored(lines.select(key, "text_key").join(stored(often), key, "left_semi").distinct())
+    enough = met.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select(key)
+    return met.join(stored(enough), key, "left_semi").withColumnRenamed(key, "key")
 
 
 def _kin(texts: DataFrame) -> DataFrame:
@@ -150,7 +161,8 @@ def drop_lines(
 
     Lines are what line feeds part; the others keep their order and their bytes. Blank lines are never
     dropped, lines of variable fields alone only as they stand. Beyond fields of digits and addresses, one
-    run of up to ``longest`` tokens after the leading ``depth`` may vary; half of the tokens must not.
+    run of up to ``longest`` tokens may vary after the leading ``depth`` (a quarter of longer lines, 6 at
+    most); half of the tokens must not.
 
     A template recurs in ``least_docs`` documents, each group of near copies counting as one: a component
     of Jaccard similarity 0.8 among the texts with a line that ``least_docs`` texts hold as it is, or with
@@ -165,8 +177,8 @@ def drop_lines(
     keys = [F.xxhash64(text).alias("text_key"), F.xxhash64(F.lit(1), text).alias("check")]
     rows = docs.select(*keys, text.alias("text"))
     with temporary():
-        lines = stored(_lines(rows, depth))
-        exact, leaves = stored(_shared(lines, "name", least_docs)), stored(_shared(lines, "leaf", least_docs, differing=True))
+        lines = stored(_in_live_leaves(stored(_lines(rows, depth)), least_docs))
+        exact, leaves = stored(_shared(lines, "name", least_docs)), stored(_shared(lines.where("differ"), "leaf", least_docs))
         compared = exact.select("text_key").unionByName(leaves.select("text_key")).distinct()
         texts = rows.select("text_key", "text").join(compared, "text_key", "left_semi").dropDuplicates(["text_key"])
         kin = _kin(stored(texts))

@@ -5,6 +5,10 @@ from helpers import documents, prose, reachable
 from catalogloom.llm import line_dedup
 
 
+def lead(n, depth):
+    return 6 if n >= 24 else n // 4 if n // 4 > depth else depth
+
+
 def brute_templates(line, depth, longest):
     """Every template of a line, as plain tuples."""
     tokens = line.split()
@@ -16,7 +20,7 @@ def brute_templates(line, depth, longest):
         return [("as it stands", *tokens)]
     out = [tuple(shown)]
     for size in range(1, longest + 1):
-        for start in range(depth, n - size + 1):
+        for start in range(lead(n, depth), n - size + 1):
             made = shown[:start] + ["<run>"] * size + shown[start + size :]
             if 2 * sum(t not in ("<*>", "<run>") for t in made) >= n:
                 out.append(tuple(made))
@@ -40,9 +44,9 @@ def brute(rows, least_docs=5, depth=2, longest=3):
     leaves = {}
     for k, text in enumerate(texts):
         for line in text.split("\n"):
-            if len(tokens := line.split()) > depth:
+            if tokens := line.split():
                 shown = brute_templates(line, depth, 0)[0]
-                head = ["<*>" if re.search(r"[0-9]|@|://|www\.", t) else t for t in tokens[:depth]]
+                head = ["<*>" if re.search(r"[0-9]|@|://|www\.", t) else t for t in tokens[: lead(len(tokens), depth)]]
                 leaves.setdefault((len(tokens), *head), set()).add((k, shown))
     mixed = [{k for k, _ in held} for held in leaves.values() if len({shown for _, shown in held}) > 1]
     exact = [held for name, held in met.items() if "<run>" not in name]
