@@ -93,13 +93,13 @@ def _lines(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def _generalised(texts: DataFrame, depth: int, longest: int) -> DataFrame:
-    """(text_key, check, line, names) of the lines of (text_key, check, text, chosen) that are named in chosen."""
+    """(name, runs) of the lines of (text, chosen) that are numbered in chosen: their names as they are and generalised."""
 
     def run(batches: Arrow) -> Arrow:
         hashes: dict[str, int] = {}
         for batch in batches:
             out: list[tuple] = []
-            for key, check, text, chosen in zip(*(batch.column(c).to_pylist() for c in ("text_key", "check", "text", "chosen"))):
+            for text, chosen in zip(*(batch.column(c).to_pylist() for c in ("text", "chosen"))):
                 lines = text.split("\n")
                 for number in chosen:
                     tokens = masked(lines[number])
@@ -110,14 +110,13 @@ def _generalised(texts: DataFrame, depth: int, longest: int) -> DataFrame:
                     for t in tokens:
                         if t not in hashes:
                             hashes[t] = xxhash.xxh3_64_intdigest(t)
-                    if len(names := run_names(tokens, depth, longest, hashes)):
-                        out.append((key, check, number, names))
-            columns = list(zip(*out)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["text_key", "check", "line", "names"])
+                    if len(runs := run_names(tokens, depth, longest, hashes)):
+                        out.append((_name(as_is(lines[number], tokens)), runs))
+            columns = list(zip(*out)) or [()] * 2
+            kinds = [pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["name", "runs"])
 
-    schema = "text_key long, check long, line int, names array<long>"
-    return texts.select("text_key", "check", "text", "chosen").mapInArrow(run, schema)
+    return texts.select("text", "chosen").mapInArrow(run, "name long, runs array<long>")
 
 
 def _in_live_leaves(lines: DataFrame, least_docs: int) -> DataFrame:
@@ -149,6 +148,14 @@ def _recurring(met: DataFrame, kin: DataFrame, least_docs: int) -> DataFrame:
     return group.groupBy("key").agg(F.count("*").alias("groups")).where(F.col("groups") >= least_docs).select("key")
 
 
+def _runs(lines: DataFrame, rows: DataFrame, depth: int, longest: int) -> DataFrame:
+    """(name, run): the generalised names of each of the different lines, read off one text that holds it."""
+    first = lines.groupBy("name").agg(F.min(F.struct("text_key", "check", "line")).alias("at")).select("at.*")
+    chosen = stored(first.groupBy("text_key", "check").agg(F.collect_set("line").alias("chosen")))
+    texts = rows.join(chosen, ["text_key", "check"])  # copies give the same names again
+    return _generalised(texts, depth, longest).select("name", F.explode("runs").alias("run")).distinct()
+
+
 def drop_lines(
     docs: DataFrame,
     least_docs: int = 5,
@@ -182,15 +189,17 @@ def drop_lines(
         compared = exact.select("text_key").unionByName(leaves.select("text_key")).distinct()
         texts = rows.select("text_key", "text").join(compared, "text_key", "left_semi").dropDuplicates(["text_key"])
         kin = _kin(stored(texts))
-        exact = stored(_recurring(exact, kin, least_docs))
+        exact = _recurring(exact, kin, least_docs)
         # Elsewhere a generalised template can hold no more than the line itself.
         leaves = stored(_recurring(leaves, kin, least_docs).withColumnRenamed("key", "leaf"))
-        chosen = lines.join(leaves, "leaf", "left_semi").groupBy("text_key", "check").agg(F.collect_set("line").alias("chosen"))
-        texts = rows.join(stored(chosen), ["text_key", "check"]).dropDuplicates(["text_key", "check"])
-        general = stored(_generalised(texts, depth, longest)).select("text_key", "check", "line", F.explode("names").alias("name"))
-        often = _recurring(_shared(general, "name", least_docs), kin, least_docs)
-        hit = lines.select(*general.columns).join(exact.withColumnRenamed("key", "name"), "name", "left_semi")
-        hit = hit.unionByName(general.join(stored(often).withColumnRenamed("key", "name"), "name", "left_semi"))
+        names = stored(exact.withColumnRenamed("key", "name"))
+        runs = stored(_runs(lines.join(leaves, "leaf", "left_semi"), rows, depth, longest))
+        # What a line that recurs is generalised to recurs, too; for the others documents are counted.
+        sure = runs.join(names, "name", "left_semi").select(F.col("run").alias("key"))
+        met = lines.select("name", "text_key").join(names, "name", "left_anti").join(runs, "name").select("run", "text_key")
+        often = sure.unionByName(_recurring(_shared(stored(met), "run", least_docs), kin, least_docs)).distinct()
+        general = runs.join(stored(often).withColumnRenamed("key", "run"), "run", "left_semi").select("name")
+        hit = lines.join(stored(names.unionByName(general).distinct()), "name", "left_semi")
         gone = stored(hit.groupBy("text_key", "check").agg(F.collect_set("line").alias("gone")), outlive=True)
     # The row travels as one column, so that no name of its own clashes with a helper's.
     joined = docs.select(F.struct(*kept).alias("row"), *keys).join(gone.hint("merge"), ["text_key", "check"], "left")
