@@ -279,6 +279,7 @@ def remove_repeats(
     gram: int = 32,
     most_runs: int = 20_000,
     whole_characters: bool = False,
+    nulls_last: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -290,14 +291,14 @@ def remove_repeats(
     than ``most_runs`` different surroundings is resolved window by window instead of in one task; the
     result is the same.
 
-    Null text counts as empty and null ids as larger than all others. Rows that repeat id and text
+    Null text counts as empty and null ids as smaller than all others, or with ``nulls_last`` as larger. Rows that repeat id and text
     are one document, each gets its result; of rows with one id and different texts an arbitrary but
     fixed one comes first. An empty table gives an empty one. Input columns with the names of result
     columns are replaced. String names are 64-bit hashes.
     """
     own = ["n_bytes", "n_removed", "n_spans", "kept_bytes"]
     columns = [c for c in docs.columns if c not in own]
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(text_of(text_col)).alias("text_key")]
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1 if nulls_last else -(1 << 63))).alias("id"), F.xxhash64(text_of(text_col)).alias("text_key")]
     rows = docs.select(*key, text_of(text_col).alias("text"))
     with temporary():
         spans = repeated_spans(rows, length, gram, most_runs)

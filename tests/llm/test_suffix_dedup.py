@@ -69,6 +69,12 @@ def test_nulls_empty_repeated_and_ties(spark):
     check(spark, [(1, None), (2, ""), (3, "a"), (5, text), (5, text), (4, text[10:90]), (6, "x" * 300), (6, prose(10, 30)), (None, text[:50])])
 
 
+def test_null_ids_may_come_last(spark):
+    text = prose(9, 40)
+    found = suffix_dedup.remove_repeats(documents(spark, [(5, text), (None, text)]), nulls_last=True).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in found} == {5: 0, None: len(text)}
+
+
 def anchors(rows):
     columns = list(zip(*rows))
     kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.bool_()]
