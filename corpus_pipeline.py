@@ -67,7 +67,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
 
     def cleaned(rows: DataFrame) -> DataFrame:
-        found = suffix_dedup.remove_repeats(rows, whole_characters=True)
+        found = suffix_dedup.remove_repeats(rows, whole_characters=True, nulls_last=True)
         return found.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_bytes").cast("string")))
 
     return _apart(docs, cleaned)
