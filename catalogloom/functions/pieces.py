@@ -2,7 +2,8 @@
 
 A piece is a word (letters, digits, underscores) or one other sign. Any number of neighbouring pieces,
 with the blanks between them, has a name of two 64-bit numbers that costs the same however long it is.
-Equal stretches have equal names; different ones are taken to differ.
+Equal stretches have equal names; different ones are taken to differ. Letters that are twins in lower
+case count as equal.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .text import TWINS
+
 BLANK, WORD, SIGN = 0, 1, 2
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -24,9 +27,14 @@ _memory: dict[str, np.ndarray] = {}
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Every bit of ``x`` spread over all bits (a bijection on 64-bit numbers)."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    for factor in (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)):
+        y = x >> np.uint64(33)
+        y ^= x
+        y *= factor
+        x = y
+    y = x >> np.uint64(33)
+    y ^= x
+    return y
 
 
 def _kinds() -> np.ndarray:
@@ -39,6 +47,15 @@ def _kinds() -> np.ndarray:
     return _memory["kinds"]
 
 
+def _values() -> np.ndarray:
+    """The number of every code point; twins have the same."""
+    if "values" not in _memory:
+        values = _mixed(np.arange(1, sys.maxunicode + 2, dtype=np.uint64) * _GOLDEN)
+        values[[ord(twin) for twin in TWINS]] = values[[ord(main) for main in TWINS.values()]]
+        _memory["values"] = values
+    return _memory["values"]
+
+
 def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     """1, base, base^2, ...: at least ``n`` of them."""
     held = _memory.get(name)
@@ -63,24 +80,29 @@ class Pieces:
     bare: np.ndarray  # the name of the piece
     full: np.ndarray  # the name of the piece and the blanks after it
 
-    def names(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, a, b) of every stretch of ``n`` pieces that no word touches."""
+    def names(self, n: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, a, b) of every stretch of ``n`` pieces that no word touches.
+
+        ``among``: only those whose ``a`` falls on a marked slot; the number of slots is a power of two.
+        """
         many = len(self.text) - n + 1
         if many <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        ok = (self.text[:many] == self.text[n - 1 :]) & self.free_before[:many] & self.free_after[n - 1 :]
-        at = np.flatnonzero(ok)
-        out = []
-        for k, base in enumerate(_BASES):
-            last = self.bare[at + n - 1]
-            if n == 1:
-                out.append(_mixed(last + _GOLDEN * np.uint64(k)))
-                continue
-            weight = _powers(f"power {k}", base, len(self.full) + 1)
-            sums = self._sums(k)
-            inner = (sums[at + n - 1] - sums[at]) * _powers(f"back {k}", _back(base), len(self.full) + 1)[at]
-            out.append(_mixed(inner + last * weight[n - 1] + np.uint64(n)))
-        return self.text[at], *out
+        found = (self.text[:many] == self.text[n - 1 :]) & self.free_before[:many] & self.free_after[n - 1 :]
+        a = self._name(0, np.s_[:many], np.s_[n - 1 : n - 1 + many], n)
+        if among is not None:
+            found &= among[(a & np.uint64(len(among) - 1)).view(np.int64)]
+        at = np.flatnonzero(found)
+        return self.text[at], a[at], self._name(1, at, at + n - 1, n)
+
+    def _name(self, k: int, first: np.ndarray | slice, last: np.ndarray | slice, n: int) -> np.ndarray:
+        """Half ``k`` of the names of the stretches of ``n`` pieces from ``first`` to ``last``."""
+        if n == 1:
+            return _mixed(self.bare[last] + _GOLDEN * np.uint64(k))
+        base, sums = _BASES[k], self._sums(k)
+        weight = _powers(f"power {k}", base, len(self.full) + 1)[n - 1]
+        inner = (sums[last] - sums[first]) * _powers(f"back {k}", _back(base), len(self.full) + 1)[first]
+        return _mixed(inner + self.bare[last] * weight + np.uint64(n))
 
     def _sums(self, k: int) -> np.ndarray:
         name = f"_sums{k}"
@@ -119,7 +141,7 @@ def pieces_of(texts: list[str], most: int = 1 << 20) -> Pieces:
         word, sign = kind == WORD, kind == SIGN
         prior, later = np.concatenate([[False], word[:-1]]), np.concatenate([word[1:], [False]])
         starts, ends = np.flatnonzero(sign | (word & ~prior)), np.flatnonzero(sign | (word & ~later)) + 1
-        values = _mixed((codes.astype(np.uint64) + np.uint64(1)) * _GOLDEN) * _powers("power 0", base, n + 1)[:n]
+        values = _values()[codes] * _powers("power 0", base, n + 1)[:n]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
         back = _powers("back 0", _back(base), n + 1)[starts]
         # A text's last piece has no blanks after it that count: the line feed between texts is not its own.
@@ -131,9 +153,9 @@ def pieces_of(texts: list[str], most: int = 1 << 20) -> Pieces:
     return Pieces(*(np.concatenate(column) for column in zip(*parts)))
 
 
-def distinct_names(pieces: Pieces, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``pieces.names(n)``, each once per text."""
-    text, a, b = pieces.names(n)
+def distinct_names(pieces: Pieces, n: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``pieces.names(n, among)``, each once per text."""
+    text, a, b = pieces.names(n, among)
     if len(text) < 2:
         return text, a, b
     mark = a ^ _mixed((text.astype(np.uint64) + np.uint64(1)) * _GOLDEN)

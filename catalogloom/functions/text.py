@@ -54,12 +54,17 @@ TWINS = {
 }
 
 
+def lower_case(c: Column) -> Column:
+    """Text in lower case, one letter for one letter."""
+    return F.lower(F.replace(c, F.lit("İ"), F.lit("i")))
+
+
 def fold_case(c: Column) -> Column:
     """Text in which two letters are equal when they differ in case only, one letter for one letter.
 
     Plain replacements: each is one fast byte search, and a text seldom holds any of these letters.
     """
-    folded = F.lower(F.replace(c, F.lit("İ"), F.lit("i")))
+    folded = lower_case(c)
     for twin, main in TWINS.items():
         folded = F.replace(folded, F.lit(twin), F.lit(main))
     return folded

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -214,3 +215,44 @@ def test_code_versions_follow_the_source(monkeypatch):
     monkeypatch.setattr(catalog.inspect, "getsource", lambda thing, real=catalog.inspect.getsource: real(thing) + ("#" if thing is W else ""))
     after = {stage: catalog.code_version(stage) for stage in catalog.STAGES}
     assert [s for s in before if before[s] != after[s]] == ["review"]
+
+
+def nodes(plan):
+    while plan.nodeName() == "AdaptiveSparkPlan" or plan.nodeName().endswith("QueryStage"):
+        plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan()
+    yield plan
+    for k in range(plan.children().size()):
+        yield from nodes(plan.children().apply(k))
+
+
+def test_only_names_that_terms_may_have_leave_the_texts(spark):
+    words = [f"word{k}" for k in range(3000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "word7 WORD8")], "id int, text string")
+    terms = spark.createDataFrame([("word7",), ("word7 word8",), ("other word",)], "term string")
+    df = S.scan_term_table(docs, terms, "text", "id")
+    assert sorted(tuple(r) for r in df.collect()) == [(i, t) for i in (1, 3) for t in ("word7", "word7 word8")]
+    given = [n.metrics().apply("pythonNumRowsReceived").value() for n in nodes(df._jdf.queryExecution().executedPlan()) if n.nodeName() == "MapInArrow"]
+    assert given and max(given) < 50
+
+
+def test_every_batch_and_partition_knows_the_terms(spark):
+    docs = spark.range(25_000).select("id", F.format_string("a w%d b", "id").alias("text")).filter("id < 24000").repartition(3, "id")
+    docs = docs.unionByName(spark.range(3).select((F.col("id") - 9).alias("id"), F.lit("Ζς w5").alias("text")).repartition(8))
+    terms = spark.range(0, 30_000, 2).select(F.format_string("w%d", "id").alias("term")).unionByName(
+        spark.createDataFrame([("ζΣ w5",), ("w7 b",), ("B",)], "term string")
+    )
+    found = S.scan_term_table(docs, terms, "text", "id").groupBy("id").agg(F.sort_array(F.collect_list("term")).alias("t"))
+    got = {r.id: r.t for r in found.collect()}
+    want = {k: sorted(["B"] + ["w7 b"] * (k == 7) + [f"w{k}"] * (k % 2 == 0)) for k in range(24_000)}
+    assert got == want | {k: ["ζΣ w5"] for k in (-9, -8, -7)}
+
+
+def test_marked_slots_sort_out_names_and_nothing_else():
+    pieces = P.pieces_of(["one two, one two; three", "", "two one", "ſilk SILK silk".lower()])
+    for n in (1, 2, 3, 9):
+        every = P.distinct_names(pieces, n)
+        for marked in (np.ones(64, bool), np.arange(64) % 3 == 0, np.zeros(64, bool)):
+            kept = marked[(every[1] % np.uint64(64)).astype(int)]
+            want = sorted(zip(*(c[kept].tolist() for c in every)))
+            assert sorted(zip(*(c.tolist() for c in P.distinct_names(pieces, n, marked)))) == want
+    assert len(P.distinct_names(P.pieces_of(["ſilk silk"]), 1)[0]) == 1
